@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, privacy, quality
+from . import decontaminate, languages, privacy, quality, toxicity
 from .frames import read
 
 
@@ -20,10 +20,20 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(read(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op9_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages.report(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op3_decontaminate": op3_decontaminate,
     "op5_privacy": op5_privacy,
     "op6_quality": op6_quality,
+    "op7_toxicity": op7_toxicity,
+    "op9_languages": op9_languages,
 }
 
 ORACLE_SQL: dict[str, str] = {}
