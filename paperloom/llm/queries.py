@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, languages, privacy, quality, toxicity
+from . import decontaminate, languages, packing, pages, privacy, quality, toxicity
 from .frames import read
 
 
+def op2_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.report(read(spark, sf_dir, "pages"))
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
@@ -28,12 +32,18 @@ def op9_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages.report(read(spark, sf_dir, "documents"))
 
 
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.report(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op2_pages": op2_pages,
     "op3_decontaminate": op3_decontaminate,
     "op5_privacy": op5_privacy,
     "op6_quality": op6_quality,
     "op7_toxicity": op7_toxicity,
     "op9_languages": op9_languages,
+    "op10_packing": op10_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {}
