@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, languages, packing, pages, privacy, quality, toxicity
+from . import decontaminate, jaccard, languages, lines, packing, pages, privacy, quality, toxicity
 from .frames import read
 
 
+def op1_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.report(read(spark, sf_dir, "documents"))
+
+
 def op2_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.report(read(spark, sf_dir, "pages"))
 
@@ -16,6 +20,10 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.report(read(spark, sf_dir, "documents"))
+
+
 def op5_privacy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return privacy.report(read(spark, sf_dir, "documents"))
 
@@ -37,8 +45,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_lines": op1_lines,
     "op2_pages": op2_pages,
     "op3_decontaminate": op3_decontaminate,
+    "op4_jaccard": op4_jaccard,
     "op5_privacy": op5_privacy,
     "op6_quality": op6_quality,
     "op7_toxicity": op7_toxicity,
