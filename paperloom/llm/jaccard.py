@@ -177,7 +177,7 @@ def verified(candidates: DataFrame, threshold: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, held = None, ([], [], [], [])
         for batch in batches:
-            flat, first = batch["shingles"].flatten().to_numpy(), np.concatenate(([0], np.cumsum(batch["shingles"].value_lengths().to_numpy())))
+            flat, first = batch["shingles"].flatten().to_numpy().view(np.uint64), np.concatenate(([0], np.cumsum(batch["shingles"].value_lengths().to_numpy())))
             columns = [batch[c].to_pylist() for c in ("part", "block", "node", "copies")]
             for k, (part, *row) in enumerate(zip(*columns, strict=True)):
                 if part == last and row[1] == held[1][-1]:
