@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard, languages, lines, packing, pages, privacy, quality, toxicity
+from . import crossentropy, decontaminate, jaccard, languages, lines, packing, pages, privacy, quality, toxicity
 from .frames import read
 
 
@@ -36,6 +36,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op8_crossentropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crossentropy.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op9_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages.report(read(spark, sf_dir, "documents"))
 
@@ -52,6 +56,7 @@ QUERIES = {
     "op5_privacy": op5_privacy,
     "op6_quality": op6_quality,
     "op7_toxicity": op7_toxicity,
+    "op8_crossentropy": op8_crossentropy,
     "op9_languages": op9_languages,
     "op10_packing": op10_packing,
 }
