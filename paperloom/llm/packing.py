@@ -33,7 +33,7 @@ LENGTHS = (512, 1024, 2048, 4096, 8192)
 #: Shares of open room that are expected to fill up.
 TRUST = (0.5, 0.8, 0.9, 0.95, 0.98, 1.0)
 #: Pieces of one size that are numbered together, about.
-GROUP = 1000
+GROUP = 100
 
 
 class Plan(NamedTuple):
