@@ -5,15 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-FLAGSHIP = "page_quality"
-
-
-def page_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.length("text").alias("n"))
+from . import texts
 
+FLAGSHIP = "page_quality"
+MODULES = [texts]
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"page_quality": page_quality}
-
-ORACLE_SQL: dict[str, str] = {"page_quality": "SELECT doc_id, length(text) AS n FROM documents"}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+for _module in MODULES:
+    QUERIES |= _module.QUERIES
+    ORACLE_SQL |= _module.ORACLE_SQL
