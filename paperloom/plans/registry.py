@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import texts
+from . import relations, texts
 
 FLAGSHIP = "page_quality"
-MODULES = [texts]
+MODULES = [texts, relations]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
