@@ -46,7 +46,7 @@ def normalized(text: Column | str) -> Column:
     gap = rf"(?:{SPACE}|{DROPPED})"
     # a hyphen at the end of a line, behind a letter and before a small one
     out = F.regexp_replace(out, rf"(?<=\p{{L}})({DROPPED}*)[-\x{{2010}}\x{{00AD}}](?={gap}*[\n\r\x{{2028}}\x{{2029}}]){gap}+(?=\p{{Ll}})", "$1")
-    out = F.regexp_replace(out, rf"{DROPPED}*{SPACE}{gap}*", " ")
+    out = F.regexp_replace(out, rf"(?!{DROPPED}){SPACE}{gap}*", " ")
     return F.regexp_replace(out, DROPPED, "")
 
 

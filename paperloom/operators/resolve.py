@@ -60,9 +60,9 @@ def caret_span(carets: DataFrame, spans: DataFrame, key: str) -> DataFrame:
 
 def upper_median(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """keys, n, least, median, most: the median is the value number floor(n / 2), from 0. Only counts of different values are put in order."""
-    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("k"))
-    upto = F.sum("k").over(Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    n = F.sum("k").over(Window.partitionBy(*keys))
+    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("rows_with_value"))
+    upto = F.sum("rows_with_value").over(Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    n = F.sum("rows_with_value").over(Window.partitionBy(*keys))
     ranked = counted.select(*keys, value, upto.alias("upto"), n.alias("n"))
     return ranked.groupBy(*keys).agg(F.max("n").alias("n"), F.min(value).alias("least"), F.min(F.when(F.col("upto") > F.floor(F.col("n") / 2), F.col(value))).alias("median"), F.max(value).alias("most"))
 

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import relations, texts
+from . import logs, relations, texts
 
 FLAGSHIP = "page_quality"
-MODULES = [texts, relations]
+MODULES = [texts, relations, logs]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}

@@ -31,7 +31,7 @@ def unwrapped(href: Column, host: str, path: str = "/l/", parameter: str = "uddg
 def search_results(pages: DataFrame, key: str, html: str, host: str, block: str = "result results_links", advert: str = "result--ad") -> DataFrame:
     """key, rank, url, title, snippet of the result blocks of search pages, without adverts."""
     opening = rf'(?i)<div[^>]*class="{block}'
-    blocks = pages.select(key, F.posexplode(F.slice(F.split(html, f"(?={opening})"), 2, 10**6)).alias("pos", "block"))
+    blocks = pages.select(key, F.posexplode(F.filter(F.split(html, f"(?={opening})"), lambda b: b.rlike(f"^{opening}"))).alias("pos", "block"))
     blocks = blocks.where(~F.regexp_extract("block", r'(?i)^<div[^>]*class="([^"]*)"', 1).contains(advert))
     anchor = r'(?is)<a[^>]*class="{}"[^>]*?{}>(.*?)</a\s*>'
     link = anchor.format("result__a", r'href="([^"]*)"[^>]*')
