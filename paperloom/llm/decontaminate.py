@@ -197,7 +197,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFram
 
 
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, and the items, of every document."""
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, and the items, comma-joined, of every document."""
     found = occurrences(docs, benchmark, ["doc_id"])
     return found.select(
         "doc_id",
@@ -206,5 +206,5 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         contaminated().alias("contaminated"),
-        "items",
+        F.array_join("items", ",").alias("items"),
     )

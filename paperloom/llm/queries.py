@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import crossentropy, decontaminate, jaccard, languages, lines, packing, pages, privacy, quality, toxicity
 from .frames import read
+from .oracles import ORACLE_SQL  # noqa: F401
 
 
 def op1_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,5 +61,3 @@ QUERIES = {
     "op9_languages": op9_languages,
     "op10_packing": op10_packing,
 }
-
-ORACLE_SQL: dict[str, str] = {}
