@@ -29,7 +29,7 @@ from .frames import small_side, stored
 from .text import LOWER, Texts, mixed, sliced
 
 ORDER = 5
-BROADCAST_ROWS = 3_000_000
+BROADCAST_ROWS = 2_000_000
 #: Distinct n-grams that a task holds before it hands them on.
 HELD = 3_000_000
 
@@ -120,7 +120,7 @@ class Table:
 
     def __init__(self, order: np.ndarray, gram: np.ndarray, losses_: np.ndarray, top: int = ORDER):
         self.top = top
-        bits = max(10, int(len(gram)).bit_length() + 2)
+        bits = max(10, int(len(gram)).bit_length() + 1)
         self.mask = np.uint64((1 << bits) - 1)
         self.keys = np.full(1 << bits, np.uint64((1 << 64) - 1))
         self.at = np.zeros(1 << bits, np.int32)
