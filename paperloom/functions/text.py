@@ -202,3 +202,66 @@ def pages_of(rects: Column | str) -> Column:
 def found_in(query: str, *parts: Column | str) -> Column:
     """Whether the trimmed query is in the text of the parts, in any case."""
     return F.contains(F.lower(F.concat_ws(" ", *(_col(p) for p in parts))), F.lit(query.strip().lower()))
+
+
+def decoded_all(text: Column | str) -> Column:
+    """The six named references, and numeric ones in decimal and hexadecimal."""
+    refs = F.array_distinct(F.regexp_extract_all(_col(text), F.lit(r"(?i)&#(?:x[0-9a-f]{1,6}|[0-9]{1,7});"), 0))
+
+    def value(ref: Column) -> Column:
+        body = F.regexp_extract(ref, r"(?i)&#x?([0-9a-f]+);", 1)
+        code = F.when(ref.rlike("(?i)^&#x"), F.conv(body, 16, 10)).otherwise(body).cast("long")
+        return F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+
+    return F.aggregate(refs, decoded(text), lambda acc, ref: F.replace(acc, ref, value(ref)))
+
+
+def parts_around_placeholders(text: Column | str) -> Column:
+    """array<string>: placeholders and what stands between them, in order."""
+    return F.regexp_extract_all(_col(text), F.lit(r"(?s)\[EQ_\d+\]|(?:(?!\[EQ_\d+\]).)+"), 0)
+
+
+def rejected_url(url: Column | str) -> Column:
+    """Why a URL can't be a source: not_http, credentials, private_host, not_a_video, search_page; else null."""
+    u = F.trim(_col(url))
+    part = lambda p, *k: F.try_parse_url(u, F.lit(p), *map(F.lit, k))
+    host, path = F.lower(part("HOST")), F.coalesce(part("PATH"), F.lit(""))
+    video = host.rlike(r"^(www\.)?youtube\.com$") & ~((path == "/watch") & part("QUERY", "v").isNotNull())
+    return (
+        F.when(~F.coalesce(F.lower(part("PROTOCOL")).isin("http", "https"), F.lit(False)) | host.isNull(), "not_http")
+        .when(F.coalesce(part("USERINFO"), F.lit("")) != "", "credentials")
+        .when(host.rlike(r"(^|\.)localhost$") | host.rlike(r"^(127\.|10\.|192\.168\.|\[)"), "private_host")
+        .when(video, "not_a_video")
+        .when(path.isin("/results", "/search"), "search_page")
+    )
+
+
+def span_list(text: Column | str) -> Column:
+    """array<struct<item, start, end>> of `t_3_5:0-52 t_3_6:1-4`."""
+    parts = F.filter(F.split(F.trim(_col(text)), r"\s+"), lambda p: p.rlike(r"^t_\d+_\d+:\d+-\d+$"))
+    number = lambda p, k: F.regexp_extract(p, r":(\d+)-(\d+)$", k).cast("int")
+    return F.transform(parts, lambda p: F.struct(F.regexp_extract(p, r"^(t_\d+_\d+):", 1).alias("item"), number(p, 1).alias("start"), number(p, 2).alias("end")))
+
+
+def template_variables(template: Column | str) -> Column:
+    return F.array_distinct(F.transform(F.regexp_extract_all(_col(template), F.lit(r"\{\{([^{}]*)\}\}"), 1), F.trim))
+
+
+def rendered(template: Column | str, values: Column) -> Column:
+    """A template with its variables replaced from a map; unknown ones stay."""
+    return F.aggregate(
+        template_variables(template), _col(template), lambda acc, name: F.coalesce(F.replace(acc, F.concat(F.lit("{{"), name, F.lit("}}")), F.try_element_at(values, name)), acc)
+    )
+
+
+def generation_id(at: Column | str) -> Column:
+    return F.concat(F.lit("gen_"), F.date_format(_col(at), "yyyyMMdd'T'HHmmss'Z'"))
+
+
+def explained(*parts: Column | str) -> Column:
+    """Whether any part of an explanation has text."""
+    return F.exists(F.array(*(_col(p) for p in parts)), lambda x: F.coalesce(F.trim(x) != "", F.lit(False)))
+
+
+def warning_text(code: Column | str) -> Column:
+    return F.regexp_replace(_col(code), "_", " ")

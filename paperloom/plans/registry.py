@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import logs, relations, texts
+from . import logs, relations, structures, texts
 
 FLAGSHIP = "page_quality"
-MODULES = [texts, relations, logs]
+MODULES = [texts, relations, structures, logs]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}

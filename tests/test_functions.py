@@ -81,3 +81,23 @@ def test_normalized(spark):
     from tests.test_operators import CASES
 
     assert each(spark, T.normalized("t"), list(CASES)) == list(CASES.values())
+
+
+def test_more_forms(spark):
+    assert each(spark, T.decoded_all("t"), ["&#x41;&#66;&amp;#65; &#x1F600; &unknown; é"]) == ["AB&A \U0001f600 &unknown; é"]
+    assert each(spark, T.parts_around_placeholders("t"), ["a [EQ_1] b\n[EQ_2][EQ_3]", ""]) == [["a ", "[EQ_1]", " b\n", "[EQ_2]", "[EQ_3]"], []]
+    urls = ["ftp://a.b", "http://u:p@a.b", "http://x.localhost/", "http://10.0.0.1/", "https://www.youtube.com/c/x", "https://www.youtube.com/watch?v=1", "https://a.b/search?q=1", "https://a.b/"]
+    assert each(spark, T.rejected_url("t"), urls) == ["not_http", "credentials", "private_host", "private_host", "not_a_video", None, "search_page", None]
+    assert [tuple(x) for x in each(spark, T.span_list("t"), ["t_3_5:0-52 bad t_3_6:1-4"])[0]] == [("t_3_5", 0, 52), ("t_3_6", 1, 4)]
+    values = F.create_map(F.lit("a"), F.lit("1"))
+    assert each(spark, T.rendered("t", values), ["{{a}}{{ b }}{{a}}"]) == ["1{{ b }}1"]
+    assert each(spark, T.template_variables("t"), ["{{a}}{{ b }}{{a}}"]) == [["a", "b"]]
+    assert each(spark, T.explained("t", F.lit(None).cast("string")), [" ", "x", None]) == [False, True, False]
+
+
+def test_tei():
+    from paperloom.sources import tei
+
+    xml = '<TEI xmlns="x"><text><body><div><head n="1.2.">A <b>B</b></head><p><s coords="1,2,3,4,5">One  <i>two</i>.</s><s>Three.</s></p><p><s/></p></div><div><p><s>Four</s></p></div></body></text></TEI>'
+    assert tei.rows_of(xml) == [(0, "1.2", "A B", 0, 0, "One two.", "1,2,3,4,5"), (0, "1.2", "A B", 0, 1, "Three.", None), (0, "1.2", "A B", 1, 2, "", None), (1, None, "", 0, 3, "Four", None)]
+    assert tei.rows_of(None) == tei.rows_of("<a>") == tei.rows_of("<a/>") == []
