@@ -205,15 +205,17 @@ def found_in(query: str, *parts: Column | str) -> Column:
 
 
 def decoded_all(text: Column | str) -> Column:
-    """The six named references, and numeric ones in decimal and hexadecimal."""
-    refs = F.array_distinct(F.regexp_extract_all(_col(text), F.lit(r"(?i)&#(?:x[0-9a-f]{1,6}|[0-9]{1,7});"), 0))
+    """The six named references, and numeric ones in decimal and hexadecimal, each decoded once."""
+    pieces = F.regexp_extract_all(_col(text), F.lit(r"(?is)&(?:#x[0-9a-f]{1,6}|#[0-9]{1,7}|[a-z]+);|[^&]+|&"), 0)
 
     def value(ref: Column) -> Column:
         body = F.regexp_extract(ref, r"(?i)&#x?([0-9a-f]+);", 1)
         code = F.when(ref.rlike("(?i)^&#x"), F.conv(body, 16, 10)).otherwise(body).cast("long")
-        return F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+        numeric = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+        named = F.try_element_at(F.create_map(*(F.lit(x) for kv in ENTITIES.items() for x in kv)), F.lower(ref))
+        return F.when(ref.rlike("^&#[xX0-9]"), numeric).otherwise(F.coalesce(named, ref))
 
-    return F.aggregate(refs, decoded(text), lambda acc, ref: F.replace(acc, ref, value(ref)))
+    return F.array_join(F.transform(pieces, value), "")
 
 
 def parts_around_placeholders(text: Column | str) -> Column:
@@ -244,7 +246,7 @@ def span_list(text: Column | str) -> Column:
 
 
 def template_variables(template: Column | str) -> Column:
-    return F.array_distinct(F.transform(F.regexp_extract_all(_col(template), F.lit(r"\{\{([^{}]*)\}\}"), 1), F.trim))
+    return F.array_distinct(F.transform(F.regexp_extract_all(_col(template), F.lit(r"\{\{([^{}]*)\}\}"), 1), lambda v: F.trim(v)))
 
 
 def rendered(template: Column | str, values: Column) -> Column:
