@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import logs, relations, structures, texts
+from . import logs, relations, reports, structures, texts
 
 FLAGSHIP = "page_quality"
-MODULES = [texts, relations, structures, logs]
+MODULES = [texts, relations, structures, logs, reports]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
