@@ -36,7 +36,7 @@ ROWS = (3, 4, 5)
 #: A pair of texts this alike is no candidate, but in at most the share FALSE of cases.
 UNLIKE, FALSE = 0.3, 0.2
 #: Shingles in a block of a group; a text counts LEAST at least.
-BLOCK, LEAST = 150_000, 150
+BLOCK, LEAST = 40_000, 150
 #: Shingles in more texts than that are counted in a matrix product.
 COMMON = 24
 
