@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import formulas
 from ..sources import html
 from .tables import SENTENCES_SQL, read, sentences
 
@@ -169,3 +170,22 @@ def interactive_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines that a typed query is in, with the number found in each document."""
     hits = sentences(spark, sf_dir).where(T.found_in(" License ", "text"))
     return hits.select("doc_id", "pos", F.count("*").over(Window.partitionBy("doc_id")).alias("of"))
+
+
+@query(r"""
+WITH s AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents),
+t AS (SELECT doc_id, pos, unnest(string_split(line, ' ')) AS u, generate_subscripts(string_split(line, ' '), 1) AS i FROM s),
+k AS (SELECT *, CASE WHEN regexp_matches(u, '[#*$%&|<>]') THEN 1 ELSE 0 END AS strong FROM t)
+SELECT doc_id, count(*) FILTER (strong = 1) AS units, count(DISTINCT pos) FILTER (strong = 1) AS lines FROM k GROUP BY doc_id HAVING count(*) FILTER (strong = 1) > 0""")
+def symbol_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Units with symbols in each document, and the lines that have some."""
+    strong = F.filter(F.split("text", " "), lambda u: u.rlike("[#*$%&|<>]"))
+    rows = sentences(spark, sf_dir).select("doc_id", F.size(strong).cast("long").alias("n")).where("n > 0")
+    return rows.groupBy("doc_id").agg(F.sum("n").alias("units"), F.count("*").alias("lines"))
+
+
+@query()
+def inline_formulas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines with formulas, and what is left when these are numbered."""
+    rows = sentences(spark, sf_dir).select("doc_id", "pos", formulas.formulas(F.col("text")).alias("formulas"), formulas.replaced(F.col("text")).alias("text"))
+    return rows.where(F.size("formulas") > 0)

@@ -157,3 +157,11 @@ def test_late_events(spark, tmp_path):
 def test_granted(spark):
     df = spark.createDataFrame([(s, k) for s in "ab" for k in range(5)] + [("c", 0)], "s string, k int")
     assert Counter(r.s for r in events.granted(df, ["s"], ["k"], 3).collect()) == {"a": 3, "b": 3, "c": 1}
+
+
+def test_formulas(spark):
+    from paperloom.operators import formulas
+
+    texts = {"where α + β = γ holds for x": "where [EQ_1] holds for x", "a <b> only": "a <b> only", "p_1 and q_2": "p_1 and q_2", "x^2 + y^2 , z and α∈Ω": "[EQ_1] , z and α∈Ω", "": "", "α β then γ δ": "[EQ_1] then [EQ_2]"}
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", formulas.replaced(F.col("t")).alias("x"))
+    assert {r.t: r.x for r in df.collect()} == texts
