@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 def granted(requests: DataFrame, scope: list[str], order: list[str], limit: int) -> DataFrame:
     """The requests that each scope's budget still covers: its first `limit`. Spark cuts each task's rows down before the shuffle."""
     n = F.row_number().over(Window.partitionBy(*scope).orderBy(*order))
-    return requests.withColumn("granted_as", n).where(F.col("granted_as") <= limit)
+    return requests.withColumn("granted_as", n).where(F.col("granted_as") <= limit).withColumn("granted_as", F.col("granted_as").cast("long"))
 
 
 def budgets(requests: DataFrame, scope: list[str], limit: int) -> DataFrame:

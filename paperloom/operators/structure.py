@@ -25,7 +25,7 @@ def runs(units: DataFrame, keys: list[str], order: str, flag: Column) -> DataFra
     w = Window.partitionBy(*keys).orderBy(order)
     marked = units.where(flag).withColumn("run", F.col(order) - F.row_number().over(w))
     islands = marked.groupBy(*keys, "run").agg(F.min(order).alias("first"), F.max(order).alias("last"), F.count("*").alias("size"))
-    return islands.withColumn("run", F.row_number().over(Window.partitionBy(*keys).orderBy("first")))
+    return islands.withColumn("run", F.row_number().over(Window.partitionBy(*keys).orderBy("first")).cast("long"))
 
 
 def term_stats(sentences: DataFrame, key: list[str], occurs: Column, alias: Column, preferred: Column, original: Column) -> DataFrame:

@@ -169,4 +169,4 @@ FROM (SELECT year(l_shipdate) AS l_shipmode_year, l_returnflag FROM lineitem) GR
 def yearly_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines and returned lines of each year."""
     n, r = F.count("*"), F.count_if(F.col("l_returnflag") == "R")
-    return read(spark, sf_dir, "lineitem").groupBy(T.year_of("l_shipdate").alias("year")).agg(n.alias("lines"), r.alias("returned"), F.floor(100 * r / n).alias("percent"))
+    return read(spark, sf_dir, "lineitem").groupBy(T.year_of("l_shipdate").cast("long").alias("year")).agg(n.alias("lines"), r.alias("returned"), F.floor(100 * r / n).alias("percent"))

@@ -84,7 +84,7 @@ def section_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     members = docs.select(F.col("source").alias("section"), F.lit(1).alias("level"), "doc_id").unionByName(docs.select(F.col("lang").alias("section"), F.lit(0).alias("level"), "doc_id"))
     first = resolve.first_by(members, ["doc_id"], ["level", "section"])
-    return first.select("section", "doc_id", F.row_number().over(Window.partitionBy("section").orderBy("doc_id")).alias("number"))
+    return first.select("section", "doc_id", F.row_number().over(Window.partitionBy("section").orderBy("doc_id")).cast("long").alias("number"))
 
 
 @query(r"""
@@ -176,7 +176,7 @@ def chunk_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", tokens.alias("tokens"))
     docs = docs.select("doc_id", "tokens", chunking.chunks(F.col("tokens"), F.transform("tokens", lambda _, i: F.floor(i / 10)), 400, 250).alias("chunks"))
     units = docs.select("doc_id", F.posexplode(F.arrays_zip("tokens", "chunks")).alias("pos", "u"))
-    return units.groupBy("doc_id", F.col("u.chunks").alias("chunk")).agg(F.min("pos").alias("first"), F.max("pos").alias("last"), F.sum("u.tokens").alias("tokens"))
+    return units.groupBy("doc_id", F.col("u.chunks").alias("chunk")).agg(F.min("pos").cast("long").alias("first"), F.max("pos").cast("long").alias("last"), F.sum("u.tokens").alias("tokens"))
 
 
 @query(f"""

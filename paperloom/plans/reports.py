@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import unicode as U
+from ..functions.rules import violations
 from ..operators import resolve, structure
 from ..sources import html
 from . import relations
@@ -180,3 +181,49 @@ def outcome_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
     verdict = F.when(F.col("n_chars") == n, "equal").otherwise("missing")
     rows = read(spark, sf_dir, "documents").select(F.concat(F.lit("k"), (F.col("doc_id") % 5).cast("string")).alias("tag"), structure.outcome(status, verdict).alias("o"))
     return rows.groupBy("tag").agg(*(F.count_if(F.col("o") == o).alias(o) for o in ("correct", "flagged", "silent")))
+
+
+@query("""
+SELECT o_orderkey, array_to_string(list_filter([CASE WHEN NOT coalesce(o_totalprice > 0, false) THEN 'price' END, CASE WHEN NOT coalesce(o_orderstatus IN ('O', 'F'), false) THEN 'status' END,
+       CASE WHEN NOT coalesce(regexp_matches(o_orderpriority, '^[1-5]-'), false) THEN 'priority' END, CASE WHEN NOT coalesce(o_orderdate < TIMESTAMP '1998-01-01', false) THEN 'date' END], lambda x: x IS NOT NULL), ',') AS broken FROM orders""")
+def schema_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rules that each order breaks."""
+    rules = {"price": F.col("o_totalprice") > 0, "status": F.col("o_orderstatus").isin("O", "F"), "priority": F.col("o_orderpriority").rlike("^[1-5]-"), "date": F.col("o_orderdate") < F.lit("1998-01-01").cast("timestamp_ntz")}
+    return read(spark, sf_dir, "orders").select("o_orderkey", F.array_join(violations(rules), ",").alias("broken"))
+
+
+@query(f"""
+WITH plan AS ({relations.ORACLE_SQL["chunk_plan"].strip()}), {SENTENCES_SQL.strip()},
+n AS (SELECT p.doc_id, p.chunk, s.pos, s.text, CASE WHEN s.pos < p.first THEN 'before' WHEN s.pos > p.last THEN 'behind' ELSE 'target' END AS part FROM plan p JOIN sentences s ON p.doc_id = s.doc_id AND s.pos BETWEEN p.first - 2 AND p.last + 2)
+SELECT doc_id, 'chunk_' || lpad(CAST(chunk + 1 AS VARCHAR), 4, '0') AS id, sha256(string_agg(text, chr(10) ORDER BY pos) FILTER (part = 'target')) AS targets, count(*) FILTER (part = 'before') AS before, count(*) FILTER (part = 'behind') AS behind FROM n GROUP BY doc_id, chunk""")
+def chunk_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each chunk is asked with: a digest of its own lines, and how many neighbours it is shown on either side."""
+    plan = relations.chunk_plan(spark, sf_dir)
+    wide = plan.select("doc_id", "chunk", "first", "last", F.explode(F.sequence(F.greatest(F.col("first") - 2, F.lit(0)), F.col("last") + 2)).alias("pos"))
+    shown = wide.join(sentences(spark, sf_dir).select("doc_id", "pos", "text"), ["doc_id", "pos"])
+    before, behind = F.col("pos") < F.col("first"), F.col("pos") > F.col("last")
+    own = F.array_sort(F.collect_list(F.when(~before & ~behind, F.struct("pos", "text"))))
+    grouped = shown.groupBy("doc_id", "chunk").agg(own.alias("own"), F.count_if(before).alias("before"), F.count_if(behind).alias("behind"))
+    name = F.concat(F.lit("chunk_"), F.lpad((F.col("chunk") + 1).cast("string"), 4, "0"))
+    return grouped.select("doc_id", name.alias("id"), F.sha2(F.array_join(F.transform("own", lambda x: x["text"]), "\n"), 256).alias("targets"), "before", "behind")
+
+
+@query("""
+WITH d AS (SELECT user_id, CAST(ts AS DATE) AS day, event_type, value, ts, event_id, sum(CAST(round(value * 100) AS BIGINT)) OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS spent FROM events)
+SELECT user_id, day, count(*) AS events, count(*) FILTER (spent <= 4000) AS within, min(ts) FILTER (spent > 4000) AS passed_at FROM d GROUP BY user_id, day""")
+def spending_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """When each user's values pass a limit on a day."""
+    w = Window.partitionBy("user_id", "day").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    rows = read(spark, sf_dir, "events").withColumn("day", F.to_date("ts")).withColumn("spent", F.sum(F.round(F.col("value") * 100).cast("long")).over(w))
+    return rows.groupBy("user_id", "day").agg(F.count("*").alias("events"), F.count_if(F.col("spent") <= 4000).alias("within"), F.min(F.when(F.col("spent") > 4000, F.col("ts"))).alias("passed_at"))
+
+
+@query("""
+WITH c AS (SELECT c_mktsegment AS segment, c_custkey, c_nationkey FROM customer), o AS (SELECT o_custkey, count(*) AS n, max(o_orderdate) AS last FROM orders GROUP BY o_custkey)
+SELECT segment, n_name AS nation, count(*) AS papers, count(o_custkey) AS with_results, max(last) AS updated FROM c JOIN nation ON c_nationkey = n_nationkey LEFT JOIN o ON c_custkey = o_custkey GROUP BY segment, n_name""")
+def library(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Papers of each shelf, those that have results, and the newest of them: customers as papers, orders as results."""
+    results = read(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.max("o_orderdate").alias("last"))
+    papers = read(spark, sf_dir, "customer").join(read(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    both = papers.join(results, F.col("c_custkey") == F.col("o_custkey"), "left")
+    return both.groupBy(F.col("c_mktsegment").alias("segment"), F.col("n_name").alias("nation")).agg(F.count("*").alias("papers"), F.count("o_custkey").alias("with_results"), F.max("last").alias("updated"))

@@ -13,7 +13,8 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, source, pos from 0, text: the lines of the documents."""
     docs = read(spark, sf_dir, "documents")
-    return docs.select("doc_id", "source", F.posexplode(F.split("text", "\n", -1)).alias("pos", "text"))
+    lines = docs.select("doc_id", "source", F.posexplode(F.split("text", "\n", -1)).alias("pos", "text"))
+    return lines.withColumn("pos", F.col("pos").cast("long"))
 
 
 SENTENCES_SQL = """
