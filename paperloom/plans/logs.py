@@ -155,10 +155,10 @@ def answer_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checks.verdicts(rows, key, issues)
 
 
-@query(r"""SELECT doc_id, sha256(regexp_replace(text, '\s+', ' ', 'g')) AS normalized, CAST(length(text) AS INTEGER) AS raw_end FROM documents WHERE length(text) > 0""")
+@query(r"""SELECT doc_id, sha256(regexp_replace(text, '\s+', ' ', 'g')) AS normalized, CAST(length(text) AS INTEGER) AS raw_end FROM documents WHERE text IS NOT NULL""")
 def normalized_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Normalised texts, and where their whole stretch comes from."""
-    both = read(spark, sf_dir, "documents").where(F.length("text") > 0).select("doc_id", normalize.normalized_with_map(F.col("text")).alias("n"))
+    both = read(spark, sf_dir, "documents").where("text is not null").select("doc_id", normalize.normalized_with_map(F.col("text")).alias("n"))
     whole = normalize.raw_range(F.col("n.segments"), F.lit(0), F.length("n.text"))
     return both.select("doc_id", F.sha2("n.text", 256).alias("normalized"), whole["end"].alias("raw_end"))
 
