@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions import unicode
 from ..operators import checks, events, normalize, resolve
 from ..sources import documents
 from ..streaming import events as streams
@@ -170,3 +171,33 @@ def yearly_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines and returned lines of each year."""
     n, r = F.count("*"), F.count_if(F.col("l_returnflag") == "R")
     return read(spark, sf_dir, "lineitem").groupBy(T.year_of("l_shipdate").cast("long").alias("year")).agg(n.alias("lines"), r.alias("returned"), F.floor(100 * r / n).alias("percent"))
+
+
+@query("""
+WITH i AS (SELECT conv_id, turn, '{"turn":' || turn || ',"role":"' || role || '"}' AS item FROM conversations),
+l AS (SELECT conv_id, sum(length(item) + 1) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - 1 AS past FROM i),
+n AS (SELECT conv_id, count(*) AS items, max(past) AS whole FROM l GROUP BY conv_id)
+SELECT l.conv_id, max(items) AS items, count(*) FILTER (12 + past <= (12 + whole + 2) * 3 // 5) AS saved FROM l JOIN n ON l.conv_id = n.conv_id GROUP BY l.conv_id""")
+def salvaged_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations written as JSON that breaks off after three fifths: the turns that can be saved."""
+    turns = F.array_sort(F.collect_list(F.struct("turn", "role")))
+    items = F.transform(turns, lambda t: F.to_json(F.struct(t["turn"].alias("turn"), t["role"].alias("role"))))
+    rows = read(spark, sf_dir, "conversations").groupBy("conv_id").agg(items.alias("items"))
+    whole = F.concat(F.lit('{"results":['), F.array_join("items", ","), F.lit("]}"))
+    cut = rows.select("conv_id", "items", F.substring(whole, F.lit(1), F.floor(F.length(whole) * 3 / 5).cast("int")).alias("raw"))
+    return cut.select("conv_id", F.size("items").cast("long").alias("items"), F.size(documents.salvaged(F.col("raw"), "results")).cast("long").alias("saved"))
+
+
+@query(r"SELECT doc_id, CAST(length(regexp_replace(text, '[^\p{L}\p{N}]', '', 'g')) AS INTEGER) AS key_characters FROM documents")
+def key_characters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Characters of every document that count when spans are compared."""
+    return read(spark, sf_dir, "documents").select("doc_id", unicode.key_characters(F.col("text")).alias("key_characters"))
+
+
+@query()
+def streamed_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of each turn can be shown while half of its JSON has come in."""
+    whole = F.to_json(F.struct(F.col("text").alias("explanation")))
+    half = F.substring(whole, F.lit(1), (F.length(whole) / 2).cast("int"))
+    shown = unicode.streamed_field(half, "explanation")
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", F.length(shown).alias("shown"), F.startswith("text", shown).alias("as_written"))
