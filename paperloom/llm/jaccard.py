@@ -143,13 +143,13 @@ def common(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def linked(sets: list[np.ndarray], block: np.ndarray, threshold: float) -> np.ndarray:
-    """Which two are alike; if the texts are of two blocks, only texts of different ones are compared."""
+def linked(sets: list[np.ndarray], block: np.ndarray, threshold: float, inner: bool) -> np.ndarray:
+    """Which two are alike; inner: the texts are of one block, and all are compared, else only those of different blocks."""
     both = common(sets)
     size = np.diag(both)
     alike = both >= threshold * (size[:, None] + size[None] - both) - 1e-9
     np.fill_diagonal(alike, False)
-    if block.min() != block.max():
+    if not inner:  # even if one of the two blocks is empty: its own part has the pairs of a block
         alike &= block[:, None] != block[None]
     return alike
 
@@ -166,32 +166,32 @@ def roots(alike: np.ndarray, nodes: np.ndarray) -> np.ndarray:
 
 
 def verified(candidates: DataFrame, threshold: float) -> DataFrame:
-    """node, links, root of the rows of every task's group. candidates: part, block, node, copies, shingles; grouped and sorted by part."""
+    """node, links, root of the rows of every task's group. candidates: part, inner, block, node, copies, shingles; grouped and sorted by part."""
 
-    def group(block: list, node: list, copies: list, sets: list) -> pa.RecordBatch:
-        alike = linked(sets, np.array(block), threshold)
+    def group(inner: list, block: list, node: list, copies: list, sets: list) -> pa.RecordBatch:
+        alike = linked(sets, np.array(block), threshold, inner[0])
         nodes = np.array(node, np.int64)
         links = (alike * np.array(copies, np.int64)[None]).sum(1)
         return pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(links), pa.array(roots(alike, nodes))], names=["node", "links", "root"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, held = None, ([], [], [], [])
+        last, held = None, ([], [], [], [], [])
         for batch in batches:
             flat, first = batch["shingles"].flatten().to_numpy().view(np.uint64), np.concatenate(([0], np.cumsum(batch["shingles"].value_lengths().to_numpy())))
-            columns = [batch[c].to_pylist() for c in ("part", "block", "node", "copies")]
+            columns = [batch[c].to_pylist() for c in ("part", "inner", "block", "node", "copies")]
             for k, (part, *row) in enumerate(zip(*columns, strict=True)):
-                if part == last and row[1] == held[1][-1]:
+                if part == last and row[2] == held[2][-1]:
                     continue  # repeated rows: one stands for all
                 if part != last:
                     if len(held[0]) > 1:
                         yield group(*held)
-                    last, held = part, ([], [], [], [])
+                    last, held = part, ([], [], [], [], [])
                 for kept, x in zip(held, (*row, flat[first[k] : first[k + 1]].copy()), strict=True):
                     kept.append(x)
         if len(held[0]) > 1:
             yield group(*held)
 
-    return candidates.select("part", "block", "node", "copies", "shingles").mapInArrow(run, "node long, links long, root long")
+    return candidates.select("part", "inner", "block", "node", "copies", "shingles").mapInArrow(run, "node long, links long, root long")
 
 
 def _sets(docs: DataFrame, text: str, n: int) -> DataFrame:
@@ -237,7 +237,7 @@ def joined(docs: DataFrame, id_column: str = "doc_id", text: str = "text", thres
 
 def _finished(all_rows: DataFrame, classes: DataFrame, found: DataFrame, keys: list[str], threshold: float) -> DataFrame:
     other = F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).alias("other")
-    parts = found.select("*", other).withColumn("part", F.xxhash64("root", F.least("block", "other"), F.greatest("block", "other")))
+    parts = found.select("*", other).withColumn("part", F.xxhash64("root", F.least("block", "other"), F.greatest("block", "other"))).withColumn("inner", F.col("block") == F.col("other"))
     parts = parts.repartition("part").sortWithinPartitions("part", "node")
     links = stored(verified(parts, threshold))
     named = links.where("links > 0").groupBy("node").agg(F.sum("links").alias("links"))

@@ -53,6 +53,19 @@ def test_all_links(spark, block):
     assert result(jaccard.joined(df, block=block)) == brute(rows)
 
 
+def test_empty_blocks(spark):
+    """Groups of three long near copies in three blocks, of which some stay empty."""
+    rows = []
+    for g in range(12):
+        base = [f"g{g}w{k}" for k in range(400)]
+        for k in range(3):
+            base[k * 150] = f"g{g}x{k}"
+            rows.append((len(rows), " ".join(base)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = result(jaccard.joined(df, block=400))
+    assert got == brute(rows) and all(n == 2 for _, n, _ in got)
+
+
 def test_repeated_rows(spark):
     rows = corpus(2, 20)
     rows = rows + rows[:5] + [(300, rows[4][1])]
