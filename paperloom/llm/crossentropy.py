@@ -1,19 +1,23 @@
 """Language-model scoring by cross-entropy difference.
 
-Two models of the same order, smoothing and vocabulary - the 256 bytes, after lower-casing A-Z and
-taking white space as spaces, and a start sign - are counted from all documents: a background model
-from every one, a target model from those marked as target. A document's score is the mean, over
-its tokens, of the target model's loss less the background model's; the less, the more it is like
-the target. Probabilities are interpolated by Witten and Bell's rule, from order ORDER down.
-
-Counting combines within tasks and before the shuffle. Smoothing is a chain of joins of n-grams
-with their contexts and endings. The resulting table grows with the corpus: up to BROADCAST_ROWS
-rows it is broadcast and texts are only mapped; beyond, the texts' n-grams are shuffled to it.
-
-Defined results: null and empty texts have no tokens and null losses; without a target document the
-target model is uniform; n-grams that no model has seen are scored by their longest known ending
-where the table is broadcast (documents that were counted have none); repeated rows count and are
-scored each; other columns may have any names.
+Two models of the same order, smoothing and vocabulary - the distinct words of all documents, op3's
+words - are counted from all documents: a background model from every one, a target model from those
+marked as target. A document's score is the mean, over its words, of the target model's loss less
+the background model's; the less, the more it is like the target. A word's probability given the
+word before, or a start sign, is interpolated by Witten and Bell's rule with the word's own, and
+that with the uniform one.
+
+Counting combines within tasks and before the shuffle. Smoothing joins pairs with their first and
+second words. The table of pairs grows with the corpus, so the texts' pairs, added up within each
+text, are shuffled to it and their losses are summed by text.
+
+counts(), losses() and scored() are the same for n-grams of bytes, a table that levels off: up to
+BROADCAST_ROWS rows it is broadcast and texts are only mapped; beyond, n-grams are shuffled to it.
+
+Defined results: null texts and texts without words have no tokens and null losses; without a target
+document the target model is uniform; repeated rows count and are scored each; other columns may
+have any names. Of bytes, n-grams that no model has seen are scored by their longest known ending
+where the table is broadcast.
 """
 
 from __future__ import annotations
@@ -26,12 +30,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .frames import small_side, stored
-from .text import LOWER, Texts, mixed, sliced
+from .text import LETTERS, LOWER, Hasher, Texts, Words, mixed, sliced
 
 ORDER = 5
 BROADCAST_ROWS = 2_000_000
 #: Distinct n-grams that a task holds before it hands them on.
 HELD = 3_000_000
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 _BYTES = LOWER.copy()
 _BYTES[9:14] = 32
@@ -214,9 +219,93 @@ def _shuffled(source: DataFrame, table: DataFrame, names: list[str], order: int)
     return texts.join(sums, ["text_hash", "size"], "left").select(*names, F.col("size").alias("n_tokens"), *share.values())
 
 
+def pairs(texts: Texts) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray]:
+    """The words, and for each the hash of the word before it, 0 at a text's start, its own, and that of the pair."""
+    words = Words(texts, LETTERS, lower=True)
+    word = Hasher(words.data)(words.start, words.end)
+    before = np.concatenate((np.zeros(1, np.uint64), word))[:-1]
+    before[words.first[:-1][words.counts > 0]] = 0
+    return words, before, word, mixed(before * _ODD + word)
+
+
+def pair_counts(docs: DataFrame, target: Column, text: str = "text") -> DataFrame:
+    """gram, before, word, background and target: how often each pair of words occurs in all documents and in those of the target."""
+    names = ["gram", "before", "word", "background", "target"]
+
+    def summed(parts: list[list[np.ndarray]]) -> list[np.ndarray]:
+        gram, before, word, *ns = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.argsort(gram)
+        start = order[:0] if not len(order) else np.flatnonzero(np.append(True, gram[order][1:] != gram[order][:-1]))
+        return [*(x[order[start]] for x in (gram, before, word)), *(np.add.reduceat(n[order], start) if len(n) else n for n in ns)]
+
+    def rows(found: list[np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in found], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[list[np.ndarray]] = []
+        for batch in batches:
+            for part, texts in sliced(batch, "text"):
+                words, before, word, gram = pairs(texts)
+                marked = np.repeat(part["target"].to_numpy(zero_copy_only=False).astype(np.int64), words.counts)
+                parts.append(summed([[gram, before, word, np.ones(len(gram), np.int64), marked]]))
+                if sum(len(x[0]) for x in parts) > HELD:
+                    parts = [summed(parts)]
+                    if len(parts[0][0]) > HELD // 2:
+                        yield rows(parts.pop())
+        if parts:
+            yield rows(summed(parts))
+
+    source = docs.where(F.col(text).isNotNull()).select(F.coalesce(target, F.lit(False)).alias("target"), F.col(text).alias("text"))
+    found = source.mapInArrow(run, ", ".join(f"{n} long" for n in names))
+    return found.groupBy("gram").agg(F.min("before").alias("before"), F.min("word").alias("word"), F.sum("background").alias("background"), F.sum("target").alias("target"))
+
+
+def pair_losses(counted: DataFrame) -> DataFrame:
+    """gram, background and target: minus log probabilities of the second word of every pair, given the first. counted: stored pair_counts()."""
+    models = ("background", "target")
+
+    def smoothed(m: str, lower: Column) -> Column:
+        return F.when(F.col(f"{m}_all") > 0, (F.col(m) + F.col(f"{m}_kinds") * lower) / (F.col(f"{m}_all") + F.col(f"{m}_kinds"))).otherwise(lower)
+
+    sums = [x for m in models for x in (F.sum(m).alias(f"{m}_all"), F.count_if(F.col(m) > 0).alias(f"{m}_kinds"))]
+    words = stored(counted.groupBy("word").agg(*(F.sum(m).alias(m) for m in models)))
+    whole = words.agg(F.count("*").alias("vocabulary"), *sums).first()
+    size = F.lit(1 / max(whole["vocabulary"], 1))
+    single = words.withColumns({f"{m}_{x}": F.lit(whole[f"{m}_{x}"] or 0) for m in models for x in ("all", "kinds")})
+    single = stored(single.select("word", *(smoothed(m, size).alias(f"{m}_lower") for m in models)))
+    contexts = stored(counted.groupBy("before").agg(*sums))
+    joined = counted.join(small_side(contexts, 40), "before").join(small_side(single, 24), "word")
+    return joined.select("gram", *((-F.log(smoothed(m, F.col(f"{m}_lower")))).cast("float").alias(m) for m in models))
+
+
+def pair_scored(docs: DataFrame, table: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
+    """Columns `keep` of every document, n_tokens, background and target, the mean losses, and difference. table: stored pair_losses() of these documents."""
+    names = [f"c{i}" for i in range(len(keep))]
+    models = ("background", "target")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, texts in sliced(batch, "text"):
+                words, _, _, gram = pairs(texts)
+                of = words.text
+                at = np.lexsort((gram, of))
+                of, gram = of[at], gram[at]
+                start = np.flatnonzero(np.append(True, (of[1:] != of[:-1]) | (gram[1:] != gram[:-1]))) if len(of) else np.zeros(0, np.int64)
+                n = np.diff(np.append(start, len(of)))
+                yield pa.RecordBatch.from_arrays([part["text_hash"].take(pa.array(of[start])), pa.array(words.counts[of[start]].astype(np.int32)), pa.array(gram[start].view(np.int64)), pa.array(n.astype(np.int32))], names=["text_hash", "size", "gram", "n"])
+
+    hashed = F.xxhash64(text).alias("text_hash")
+    sparse = docs.where(F.col(text).isNotNull()).select(hashed, F.col(text).alias("text")).mapInArrow(run, "text_hash long, size int, gram long, n int")
+    # a row that occurs several times is added up as often, so the mean stays; every row gets it
+    sums = sparse.join(table, "gram").groupBy("text_hash").agg(F.max("size").alias("size"), F.sum("n").alias("all"), *(F.sum(F.col("n") * F.col(m).cast("double")).alias(m) for m in models))
+    joined = docs.select(*(F.col(c).alias(n) for c, n in zip(keep, names, strict=True)), hashed).join(sums, "text_hash", "left")
+    mean = {m: F.col(m) / F.col("all") for m in models}
+    return joined.select(*names, F.coalesce("size", F.lit(0)).cast("long").alias("n_tokens"), *(v.alias(m) for m, v in mean.items()), (mean["target"] - mean["background"]).alias("difference")).toDF(*keep, "n_tokens", *models, "difference")
+
+
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, n_tokens, background, target, difference; the target is the documents labelled as of good quality."""
     good = stored(labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").alias("good_id")).distinct())
     marked = docs.select("doc_id", "text").join(small_side(good, 16), F.col("doc_id") == F.col("good_id"), "left")
-    counted = stored(counts(marked, F.col("good_id").isNotNull()))
-    return scored(docs, stored(losses(counted)), ["doc_id"])
+    counted = stored(pair_counts(marked, F.col("good_id").isNotNull()))
+    return pair_scored(docs, stored(pair_losses(counted)), ["doc_id"])

@@ -1,4 +1,5 @@
 import math
+import re
 from collections import Counter, defaultdict
 
 import pytest
@@ -84,3 +85,42 @@ def test_tables(spark):
     good, bad = ([r.difference for r in rows if r.quality == q] for q in (1, 0))
     better = sum(g < b for g in good for b in bad) / (len(good) * len(bad))
     assert better > 0.9
+
+
+PAIRS = [(1, "The cat sat.\nThe cat", 1), (2, "the dog é 北", 0), (3, None, 1), (4, "", 0), (5, "ab", 1), (5, "ab", 1), (6, "cat the sat", 0), (7, "x " * 300, 0), (8, "!", 1)]
+
+
+def plain_pairs(texts):
+    """Counts of (word before or None, word)."""
+    return Counter(p for w in map(plain_words, texts) for p in zip([None, *w], w))
+
+
+def plain_words(text):
+    return re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", (text or "").lower())
+
+
+@pytest.mark.parametrize("good", [1, 2])
+def test_words(spark, good):
+    """report() has a model of pairs of words; without a target document its target is uniform."""
+    docs = spark.createDataFrame([(i, t) for i, t, _ in PAIRS], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(x == good)) for i, _, x in PAIRS], "doc_id long, quality int")
+    got = sorted(tuple(r) for r in ce.report(docs, labels).collect())
+    size = len({w for _, t, _ in PAIRS for w in plain_words(t)})
+
+    def loss(counts, a, b):
+        ones = Counter()
+        for (_, w), n in counts.items():
+            ones[w] += n
+        p = (ones[b] + len(ones) / size) / (ones.total() + len(ones)) if ones else 1 / size
+        seen = [n for (x, _), n in counts.items() if x == a]
+        return -math.log((counts[a, b] + len(seen) * p) / (sum(seen) + len(seen)) if seen else p)
+
+    every, target = plain_pairs(t for _, t, _ in PAIRS), plain_pairs(t for _, t, x in PAIRS if x == good)
+    want = []
+    for i, t, _ in PAIRS:
+        w = plain_words(t)
+        b, g = (sum(loss(m, *p) for p in zip([None, *w], w)) / len(w) if w else None for m in (every, target))
+        want.append((i, len(w), b, g, g - b if w else None))
+    for a, b in zip(got, want, strict=True):
+        assert a[:2] == b[:2] and (a[2] is None) == (b[2] is None)
+        assert a[2] is None or a[2:] == pytest.approx(b[2:], rel=1e-4, abs=1e-5)
