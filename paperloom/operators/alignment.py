@@ -30,24 +30,37 @@ def fit(query: str, text: str) -> tuple[int, int, int]:
     return int(distance[end]), int(distance[end] * _BIG - row[end]), end
 
 
+def fit_long(query: str, text: str, piece: int = 1 << 15) -> tuple[int, int, int]:
+    """fit() in pieces of the text, in memory of a piece's size. The distance is that of an empty stretch at most, so no best stretch is longer than twice the query; pieces overlap by as much."""
+    reach = 2 * len(query)
+    step = max(piece, reach)
+    found = []
+    for at in range(0, max(len(text), 1), step):
+        low = max(0, at - reach)
+        distance, start, end = fit(query, text[low : at + step])
+        found.append((distance, low + end, -low - start))
+    distance, end, start = min(found)
+    return distance, -start, end
+
+
 def status(distance: Column, length: Column, exact: Column) -> Column:
     """mapped, uncertain or unmapped; a passage that is found word for word at several places is uncertain."""
     ratio = distance / F.greatest(length, F.lit(1))
     return F.when(exact == 1, "mapped").when(exact > 1, "uncertain").when(ratio <= 0.1, "mapped").when(ratio <= 0.35, "uncertain").otherwise("unmapped")
 
 
-def aligned(pairs: DataFrame, query: str, text: str, most_cells: int = 20_000_000) -> DataFrame:
-    """The pairs with exact (how often the text holds the query), distance, start, end and status. Only pairs without an exact hit are fitted; too large ones have status too_large."""
+def aligned(pairs: DataFrame, query: str, text: str, most_cells: int | None = 20_000_000) -> DataFrame:
+    """The pairs with exact (how often the text holds the query), distance, start, end and status. Only pairs without an exact hit are fitted; too large ones, if there is a limit, have status too_large."""
     exact = ((F.length(text) - F.length(F.replace(F.col(text), F.col(query), F.lit("")))) / F.greatest(F.length(query), F.lit(1))).cast("int")
 
     @F.pandas_udf("distance int, start int, end int")
     def fitted(q: pd.Series, t: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([fit(a, b) if a is not None and b is not None else (None, None, None) for a, b in zip(q, t, strict=True)], columns=["distance", "start", "end"])
+        return pd.DataFrame([fit_long(a, b) if a is not None and b is not None else (None, None, None) for a, b in zip(q, t, strict=True)], columns=["distance", "start", "end"])
 
     at = F.instr(text, F.col(query)) - 1
     cells = F.length(query).cast("long") * F.length(text)
     rows = pairs.withColumn("exact", exact)
-    hit, large = F.col("exact") > 0, cells > most_cells
+    hit, large = F.col("exact") > 0, F.lit(False) if most_cells is None else cells > most_cells
     fields = ("distance int", "start int", "end int")
     none = F.struct(*(F.lit(None).cast("int").alias(f.split()[0]) for f in fields))
     direct = rows.where(hit).withColumn("fit", F.struct(F.lit(0).alias("distance"), at.alias("start"), (at + F.length(query)).alias("end")))

@@ -201,14 +201,14 @@ def review_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def passage_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark passages fitted into the lines that share eight words in a row with them."""
+    """Benchmark passages fitted into the documents that share eight words in a row with them."""
     words = F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " ")
     shingle = lambda key: F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 7, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice("w", i, 8), " ")))).alias(key)
     items = read(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("passage"), words.alias("w"))
     docs = read(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("line"), words.alias("w"))
     pairs = docs.select("doc_id", shingle("key")).join(items.select("item_id", shingle("key")), "key").select("doc_id", "item_id").distinct()
     both = pairs.join(items.drop("w"), "item_id").join(docs.drop("w"), "doc_id")
-    return alignment.aligned(both, "passage", "line").drop("passage", "line")
+    return alignment.aligned(both, "passage", "line", most_cells=None).drop("passage", "line")
 
 
 @query(f"""

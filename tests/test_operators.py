@@ -7,6 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from paperloom.operators import alignment, checks, chunking, events, normalize, resolve, spatial
+from paperloom.plans import relations
 from paperloom.sources import documents, html
 from paperloom.streaming import events as streams
 
@@ -67,6 +68,23 @@ def test_fit(q, t):
     assert row[0] == distance
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.text("ab", max_size=4), st.text("abc", max_size=40))
+def test_fit_long(q, t):
+    assert alignment.fit_long(q, t, piece=3) == alignment.fit(q, t)
+
+
+def test_long_documents(spark, tmp_path):
+    """A passage with a changed word is found in a document of more than 20 million cells."""
+    passage = " ".join(f"passage{k}" for k in range(40))
+    text = "filler " * 10_000 + passage.replace("passage20", "other") + " filler" * 100
+    spark.createDataFrame([(1, passage)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(1, text)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert len(passage) * len(text) > 20_000_000
+    r = relations.passage_alignment(spark, str(tmp_path)).first()
+    assert (r.status, r.start, text[r.start : r.end]) == ("mapped", 70_000, text[70_000 : 70_000 + len(passage) - 4])
+
+
 def test_alignment(spark):
     long = "the quick brown fox jumps over the lazy dog"
     rows = [(0, "brown fox", long), (1, "the", long), (2, "brwn fax jumps", long), (3, "zzzzzzzzzz", long), (4, "quick brown fxo jumps over", long), (5, "big" * 10, "y" * 10)]
