@@ -30,8 +30,6 @@ SMOOTH = 0.2
 ROUNDS = 10
 #: Trigrams of a text overlap, so they count as evidence for fewer.
 PENALTY = 6.0
-#: Languages in one text at most; the shares of further ones are far below what can be told.
-MOST = 4
 
 _FOLD = np.full(256, 32, np.uint8)
 _FOLD[97:123] = np.arange(97, 123)
@@ -124,7 +122,7 @@ class Mixture:
         chosen = np.ones(len(some), int)
         final = np.zeros_like(pi)
         final[np.arange(len(some)), best] = 1
-        for size in range(2, min(MOST, k) + 1):
+        for size in range(2, k + 1):
             again = np.flatnonzero(-2 * fit + size * penalty < cost)  # no smaller set fits better than all languages
             if not len(again):
                 break

@@ -1,3 +1,4 @@
+import random
 import zlib
 from collections import Counter
 
@@ -69,3 +70,16 @@ def test_held_out(spark):
     rows = languages.report(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
     assert sum(r.lang == r.lang_pred for r in rows) >= 0.98 * len(rows)
     assert all(0 <= r.score <= 1 for r in rows)
+
+
+def test_many_languages(spark):
+    """A text in equal parts of six languages has all six."""
+    rng = random.Random(5)
+    letters = ["abcd", "efgh", "ijkl", "mnop", "qrst", "uvwx", "yzéà"]
+    speak = lambda k, n: " ".join("".join(rng.choice(letters[k]) for _ in range(rng.randint(3, 7))) for _ in range(n))
+    train = [(k, f"l{k}", speak(k, 400)) for k in range(len(letters))]
+    model = languages.fit(spark.createDataFrame(train, "doc_id long, lang string, text string"))
+    mixed = spark.createDataFrame([(1, " ".join(speak(k, 200) for k in range(6))), (2, speak(6, 200))], "doc_id long, text string")
+    got = {r.doc_id: r for r in languages.predicted(mixed, model, ["doc_id"]).collect()}
+    assert sorted(got[1].langs) == [f"l{k}" for k in range(6)] and got[2].langs == ["l6"]
+    assert sum(got[1].shares) > 0.99 and min(got[1].shares) > 0.1
