@@ -1,28 +1,32 @@
 """Language-model scoring by cross-entropy difference.
 
-Two models of the same order, smoothing and vocabulary - the distinct words of all documents, op3's
-words - are counted from all documents: a background model from every one, a target model from those
-marked as target. A document's score is the mean, over its words, of the target model's loss less
-the background model's; the less, the more it is like the target. A word's probability given the
-word before, or a start sign, is interpolated by Witten and Bell's rule with the word's own, and
-that with the uniform one.
-
-Counting combines within tasks and before the shuffle. Smoothing joins pairs with their first and
-second words. The table of pairs grows with the corpus, so the texts' pairs, added up within each
-text, are shuffled to it and their losses are summed by text.
-
-counts(), losses() and scored() are the same for n-grams of bytes, a table that levels off: up to
-BROADCAST_ROWS rows it is broadcast and texts are only mapped; beyond, n-grams are shuffled to it.
+Two models of word pairs, of one order and one smoothing, share one vocabulary: the classes that
+op3's words fall into by a hash, 2**VOCABULARY of them. The background model is counted from all
+documents, the target model from those marked as target. A document's score is the mean, over its
+words, of the target model's loss less the background model's; the less, the more it is like the
+target. No document is scored by its own words: they are taken off both models' counts first.
+
+The probability of word w after b, or after a start sign, has a Dirichlet prior of weight PRIOR:
+(n(b, w) + PRIOR * p(w)) / (n(b) + PRIOR), with p(w) = (n(w) + 1) / (all + classes). Its logarithm
+falls into terms of b, of w, and of the pair, the last being nought where the pair occurs nowhere
+else. So pairs that occur once only are never needed again.
+
+Counts combine within tasks and before the shuffle. Those of words, as many as there are classes,
+are broadcast, and so are those of the FREQUENT most frequent pairs. Of a text's other pairs, those
+that may occur elsewhere - a broadcast filter of 2**FILTER bits tells, but for some more that it lets
+through - are shuffled to the counts of pairs, where no key is frequent, and their terms are summed
+by text. Which way a pair goes doesn't change its term. The filter fills up as the corpus grows: it
+then lets more through, at no change of results.
 
 Defined results: null texts and texts without words have no tokens and null losses; without a target
-document the target model is uniform; repeated rows count and are scored each; other columns may
-have any names. Of bytes, n-grams that no model has seen are scored by their longest known ending
-where the table is broadcast.
+document the target model is uniform; repeated rows count and are scored each, by one another too;
+labels of ids that several documents have count for each; other columns may have any names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -30,282 +34,220 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .frames import small_side, stored
-from .text import LETTERS, LOWER, Hasher, Texts, Words, mixed, sliced
-
-ORDER = 5
-BROADCAST_ROWS = 2_000_000
-#: Distinct n-grams that a task holds before it hands them on.
+from .text import LETTERS, Hasher, Texts, Words, sliced
+
+#: Bits of a word's class; class 0 is the start sign.
+VOCABULARY = 20
+PRIOR = 20.0
+#: Pairs whose counts are broadcast.
+FREQUENT = 1_000_000
+#: Bits of the filter, as a power of two.
+FILTER = 27
+#: Distinct pairs that a task holds before it hands them on.
 HELD = 3_000_000
-_ODD = np.uint64(0x9E3779B97F4A7C15)
-
-_BYTES = LOWER.copy()
-_BYTES[9:14] = 32
-_BYTES[0] = 32  # 0 is the start sign
-
-
-def grams(texts: Texts, order: int = ORDER) -> np.ndarray:
-    """For each byte of the texts the n-gram that ends in it, as a number."""
-    of = np.repeat(np.arange(texts.rows), np.diff(texts.offsets))
-    place = np.arange(len(of)) + (order - 1) * (of + 1)
-    padded = np.zeros(len(of) + (order - 1) * (texts.rows + 1), np.uint64)
-    padded[place] = _BYTES[texts.data]
-    key = np.zeros(len(place), np.uint64)
-    for k in range(order - 1, -1, -1):
-        key = key << np.uint64(8) | padded[place - k]
-    return key
-
-
-def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    key, n = np.concatenate(keys), np.concatenate(counts)
-    order = np.argsort(key, kind="stable")
-    key, n = key[order], n[order]
-    start = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
-    return key[start], np.add.reduceat(n, start) if len(key) else n
-
-
-def counts(docs: DataFrame, target: Column, text: str = "text", order: int = ORDER) -> DataFrame:
-    """gram, background and target: how often each n-gram occurs in all documents and in those of the target."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys: list[np.ndarray] = []
-        ns: list[np.ndarray] = []
-
-        def rows() -> pa.RecordBatch:
-            key, n = _summed(keys, ns)
-            marked = (key & np.uint64(1)).astype(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array((key >> np.uint64(1)).astype(np.int64)), pa.array(n), pa.array(n * marked)], names=["gram", "background", "target"])
-
-        for batch in batches:
-            for part, texts in sliced(batch, "text"):
-                marked = np.repeat(part["target"].to_numpy(zero_copy_only=False).astype(np.uint64), np.diff(texts.offsets))
-                key, n = np.unique(grams(texts, order) << np.uint64(1) | marked, return_counts=True)
-                keys.append(key)
-                ns.append(n.astype(np.int64))
-                if sum(map(len, keys)) > HELD:
-                    keys[:], ns[:] = ([x] for x in _summed(keys, ns))
-                    if len(keys[0]) > HELD // 2:
-                        yield rows()
-                        keys.clear()
-                        ns.clear()
-        if keys:
-            yield rows()
-
-    source = docs.where(F.col(text).isNotNull()).select(F.coalesce(target, F.lit(False)).alias("target"), F.col(text).alias("text"))
-    return source.mapInArrow(run, "gram long, background long, target long").groupBy("gram").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
-
 
-def losses(counted: DataFrame, order: int = ORDER) -> DataFrame:
-    """order, gram, background and target: minus log probabilities of the last byte of every n-gram of every order, given those before."""
-    models = ("background", "target")
-    levels = [counted]
-    for k in range(order - 1, 0, -1):
-        levels.insert(0, levels[0].select(F.col("gram").bitwiseAND((1 << 8 * k) - 1).alias("gram"), *models).groupBy("gram").agg(*(F.sum(m).alias(m) for m in models)))
-    lower, out = None, None
-    for k, level in enumerate(levels, 1):
-        context = F.shiftright("gram", 8)
-        sums = level.groupBy(context.alias("context")).agg(*(F.sum(m).alias(f"{m}_all") for m in models), *(F.count_if(F.col(m) > 0).alias(f"{m}_kinds") for m in models))
-        joined = level.withColumn("context", context).join(sums, "context")
-        if lower is None:
-            joined = joined.select("*", *(F.lit(1 / 256).alias(f"{m}_lower") for m in models))
-        else:
-            ending = lower.select(F.col("gram").alias("ending"), *(F.col(f"{m}_p").alias(f"{m}_lower") for m in models))
-            joined = joined.join(ending, F.col("gram").bitwiseAND((1 << 8 * (k - 1)) - 1) == F.col("ending")).drop("ending")
-        p = {
-            m: F.when(F.col(f"{m}_all") > 0, (F.col(m) + F.col(f"{m}_kinds") * F.col(f"{m}_lower")) / F.greatest(F.col(f"{m}_all") + F.col(f"{m}_kinds"), F.lit(1))).otherwise(F.col(f"{m}_lower"))
-            for m in models
-        }
-        lower = stored(joined.select("gram", *(v.alias(f"{m}_p") for m, v in p.items())))
-        rows = lower.select(F.lit(k).alias("order"), "gram", *((-F.log(f"{m}_p")).cast("float").alias(m) for m in models))
-        out = rows if out is None else out.unionByName(rows)
-    return out
-
-
-class Table:
-    """Losses by n-gram, of all orders, in one hash table."""
-
-    def __init__(self, order: np.ndarray, gram: np.ndarray, losses_: np.ndarray, top: int = ORDER):
-        self.top = top
-        bits = max(10, int(len(gram)).bit_length() + 1)
-        self.mask = np.uint64((1 << bits) - 1)
-        self.keys = np.full(1 << bits, np.uint64((1 << 64) - 1))
-        self.at = np.zeros(1 << bits, np.int32)
-        self.losses = np.concatenate([losses_, np.full((1, 2), np.log(256), np.float32)])
-        key = gram.astype(np.uint64) | order.astype(np.uint64) << np.uint64(56)
-        slot, todo = self.slot(key), np.arange(len(key))
-        while len(todo):
-            free = self.keys[slot[todo]] == np.uint64((1 << 64) - 1)
-            _, one = np.unique(np.where(free, slot[todo].astype(np.int64), -1), return_index=True)
-            one = one[free[one]]
-            self.keys[slot[todo[one]]], self.at[slot[todo[one]]] = key[todo[one]], todo[one]
-            todo = np.delete(todo, one)
-            slot[todo] = (slot[todo] + np.uint64(1)) & self.mask
-
-    def slot(self, key: np.ndarray) -> np.ndarray:
-        return mixed(key) & self.mask
-
-    def find(self, key: np.ndarray) -> np.ndarray:
-        """The row of each key; -1 where there is none."""
-        out = np.full(len(key), -1, np.int32)
-        slot, todo = self.slot(key), np.arange(len(key))
-        while len(todo):
-            there = self.keys[slot]
-            hit = there == key
-            out[todo[hit]] = self.at[slot[hit]]
-            on = ~hit & (there != np.uint64((1 << 64) - 1))
-            todo, key, slot = todo[on], key[on], (slot[on] + np.uint64(1)) & self.mask
-        return out
 
-    def sums(self, texts: Texts) -> np.ndarray:
-        """Summed losses of each text: background and target."""
-        gram = grams(texts, self.top)
-        row = np.full(len(gram), -1, np.int32)
-        left = np.arange(len(gram))
-        for k in range(self.top, 0, -1):
-            key = gram[left] & np.uint64((1 << 8 * k) - 1) | np.uint64(k << 56)
-            row[left] = self.find(key)
-            left = left[row[left] < 0]
-            if not len(left):
-                break
-        upto = np.concatenate([np.zeros((1, 2)), np.cumsum(self.losses[row], 0, dtype=np.float64)])
-        return upto[texts.offsets[1:]] - upto[texts.offsets[:-1]]
+class Pairs(NamedTuple):
+    """Words of some texts: text, class, class of the word before, and the pair as one number. counts: words of each text."""
 
+    text: np.ndarray
+    word: np.ndarray
+    before: np.ndarray
+    pair: np.ndarray
+    counts: np.ndarray
 
-def scored(docs: DataFrame, table: DataFrame, keep: list[str], text: str = "text", order: int = ORDER, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Columns `keep` of every document, n_tokens, background and target, the mean losses, and difference. table: stored losses()."""
-    names = [f"c{i}" for i in range(len(keep))]
-    source = docs.select(*(F.col(c).alias(n) for c, n in zip(keep, names, strict=True)), F.col(text).alias("text"))
-    if table.count() <= broadcast_rows:
-        out = _mapped(source, table, names, order)
-    else:
-        out = _shuffled(source, table.where(F.col("order") == order), names, order)
-    mean = {m: F.when(F.col("n_tokens") > 0, F.col(m) / F.col("n_tokens")) for m in ("background", "target")}
-    return out.select(*names, "n_tokens", *(v.alias(m) for m, v in mean.items()), (mean["target"] - mean["background"]).alias("difference")).toDF(*keep, "n_tokens", "background", "target", "difference")
 
-
-def _mapped(source: DataFrame, table: DataFrame, names: list[str], order: int) -> DataFrame:
-    rows = table.toArrow()
-    values = np.stack([rows[m].to_numpy() for m in ("background", "target")], 1)
-    shared = source.sparkSession.sparkContext.broadcast(Table(rows["order"].to_numpy(), rows["gram"].to_numpy(), values, order))
-    fields = "".join(f"{n} {source.schema[n].dataType.simpleString()}, " for n in names)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part, texts in sliced(batch, "text"):
-                sums = shared.value.sums(texts)
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(np.diff(texts.offsets)), pa.array(sums[:, 0]), pa.array(sums[:, 1])], names=[*names, "n_tokens", "background", "target"])
-
-    return source.mapInArrow(run, f"{fields}n_tokens long, background double, target double")
-
-
-def _shuffled(source: DataFrame, table: DataFrame, names: list[str], order: int) -> DataFrame:
-    """Each text's n-grams, added up within it, meet the table by n-gram, then each other by text. A row that occurs several times is added up as often, so the mean stays; every row gets it."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part, texts in sliced(batch, "text"):
-                of = np.repeat(np.arange(texts.rows), np.diff(texts.offsets))
-                key = grams(texts, order)
-                at = np.lexsort((key, of))
-                of, key = of[at], key[at]
-                start = np.flatnonzero(np.append(True, (of[1:] != of[:-1]) | (key[1:] != key[:-1]))) if len(of) else np.zeros(0, np.int64)
-                n = np.diff(np.append(start, len(of)))
-                yield pa.RecordBatch.from_arrays([part["text_hash"].take(pa.array(of[start])), part["size"].take(pa.array(of[start])), pa.array(key[start].astype(np.int64)), pa.array(n)], names=["text_hash", "size", "gram", "n"])
-
-    sized = source.select("text", F.xxhash64("text").alias("text_hash"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("size"))
-    sparse = sized.select("text_hash", "size", "text").mapInArrow(run, "text_hash long, size long, gram long, n long")
-    sums = sparse.join(table, "gram").groupBy("text_hash", "size").agg(F.sum("n").alias("all"), *(F.sum(F.col("n") * F.col(m)).alias(m) for m in ("background", "target")))
-    texts = source.select(*names, F.xxhash64("text").alias("text_hash"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("size"))
-    share = {m: (F.col(m) / F.col("all") * F.col("size")).alias(m) for m in ("background", "target")}
-    return texts.join(sums, ["text_hash", "size"], "left").select(*names, F.col("size").alias("n_tokens"), *share.values())
-
-
-def pairs(texts: Texts) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray]:
-    """The words, and for each the hash of the word before it, 0 at a text's start, its own, and that of the pair."""
+def pairs(texts: Texts, bits: int = VOCABULARY) -> Pairs:
     words = Words(texts, LETTERS, lower=True)
-    word = Hasher(words.data)(words.start, words.end)
-    before = np.concatenate((np.zeros(1, np.uint64), word))[:-1]
+    word = np.maximum(Hasher(words.data)(words.start, words.end) >> np.uint64(64 - bits), np.uint64(1)).astype(np.int64)
+    before = np.concatenate((np.zeros(1, np.int64), word))[:-1]
     before[words.first[:-1][words.counts > 0]] = 0
-    return words, before, word, mixed(before * _ODD + word)
+    return Pairs(words.text, word, before, before << bits | word, words.counts)
 
 
-def pair_counts(docs: DataFrame, target: Column, text: str = "text") -> DataFrame:
-    """gram, before, word, background and target: how often each pair of words occurs in all documents and in those of the target."""
-    names = ["gram", "before", "word", "background", "target"]
+def _summed(parts: list[list[np.ndarray]]) -> list[np.ndarray]:
+    key, *ns = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.argsort(key, kind="stable")
+    start = np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1])) if len(key) else order
+    return [key[order[start]], *(np.add.reduceat(n[order], start) if len(n) else n for n in ns)]
+
 
-    def summed(parts: list[list[np.ndarray]]) -> list[np.ndarray]:
-        gram, before, word, *ns = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.argsort(gram)
-        start = order[:0] if not len(order) else np.flatnonzero(np.append(True, gram[order][1:] != gram[order][:-1]))
-        return [*(x[order[start]] for x in (gram, before, word)), *(np.add.reduceat(n[order], start) if len(n) else n for n in ns)]
+def counted(docs: DataFrame, target: Column, text: str = "text", bits: int = VOCABULARY) -> DataFrame:
+    """key, background, target, background_context, target_context: how often each pair (key from 0 on) and each word (-1 - class) occurs,
+    and each word as the one before, in all documents and in those of the target. Pairs that occur once are left out. Stored."""
 
     def rows(found: list[np.ndarray]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in found], names=names)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["key", "n", "context"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: list[list[np.ndarray]] = []
+        held: list[list[np.ndarray]] = []
         for batch in batches:
             for part, texts in sliced(batch, "text"):
-                words, before, word, gram = pairs(texts)
-                marked = np.repeat(part["target"].to_numpy(zero_copy_only=False).astype(np.int64), words.counts)
-                parts.append(summed([[gram, before, word, np.ones(len(gram), np.int64), marked]]))
-                if sum(len(x[0]) for x in parts) > HELD:
-                    parts = [summed(parts)]
-                    if len(parts[0][0]) > HELD // 2:
-                        yield rows(parts.pop())
-        if parts:
-            yield rows(summed(parts))
+                p = pairs(texts, bits)
+                marked = np.repeat(part["target"].to_numpy(zero_copy_only=False).astype(np.int64), p.counts)
+                key, n = np.unique(p.pair << 1 | marked, return_counts=True)
+                held.append([key, n, np.zeros(len(key), np.int64)])
+                for k, class_ in enumerate((p.word, p.before)):
+                    key, n = np.unique(class_ << 1 | marked, return_counts=True)
+                    held.append([-1 - key, n * (k == 0), n * (k == 1)])
+                if sum(len(x[0]) for x in held) > HELD:
+                    held = [_summed(held)]
+                    if len(held[0][0]) > HELD // 2:
+                        yield rows(held.pop())
+        if held:
+            yield rows(_summed(held))
 
     source = docs.where(F.col(text).isNotNull()).select(F.coalesce(target, F.lit(False)).alias("target"), F.col(text).alias("text"))
-    found = source.mapInArrow(run, ", ".join(f"{n} long" for n in names))
-    return found.groupBy("gram").agg(F.min("before").alias("before"), F.min("word").alias("word"), F.sum("background").alias("background"), F.sum("target").alias("target"))
-
-
-def pair_losses(counted: DataFrame) -> DataFrame:
-    """gram, background and target: minus log probabilities of the second word of every pair, given the first. counted: stored pair_counts()."""
-    models = ("background", "target")
-
-    def smoothed(m: str, lower: Column) -> Column:
-        return F.when(F.col(f"{m}_all") > 0, (F.col(m) + F.col(f"{m}_kinds") * lower) / (F.col(f"{m}_all") + F.col(f"{m}_kinds"))).otherwise(lower)
+    found = source.mapInArrow(run, "key long, n long, context long")
+    # of a word's key -1 - (2 * class + mark) the mark is the last bit turned over
+    marked = F.when(F.col("key") < 0, 1 - F.pmod("key", F.lit(2))).otherwise(F.pmod("key", F.lit(2)))
+    sums = found.groupBy(F.shiftright("key", 1).alias("key")).agg(
+        F.sum("n").alias("background"), F.sum(marked * F.col("n")).alias("target"), F.sum("context").alias("background_context"), F.sum(marked * F.col("context")).alias("target_context")
+    )
+    return stored(sums.where("key < 0 or background > 1"))
+
+
+class Model:
+    """What is broadcast: counts of words, of words as the one before, and of frequent pairs, for both models; and the filter."""
+
+    def __init__(self, counts: DataFrame, bits: int, frequent: int, filter_bits: int, prior: float):
+        self.bits, self.filter_bits, self.prior = bits, filter_bits, prior
+        words = counts.where("key < 0").toArrow()
+        self.words, self.contexts = np.zeros((2, 1 << bits), np.int64), np.zeros((2, 1 << bits), np.int64)
+        at = -1 - words["key"].to_numpy()
+        for m, name in enumerate(("background", "target")):
+            self.words[m, at], self.contexts[m, at] = words[name].to_numpy(), words[f"{name}_context"].to_numpy()
+        self.totals = self.words.sum(1)
+        #: Pairs with as many occurrences are broadcast, the others aren't.
+        self.least = 2
+        seen = 0
+        for n, kinds in sorted(counts.where("key >= 0").groupBy("background").count().collect(), reverse=True):
+            seen += kinds
+            if seen > frequent:
+                self.least = n + 1
+                break
+        known = counts.where((F.col("key") >= 0) & (F.col("background") >= self.least)).select("key", "background", "target").toArrow()
+        order = np.argsort(known["key"].to_numpy())
+        self.keys = known["key"].to_numpy()[order]
+        self.pairs = np.stack([known[m].to_numpy()[order] for m in ("background", "target")]) if len(order) else np.zeros((2, 0), np.int64)
+        rest = counts.where((F.col("key") >= 0) & (F.col("background") < self.least))
+        slot = F.col("key").bitwiseXOR(F.shiftright("key", 15)).bitwiseAND((1 << filter_bits) - 1)  # a pair is made of hashes
+        filled = rest.select(F.shiftright(slot, 5).alias("at"), F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(31).cast("int")).alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bit")).toArrow()
+        self.filter = np.zeros(1 << max(filter_bits - 5, 0), np.uint32)
+        self.filter[filled["at"].to_numpy()] = filled["bit"].to_numpy().astype(np.uint32)
+        self.rest = len(filled) > 0
+
+    def elsewhere(self, pair: np.ndarray) -> np.ndarray:
+        """Whether each pair may be one of those that aren't broadcast."""
+        slot = (pair ^ pair >> 15) & ((1 << self.filter_bits) - 1)
+        return (self.filter[slot >> 5] >> (slot & 31).astype(np.uint32) & np.uint32(1)).astype(bool)
+
+    def find(self, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the pairs are frequent, and their places."""
+        at = np.minimum(np.searchsorted(self.keys, pair), max(len(self.keys) - 1, 0))
+        return (self.keys[at] == pair) if len(self.keys) else np.zeros(len(pair), bool), at
+
+
+class _Text(NamedTuple):
+    """Distinct pairs of some texts: text, pair, occurrences in the text, and the second word's probability, times the prior, in both models without the text."""
+
+    text: np.ndarray
+    pair: np.ndarray
+    n: np.ndarray
+    lower: np.ndarray
+
+
+def _own(key: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (text, key) in order, as first places in order, the order, and how often each occurs."""
+    order = np.lexsort((key, text))
+    k, t = key[order], text[order]
+    start = np.flatnonzero(np.append(True, (k[1:] != k[:-1]) | (t[1:] != t[:-1]))) if len(k) else np.zeros(0, np.int64)
+    return start, order, np.diff(np.append(start, len(k)))
+
+
+def _measured(model: Model, texts: Texts, marked: np.ndarray) -> tuple[Pairs, np.ndarray, _Text]:
+    """The words; the summed losses of each text, background and target, without the terms of its pairs; and its pairs."""
+    p = pairs(texts, model.bits)
+    own = np.stack([np.ones(texts.rows), marked.astype(float)])  # whether the text is in the model
+    rest = (model.totals[:, None] - own * p.counts) + (1 << model.bits)
+
+    def times(key: np.ndarray) -> np.ndarray:
+        start, order, n = _own(key, p.text)
+        out = np.empty(len(key))
+        out[order] = np.repeat(n, n)
+        return out
 
-    sums = [x for m in models for x in (F.sum(m).alias(f"{m}_all"), F.count_if(F.col(m) > 0).alias(f"{m}_kinds"))]
-    words = stored(counted.groupBy("word").agg(*(F.sum(m).alias(m) for m in models)))
-    whole = words.agg(F.count("*").alias("vocabulary"), *sums).first()
-    size = F.lit(1 / max(whole["vocabulary"], 1))
-    single = words.withColumns({f"{m}_{x}": F.lit(whole[f"{m}_{x}"] or 0) for m in models for x in ("all", "kinds")})
-    single = stored(single.select("word", *(smoothed(m, size).alias(f"{m}_lower") for m in models)))
-    contexts = stored(counted.groupBy("before").agg(*sums))
-    joined = counted.join(small_side(contexts, 40), "before").join(small_side(single, 24), "word")
-    return joined.select("gram", *((-F.log(smoothed(m, F.col(f"{m}_lower")))).cast("float").alias(m) for m in models))
+    lower = (model.words[:, p.word] - own[:, p.text] * times(p.word) + 1) / rest[:, p.text]
+    context = model.contexts[:, p.before] - own[:, p.text] * times(p.before) + model.prior
+    each = np.log(context) - np.log(model.prior * lower)
+    upto = np.concatenate((np.zeros((2, 1)), np.cumsum(each, 1)), 1)
+    edge = np.concatenate(([0], np.cumsum(p.counts)))
+    start, order, n = _own(p.pair, p.text)
+    first = order[start]
+    return p, upto[:, edge[1:]] - upto[:, edge[:-1]], _Text(p.text[first], p.pair[first], n, model.prior * lower[:, first])
 
 
-def pair_scored(docs: DataFrame, table: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
-    """Columns `keep` of every document, n_tokens, background and target, the mean losses, and difference. table: stored pair_losses() of these documents."""
+def scored(docs: DataFrame, counts: DataFrame, target: Column, keep: list[str], text: str = "text", bits: int = VOCABULARY, frequent: int = FREQUENT, filter_bits: int = FILTER, prior: float = PRIOR) -> DataFrame:
+    """Columns `keep` of every document, n_tokens, background and target, the mean losses, and difference. counts: counted() of these documents and this target."""
     names = [f"c{i}" for i in range(len(keep))]
     models = ("background", "target")
+    identity = ["text_hash", "size", "marked"]
+    fields = "".join(f"{n} {docs.schema[c].dataType.simpleString()}, " for n, c in zip(names, keep, strict=True))
+    model = Model(counts, bits, frequent, filter_bits, prior)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m: Model = shared.value
+        for batch in batches:
+            for part, texts in sliced(batch, "text"):
+                marked = part["marked"].to_numpy(zero_copy_only=False).astype(bool)
+                p, sums, t = _measured(m, texts, marked)
+                known, at = m.find(t.pair)
+                for k in range(2):
+                    n = m.pairs[k, at[known]] - t.n[known] * (1 if k == 0 else marked[t.text[known]])
+                    sums[k] -= np.bincount(t.text[known], t.n[known] * np.log1p(n / t.lower[k, known]), texts.rows)
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(p.counts.astype(np.int64)), pa.array(sums[0]), pa.array(sums[1])], names=[*part.schema.names[:-1], "n_tokens", *models])
+
+    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each text, with a null pair, and one for each of its pairs that may occur elsewhere and isn't frequent."""
+        m: Model = shared.value
         for batch in batches:
             for part, texts in sliced(batch, "text"):
-                words, _, _, gram = pairs(texts)
-                of = words.text
-                at = np.lexsort((gram, of))
-                of, gram = of[at], gram[at]
-                start = np.flatnonzero(np.append(True, (of[1:] != of[:-1]) | (gram[1:] != gram[:-1]))) if len(of) else np.zeros(0, np.int64)
-                n = np.diff(np.append(start, len(of)))
-                yield pa.RecordBatch.from_arrays([part["text_hash"].take(pa.array(of[start])), pa.array(words.counts[of[start]].astype(np.int32)), pa.array(gram[start].view(np.int64)), pa.array(n.astype(np.int32))], names=["text_hash", "size", "gram", "n"])
-
-    hashed = F.xxhash64(text).alias("text_hash")
-    sparse = docs.where(F.col(text).isNotNull()).select(hashed, F.col(text).alias("text")).mapInArrow(run, "text_hash long, size int, gram long, n int")
-    # a row that occurs several times is added up as often, so the mean stays; every row gets it
-    sums = sparse.join(table, "gram").groupBy("text_hash").agg(F.max("size").alias("size"), F.sum("n").alias("all"), *(F.sum(F.col("n") * F.col(m).cast("double")).alias(m) for m in models))
-    joined = docs.select(*(F.col(c).alias(n) for c, n in zip(keep, names, strict=True)), hashed).join(sums, "text_hash", "left")
-    mean = {m: F.col(m) / F.col("all") for m in models}
-    return joined.select(*names, F.coalesce("size", F.lit(0)).cast("long").alias("n_tokens"), *(v.alias(m) for m, v in mean.items()), (mean["target"] - mean["background"]).alias("difference")).toDF(*keep, "n_tokens", *models, "difference")
-
-
-def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
+                marked = part["marked"].to_numpy(zero_copy_only=False).astype(bool)
+                _, _, t = _measured(m, texts, marked)
+                use = np.flatnonzero(m.elsewhere(t.pair) & ~m.find(t.pair)[0])
+                row = pa.array(np.concatenate((np.arange(texts.rows), t.text[use])))
+                none = np.zeros(texts.rows)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part["text_hash"].take(row),
+                        part["size"].take(row),
+                        part["marked"].take(row),
+                        pa.array(np.concatenate((none.astype(np.int64), t.pair[use])), mask=np.arange(len(row)) < texts.rows),
+                        pa.array(np.concatenate((none, t.n[use])).astype(np.int32)),
+                        *(pa.array(np.concatenate((none, t.lower[k, use])).astype(np.float64)) for k in range(2)),
+                    ],
+                    names=[*identity, "pair", "n", "background_lower", "target_lower"],
+                )
+
+    source = docs.select(*(F.col(c).alias(n) for c, n in zip(keep, names, strict=True)), F.xxhash64(text).alias("text_hash"), F.coalesce(F.octet_length(text), F.lit(0)).alias("size"), F.coalesce(target, F.lit(False)).alias("marked"), F.col(text).alias("text"))
+    base = source.mapInArrow(mapped, f"{fields}text_hash long, size int, marked boolean, n_tokens long, background double, target double")
+    if model.rest:
+        sparse = source.select(*identity, "text").mapInArrow(others, "text_hash long, size int, marked boolean, pair long, n int, background_lower double, target_lower double")
+        table = counts.where((F.col("key") >= 0) & (F.col("background") < model.least)).select(F.col("key").alias("pair"), F.col("background").alias("n_background"), F.col("target").alias("n_target"))
+        less = {"background": F.col("n"), "target": F.when(F.col("marked"), F.col("n")).otherwise(0)}
+        terms = {m: F.when(F.col(f"n_{m}") > less[m], F.col("n") * F.log1p((F.col(f"n_{m}") - less[m]) / F.col(f"{m}_lower"))).otherwise(0.0) for m in models}
+        # a text that several rows have is added up as often
+        sums = sparse.join(table, "pair", "left").groupBy(*identity).agg(F.count_if(F.col("pair").isNull()).alias("copies"), *(F.sum(v).alias(f"{m}_terms") for m, v in terms.items()))
+        sums = sums.where("background_terms > 0 or target_terms > 0")
+        base = base.join(sums, identity, "left").withColumns({m: F.col(m) - F.coalesce(F.col(f"{m}_terms") / F.col("copies"), F.lit(0.0)) for m in models})
+    mean = {m: F.when(F.col("n_tokens") > 0, F.col(m) / F.col("n_tokens")) for m in models}
+    return base.select(*names, "n_tokens", *(v.alias(m) for m, v in mean.items()), (mean["target"] - mean["background"]).alias("difference")).toDF(*keep, "n_tokens", *models, "difference")
+
+
+def report(docs: DataFrame, labels: DataFrame, **parameters) -> DataFrame:
     """doc_id, n_tokens, background, target, difference; the target is the documents labelled as of good quality."""
     good = stored(labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").alias("good_id")).distinct())
     marked = docs.select("doc_id", "text").join(small_side(good, 16), F.col("doc_id") == F.col("good_id"), "left")
-    counted = stored(pair_counts(marked, F.col("good_id").isNotNull()))
-    return pair_scored(docs, stored(pair_losses(counted)), ["doc_id"])
+    target = F.col("good_id").isNotNull()
+    return scored(marked, counted(marked, target), target, ["doc_id"], **parameters)
