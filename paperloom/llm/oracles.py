@@ -27,10 +27,10 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS B
 FROM d LEFT JOIN hw ON d.doc_id = hw.doc_id LEFT JOIN ids ON d.doc_id = ids.doc_id"""
 
 _INK = r"[^\x20\x09-\x0D]"
-_RATIOS = {"symbols": "n_symbols", "repeats": "n_repeat_words", "word_length": "word_chars"}
+_RATIOS = {k: f"ln(({n} + 1) / ({of} + {quality.EXTRA[of]}))" for k, (n, of) in quality.RATIOS.items()} | {"word_length": "ln(greatest(word_chars, 1) / greatest(n_words, 1))"}
 _CHECKS = " OR ".join(
     f"coalesce((SELECT bool_or({v} > high{f' OR {v} < low' if r in quality.TWO_SIDED else ''}) FROM lim WHERE lim.lang IS NOT DISTINCT FROM m.lang AND lim.source IS NOT DISTINCT FROM m.source AND ratio = '{r}'), false)"
-    for r, v in [*((r, f"{c} / greatest(n_words, 1)") for r, c in _RATIOS.items()), ("dup_lines", "n_dup_lines / greatest(n_lines, 1)")]
+    for r, v in _RATIOS.items()
 )
 
 
@@ -38,11 +38,18 @@ def _level(name: str, by: str) -> str:
     keys = f"{by}, " if by else ""
     return f"""
 {name}_b AS (SELECT {keys}ratio, bucket, sum(n) AS n FROM sk GROUP BY {keys}ratio, bucket),
-{name}_u AS (SELECT {keys}ratio, CASE WHEN bucket IS NULL THEN 0 ELSE 2 * pow({quality.GAMMA}, bucket) / ({quality.GAMMA} + 1) END AS v,
-  sum(n) OVER (PARTITION BY {keys}ratio ORDER BY bucket NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto, sum(n) OVER (PARTITION BY {keys}ratio) AS total FROM {name}_b),
-{name} AS (SELECT {keys}ratio, max(total) AS total, min(v) FILTER (upto >= 0.25 * total) AS q25, min(v) FILTER (upto >= 0.5 * total) AS q50, min(v) FILTER (upto >= 0.75 * total) AS q75 FROM {name}_u GROUP BY {keys}ratio)"""
+{name}_u AS (SELECT {keys}ratio, bucket * {math.log(quality.GAMMA)!r} + {math.log(2 / (quality.GAMMA + 1))!r} AS v,
+  sum(n) OVER (PARTITION BY {keys}ratio ORDER BY bucket ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto, sum(n) OVER (PARTITION BY {keys}ratio) AS total FROM {name}_b),
+{name}_q AS (SELECT {keys}ratio, max(total) AS n, min(v) FILTER (upto >= 0.25 * total) AS q25, min(v) FILTER (upto >= 0.5 * total) AS mid, min(v) FILTER (upto >= 0.75 * total) AS q75 FROM {name}_u GROUP BY {keys}ratio),
+{name} AS (SELECT {keys}ratio, CAST(n AS DOUBLE) AS n, mid, q75 - mid AS up, mid - q25 AS down FROM {name}_q)"""
 
 
+def _drawn(level: str, own: str, wider: str) -> str:
+    return f"(({level}.n * {own} + {quality.PRIOR} * {wider}) / ({level}.n + {quality.PRIOR}))"
+
+
+_UP, _DOWN = (_drawn("q1", f"q1.{x}", _drawn("q2", f"q2.{x}", f"q3.{x}")) for x in ("up", "down"))
+
 QUALITY = rf"""
 WITH t AS (SELECT doc_id, lang, source, coalesce(text, '') AS text FROM documents),
 p AS (SELECT *, regexp_extract_all(text, '{_INK}+') AS w, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{_INK}')) AS ls FROM t),
@@ -53,15 +60,11 @@ m AS (SELECT p.doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words, CAST(len
   CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(ls) AS BIGINT) AS n_lines,
   CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(coalesce(rw.n, 0) AS BIGINT) AS n_repeat_words FROM p LEFT JOIN rw ON p.doc_id = rw.doc_id),
 f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m),
-v AS ({" UNION ALL ".join([*(f"SELECT lang, source, '{r}' AS ratio, {c} / greatest(n_words, 1) AS v FROM f WHERE NOT base_failed" for r, c in _RATIOS.items()), "SELECT lang, source, 'dup_lines', n_dup_lines / greatest(n_lines, 1) FROM f WHERE NOT base_failed"])}),
-sk AS (SELECT lang, source, ratio, CASE WHEN v > 0 THEN CAST(ceil(ln(v) / {math.log(quality.GAMMA)!r}) AS INTEGER) END AS bucket, count(*) AS n FROM v GROUP BY ALL),
+v AS ({" UNION ALL ".join(f"SELECT lang, source, '{r}' AS ratio, {c} AS v FROM f WHERE NOT base_failed" for r, c in _RATIOS.items())}),
+sk AS (SELECT lang, source, ratio, CAST(ceil(v / {math.log(quality.GAMMA)!r}) AS INTEGER) AS bucket, count(*) AS n FROM v GROUP BY ALL),
 {_level("q1", "lang, source")}, {_level("q2", "lang")}, {_level("q3", "")},
-q AS (SELECT q1.lang, q1.source, q1.ratio, CASE WHEN q1.total >= {quality.LEAST} THEN q1.q25 WHEN q2.total >= {quality.LEAST} THEN q2.q25 ELSE q3.q25 END AS q25,
-  CASE WHEN q1.total >= {quality.LEAST} THEN q1.q50 WHEN q2.total >= {quality.LEAST} THEN q2.q50 ELSE q3.q50 END AS q50,
-  CASE WHEN q1.total >= {quality.LEAST} THEN q1.q75 WHEN q2.total >= {quality.LEAST} THEN q2.q75 ELSE q3.q75 END AS q75
-  FROM q1 JOIN q2 ON q1.lang IS NOT DISTINCT FROM q2.lang AND q1.ratio = q2.ratio JOIN q3 ON q1.ratio = q3.ratio),
-s AS (SELECT *, {quality.REACH} * greatest(q75 - q25, CASE ratio {" ".join(f"WHEN '{r}' THEN {x}" for r, x in quality.SLACK.items())} END) AS spread FROM q),
-lim AS (SELECT lang, source, ratio, q50 - spread AS low, q50 + spread AS high FROM s)
+lim AS (SELECT q1.lang, q1.source, q1.ratio, {_drawn("q1", "q1.mid", "q2.mid")} AS middle, {quality.REACH} * CASE WHEN q1.ratio IN ({", ".join(f"'{r}'" for r in quality.TWO_SIDED)}) THEN 1 + {quality.PRIOR} / q2.n ELSE 1 END AS reach, middle - reach * {_DOWN} - {math.log(quality.GAMMA)!r} AS low, middle + reach * {_UP} + {math.log(quality.GAMMA)!r} AS high
+  FROM q1 JOIN q2 ON q1.lang IS NOT DISTINCT FROM q2.lang AND q1.ratio = q2.ratio JOIN q3 ON q1.ratio = q3.ratio)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT ({_CHECKS}) AS kept, lang, source FROM f m"""
 
 JACCARD = f"""

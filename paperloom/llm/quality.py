@@ -2,15 +2,23 @@
 
 Each text is measured in numpy over whole Arrow batches. The ratios of the texts that the base
 rules pass go into quantile sketches, one for each language and source: counts of logarithmic
-buckets, so that any quantile is known to one per cent and two sketches merge by adding counts.
-Those of a source with few documents give way to the language's, and these to the corpus's, each
-merged from the finer ones. A ratio is out of bounds further than REACH times the middle half's
-spread from the median; SLACK is the least spread that counts. The bounds, one row for each
+buckets, so that any quantile is known to a quarter of a per cent and two sketches merge by adding counts.
+From a sketch, of the ratio's logarithm, come the median and the widths of the quarters beside it.
+A ratio is out of bounds further than REACH widths from the median, on the upper side, or for
+TWO_SIDED ones on either; a bucket's width is added, as a sketch knows no better. All of this is estimated; ratios of counts are (count + 1) / (all + EXTRA),
+which vary even where nothing is counted, so that no least width has to be fixed.
+
+Estimates from few documents are drawn to the next wider sketch's, as if PRIOR documents more had
+had those: the source's median and widths to the language's, the language's widths to the corpus's.
+What is usual in TWO_SIDED ratios differs between languages altogether, so there, the fewer documents
+a language has, the further bounds reach, by the factor 1 + PRIOR / documents: nothing is known of a
+language that hardly occurs, so next to nothing is out of its bounds. The bounds, one row for each
 language and source, are joined to the documents.
 
 Defined results: null and empty texts have no words and fail the base rule; null languages and
-sources are groups of their own; repeated rows are each measured and judged; other columns may
-have any names.
+sources are groups of their own; repeated rows are each measured and judged; a ratio on its bound is
+within it; where no document passes the base rules there are no bounds; other columns may have any
+names.
 """
 
 from __future__ import annotations
@@ -27,12 +35,13 @@ from .frames import stored
 from .text import INK, Hasher, Texts, Words, chained, mixed, sliced
 
 #: Relative width of a sketch's buckets.
-GAMMA = 1.02
-#: A source, or a language, with fewer measured documents takes the next wider sketch.
-LEAST = 200
-REACH = 5.0
-#: Ratio: the least spread that counts.
-SLACK = {"symbols": 0.04, "dup_lines": 0.1, "repeats": 0.08, "word_length": 0.5}
+GAMMA = 1.005
+#: Documents that a wider sketch counts for.
+PRIOR = 200
+REACH = 7.0
+#: Words, or lines, that are added to what counts are divided by.
+EXTRA = {"n_words": 50, "n_lines": 8}
+RATIOS = {"symbols": ("n_symbols", "n_words"), "repeats": ("n_repeat_words", "n_words"), "dup_lines": ("n_dup_lines", "n_lines"), "word_length": ("word_chars", "n_words")}
 #: Ratios that can also be too small.
 TWO_SIDED = ["word_length"]
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words"]
@@ -105,49 +114,52 @@ def base_failed() -> Column:
 
 
 def ratios() -> dict[str, Column]:
-    per_word = {"symbols": "n_symbols", "repeats": "n_repeat_words", "word_length": "word_chars"}
-    found = {k: F.col(v) / F.greatest(F.col("n_words"), F.lit(1)) for k, v in per_word.items()}
-    return found | {"dup_lines": F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1))}
+    """Logarithms of the ratios."""
+    found = {k: F.log((F.col(n) + 1) / (F.col(of) + EXTRA[of])) for k, (n, of) in RATIOS.items()}
+    return found | {"word_length": F.log(F.greatest("word_chars", F.lit(1)) / F.greatest("n_words", F.lit(1)))}
 
 
 def sketches(rows: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
-    """lang, source, ratio, bucket, n: the quantile sketch of each ratio. Bucket null holds zeros."""
+    """lang, source, ratio, bucket, n: the quantile sketch of each ratio."""
     values = F.explode(F.map_from_arrays(F.array(*(F.lit(k) for k in ratios())), F.array(*ratios().values()))).alias("ratio", "value")
-    bucket = F.when(F.col("value") > 0, F.ceil(F.log(F.col("value")) / math.log(GAMMA)).cast("int"))
     return (
         rows.where(~base_failed())
         .select(F.col(lang).alias("lang"), F.col(source).alias("source"), values)
-        .groupBy("lang", "source", "ratio", bucket.alias("bucket"))
+        .groupBy("lang", "source", "ratio", F.ceil(F.col("value") / math.log(GAMMA)).cast("int").alias("bucket"))
         .agg(F.count("*").alias("n"))
     )
 
 
 def _quartiles(sketch: DataFrame, by: list[str]) -> DataFrame:
-    """by, ratio, n_docs, q25, q50, q75 of sketches merged by `by`."""
+    """by, ratio, n_docs, mid, up and down - logarithms of the median, and of how far the quartiles are from it - of sketches merged by `by`."""
     merged = sketch.groupBy(*by, "ratio", "bucket").agg(F.sum("n").alias("n"))
     whole = Window.partitionBy(*by, "ratio")
-    upto = whole.orderBy(F.col("bucket").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
-    value = F.when(F.col("bucket").isNull(), 0.0).otherwise(2 * F.pow(F.lit(GAMMA), F.col("bucket")) / (GAMMA + 1))
+    upto = whole.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
+    value = F.col("bucket") * math.log(GAMMA) + math.log(2 / (GAMMA + 1))
     ranked = merged.select(*by, "ratio", value.alias("value"), F.sum("n").over(upto).alias("upto"), F.sum("n").over(whole).alias("n_docs"))
-    at = {f"q{round(100 * q)}": F.min(F.when(F.col("upto") >= q * F.col("n_docs"), F.col("value"))) for q in (0.25, 0.5, 0.75)}
-    return ranked.groupBy(*by, "ratio").agg(F.max("n_docs").alias("n_docs"), *(v.alias(k) for k, v in at.items()))
+    q25, q50, q75 = (F.min(F.when(F.col("upto") >= q * F.col("n_docs"), F.col("value"))) for q in (0.25, 0.5, 0.75))
+    return ranked.groupBy(*by, "ratio").agg(F.max("n_docs").alias("n_docs"), q50.alias("mid"), (q75 - q50).alias("up"), (q50 - q25).alias("down"))
 
 
-def bounds(sketch: DataFrame, least: int = LEAST, reach: float = REACH) -> DataFrame:
-    """lang, source, and <ratio>_low and <ratio>_high, written and read again."""
+def bounds(sketch: DataFrame, prior: int = PRIOR, reach: float = REACH) -> DataFrame:
+    """lang, source, and <ratio>_low and <ratio>_high, logarithms, written and read again."""
     sketch = stored(sketch)
     levels = [_quartiles(sketch, by) for by in (["lang", "source"], ["lang"], [])]
-    fine, wide, all_ = ([F.col(f"{x}.{q}") for q in ("q25", "q50", "q75")] for x in "abc")
     joined = (
         levels[0].alias("a")
         .join(levels[1].alias("b"), F.col("a.lang").eqNullSafe(F.col("b.lang")) & (F.col("a.ratio") == F.col("b.ratio")))
         .join(levels[2].alias("c"), F.col("a.ratio") == F.col("c.ratio"))
     )
-    q25, q50, q75 = (F.when(F.col("a.n_docs") >= least, x).when(F.col("b.n_docs") >= least, y).otherwise(z) for x, y, z in zip(fine, wide, all_, strict=True))
-    slack = F.element_at(F.create_map(*(F.lit(x) for kv in SLACK.items() for x in kv)), F.col("a.ratio"))
-    spread = reach * F.greatest(q75 - q25, slack)
-    limits = joined.select(F.col("a.lang").alias("lang"), F.col("a.source").alias("source"), F.col("a.ratio").alias("ratio"), (q50 - spread).alias("low"), (q50 + spread).alias("high"))
-    sides = [(r, s) for r in SLACK for s in (["low", "high"] if r in TWO_SIDED else ["high"])]
+
+    def drawn(level: str, own: Column, wider: Column) -> Column:
+        n = F.col(f"{level}.n_docs")
+        return (n * own + prior * wider) / (n + prior)
+
+    mid = drawn("a", F.col("a.mid"), F.col("b.mid"))
+    up, down = (drawn("a", F.col(f"a.{x}"), drawn("b", F.col(f"b.{x}"), F.col(f"c.{x}"))) for x in ("up", "down"))
+    reach_ = reach * F.when(F.col("a.ratio").isin(TWO_SIDED), 1 + prior / F.col("b.n_docs")).otherwise(1.0)
+    limits = joined.select(F.col("a.lang").alias("lang"), F.col("a.source").alias("source"), F.col("a.ratio").alias("ratio"), (mid - reach_ * down - math.log(GAMMA)).alias("low"), (mid + reach_ * up + math.log(GAMMA)).alias("high"))
+    sides = [(r, s) for r in RATIOS for s in (["low", "high"] if r in TWO_SIDED else ["high"])]
     return stored(limits.groupBy("lang", "source").agg(*(F.max(F.when(F.col("ratio") == r, F.col(s))).alias(f"{r}_{s}") for r, s in sides)))
 
 
@@ -156,7 +168,7 @@ def judged(rows: DataFrame, limits: DataFrame, lang: str = "lang", source: str =
     limits = limits.toDF("limit_lang", "limit_source", *(f"limit_{c}" for c in limits.columns[2:]))
     values = ratios()
     out = F.lit(False)
-    for r in SLACK:
+    for r in RATIOS:
         out = out | F.coalesce(values[r] > F.col(f"limit_{r}_high"), F.lit(False))
         if r in TWO_SIDED:
             out = out | F.coalesce(values[r] < F.col(f"limit_{r}_low"), F.lit(False))
