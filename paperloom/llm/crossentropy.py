@@ -11,12 +11,12 @@ The probability of word w after b, or after a start sign, has a Dirichlet prior
 falls into terms of b, of w, and of the pair, the last being nought where the pair occurs nowhere
 else. So pairs that occur once only are never needed again.
 
-Counts combine within tasks and before the shuffle. Those of words, as many as there are classes,
-are broadcast, and so are those of the FREQUENT most frequent pairs. Of a text's other pairs, those
-that may occur elsewhere - a broadcast filter of 2**FILTER bits tells, but for some more that it lets
-through - are shuffled to the counts of pairs, where no key is frequent, and their terms are summed
-by text. Which way a pair goes doesn't change its term. The filter fills up as the corpus grows: it
-then lets more through, at no change of results.
+Counts of words and of the FREQUENT pairs add up within tasks and before the shuffle, and are
+broadcast; their number is bounded. A sample of documents tells which pairs are frequent, so that no
+key of the shuffle below is; which way a pair goes doesn't change its term. All other pairs are
+shuffled by pair, each with the number of its text. Where they meet they are counted, and the terms
+of those that other texts have too are summed by text before they go back to it. So the shuffle
+grows with the corpus, in proportion.
 
 Defined results: null texts and texts without words have no tokens and null losses; without a target
 document the target model is uniform; repeated rows count and are scored each, by one another too;
@@ -39,12 +39,11 @@ from .text import LETTERS, Hasher, Texts, Words, sliced
 #: Bits of a word's class; class 0 is the start sign.
 VOCABULARY = 20
 PRIOR = 20.0
-#: Pairs whose counts are broadcast.
+#: Pairs whose counts are broadcast, at most, and the share of documents that they are chosen from, as 1 of so many.
 FREQUENT = 1_000_000
-#: Bits of the filter, as a power of two.
-FILTER = 27
-#: Distinct pairs that a task holds before it hands them on.
-HELD = 3_000_000
+SAMPLE = 16
+#: Texts whose sums a task holds before it hands them on.
+HELD = 500_000
 
 
 class Pairs(NamedTuple):
@@ -65,96 +64,74 @@ def pairs(texts: Texts, bits: int = VOCABULARY) -> Pairs:
     return Pairs(words.text, word, before, before << bits | word, words.counts)
 
 
-def _summed(parts: list[list[np.ndarray]]) -> list[np.ndarray]:
-    key, *ns = (np.concatenate(x) for x in zip(*parts, strict=True))
-    order = np.argsort(key, kind="stable")
-    start = np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1])) if len(key) else order
-    return [key[order[start]], *(np.add.reduceat(n[order], start) if len(n) else n for n in ns)]
-
-
-def counted(docs: DataFrame, target: Column, text: str = "text", bits: int = VOCABULARY) -> DataFrame:
-    """key, background, target, background_context, target_context: how often each pair (key from 0 on) and each word (-1 - class) occurs,
-    and each word as the one before, in all documents and in those of the target. Pairs that occur once are left out. Stored."""
-
-    def rows(found: list[np.ndarray]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["key", "n", "context"])
+def frequent_pairs(docs: DataFrame, text: str = "text", most: int = FREQUENT, sample: int = SAMPLE, bits: int = VOCABULARY) -> np.ndarray:
+    """The most frequent pairs of every sample-th document, `most` at most, in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []
         for batch in batches:
-            for part, texts in sliced(batch, "text"):
-                p = pairs(texts, bits)
-                marked = np.repeat(part["target"].to_numpy(zero_copy_only=False).astype(np.int64), p.counts)
-                key, n = np.unique(p.pair << 1 | marked, return_counts=True)
-                held.append([key, n, np.zeros(len(key), np.int64)])
-                for k, class_ in enumerate((p.word, p.before)):
-                    key, n = np.unique(class_ << 1 | marked, return_counts=True)
-                    held.append([-1 - key, n * (k == 0), n * (k == 1)])
-                if sum(len(x[0]) for x in held) > HELD:
-                    held = [_summed(held)]
-                    if len(held[0][0]) > HELD // 2:
-                        yield rows(held.pop())
-        if held:
-            yield rows(_summed(held))
+            for _, texts in sliced(batch, "text"):
+                key, n = np.unique(pairs(texts, bits).pair, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], names=["key", "n"])
 
-    source = docs.where(F.col(text).isNotNull()).select(F.coalesce(target, F.lit(False)).alias("target"), F.col(text).alias("text"))
-    found = source.mapInArrow(run, "key long, n long, context long")
-    # of a word's key -1 - (2 * class + mark) the mark is the last bit turned over
-    marked = F.when(F.col("key") < 0, 1 - F.pmod("key", F.lit(2))).otherwise(F.pmod("key", F.lit(2)))
-    sums = found.groupBy(F.shiftright("key", 1).alias("key")).agg(
-        F.sum("n").alias("background"), F.sum(marked * F.col("n")).alias("target"), F.sum("context").alias("background_context"), F.sum(marked * F.col("context")).alias("target_context")
-    )
-    return stored(sums.where("key < 0 or background > 1"))
+    chosen = docs.select(F.monotonically_increasing_id().alias("row"), F.col(text).alias("text")).where(F.pmod(F.xxhash64("row"), F.lit(sample)) == 0)
+    found = chosen.select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where("n > 1")
+    return np.sort(found.orderBy(F.desc("n"), "key").limit(most).select("key").toArrow()["key"].to_numpy())
 
 
 class Model:
-    """What is broadcast: counts of words, of words as the one before, and of frequent pairs, for both models; and the filter."""
+    """Counts of words, of words as the one before, and of frequent pairs, in the background and in the target."""
 
-    def __init__(self, counts: DataFrame, bits: int, frequent: int, filter_bits: int, prior: float):
-        self.bits, self.filter_bits, self.prior = bits, filter_bits, prior
-        words = counts.where("key < 0").toArrow()
+    def __init__(self, bits: int, prior: float, keys: np.ndarray):
+        self.bits, self.prior, self.keys = bits, prior, keys
         self.words, self.contexts = np.zeros((2, 1 << bits), np.int64), np.zeros((2, 1 << bits), np.int64)
-        at = -1 - words["key"].to_numpy()
-        for m, name in enumerate(("background", "target")):
-            self.words[m, at], self.contexts[m, at] = words[name].to_numpy(), words[f"{name}_context"].to_numpy()
-        self.totals = self.words.sum(1)
-        #: Pairs with as many occurrences are broadcast, the others aren't.
-        self.least = 2
-        seen = 0
-        for n, kinds in sorted(counts.where("key >= 0").groupBy("background").count().collect(), reverse=True):
-            seen += kinds
-            if seen > frequent:
-                self.least = n + 1
-                break
-        known = counts.where((F.col("key") >= 0) & (F.col("background") >= self.least)).select("key", "background", "target").toArrow()
-        order = np.argsort(known["key"].to_numpy())
-        self.keys = known["key"].to_numpy()[order]
-        self.pairs = np.stack([known[m].to_numpy()[order] for m in ("background", "target")]) if len(order) else np.zeros((2, 0), np.int64)
-        rest = counts.where((F.col("key") >= 0) & (F.col("background") < self.least))
-        slot = F.col("key").bitwiseXOR(F.shiftright("key", 15)).bitwiseAND((1 << filter_bits) - 1)  # a pair is made of hashes
-        filled = rest.select(F.shiftright(slot, 5).alias("at"), F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(31).cast("int")).alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bit")).toArrow()
-        self.filter = np.zeros(1 << max(filter_bits - 5, 0), np.uint32)
-        self.filter[filled["at"].to_numpy()] = filled["bit"].to_numpy().astype(np.uint32)
-        self.rest = len(filled) > 0
-
-    def elsewhere(self, pair: np.ndarray) -> np.ndarray:
-        """Whether each pair may be one of those that aren't broadcast."""
-        slot = (pair ^ pair >> 15) & ((1 << self.filter_bits) - 1)
-        return (self.filter[slot >> 5] >> (slot & 31).astype(np.uint32) & np.uint32(1)).astype(bool)
+        self.pairs = np.zeros((2, len(keys)), np.int64)
+
+    @property
+    def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return self.words, self.contexts, self.pairs
 
     def find(self, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Which of the pairs are frequent, and their places."""
         at = np.minimum(np.searchsorted(self.keys, pair), max(len(self.keys) - 1, 0))
         return (self.keys[at] == pair) if len(self.keys) else np.zeros(len(pair), bool), at
 
+    def add(self, p: Pairs, marked: np.ndarray) -> None:
+        known, at = self.find(p.pair)
+        for table, index, of in ((self.words, p.word, p.text), (self.contexts, p.before, p.text), (self.pairs, at[known], p.text[known])):
+            table[0] += np.bincount(index, minlength=table.shape[1])
+            table[1] += np.bincount(index[marked[of]], minlength=table.shape[1])
 
-class _Text(NamedTuple):
-    """Distinct pairs of some texts: text, pair, occurrences in the text, and the second word's probability, times the prior, in both models without the text."""
+    def lower(self, word: np.ndarray, times: np.ndarray, size: np.ndarray, marked: np.ndarray) -> np.ndarray:
+        """Probabilities, times the prior, of words in texts where they occur so often, of that size, without the text: a row for each model."""
+        own = np.stack([np.ones(len(word)), marked])
+        return self.prior * (self.words[:, word] - own * times + 1) / (self.words.sum(1)[:, None] - own * size + (1 << self.bits))
 
-    text: np.ndarray
-    pair: np.ndarray
-    n: np.ndarray
-    lower: np.ndarray
+
+def counted(docs: DataFrame, target: Column, text: str = "text", bits: int = VOCABULARY, prior: float = PRIOR, frequent: int = FREQUENT, sample: int = SAMPLE) -> Model:
+    """The model of these documents and this target."""
+    empty = Model(bits, prior, frequent_pairs(docs, text, frequent, sample, bits))
+    shared = docs.sparkSession.sparkContext.broadcast(empty.keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = Model(bits, prior, shared.value)
+        for batch in batches:
+            for part, texts in sliced(batch, "text"):
+                m.add(pairs(texts, bits), part["target"].to_numpy(zero_copy_only=False).astype(bool))
+        for kind, table in enumerate(m.tables):
+            at = np.flatnonzero(table[0])
+            for k in range(0, len(at), 100_000):
+                part = at[k : k + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), kind, np.int32)), pa.array(part), *(pa.array(table[i, part]) for i in range(2))], names=["kind", "at", "background", "target"])
+
+    source = docs.where(F.col(text).isNotNull()).select(F.coalesce(target, F.lit(False)).alias("target"), F.col(text).alias("text"))
+    found = source.mapInArrow(run, "kind int, at long, background long, target long").groupBy("kind", "at").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
+    found = found.select((F.col("at") * 4 + F.col("kind")).alias("code"), "background", "target").toArrow()
+    code = found["code"].to_numpy()
+    for kind, table in enumerate(empty.tables):
+        own = code % 4 == kind
+        for i, name in enumerate(("background", "target")):
+            table[i, code[own] // 4] = found[name].to_numpy()[own]
+    return empty
 
 
 def _own(key: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -165,84 +142,114 @@ def _own(key: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return start, order, np.diff(np.append(start, len(k)))
 
 
-def _measured(model: Model, texts: Texts, marked: np.ndarray) -> tuple[Pairs, np.ndarray, _Text]:
-    """The words; the summed losses of each text, background and target, without the terms of its pairs; and its pairs."""
-    p = pairs(texts, model.bits)
-    own = np.stack([np.ones(texts.rows), marked.astype(float)])  # whether the text is in the model
-    rest = (model.totals[:, None] - own * p.counts) + (1 << model.bits)
+def _times(key: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """How often each key occurs in its text."""
+    _, order, n = _own(key, text)
+    out = np.empty(len(key), np.int64)
+    out[order] = np.repeat(n, n)
+    return out
 
-    def times(key: np.ndarray) -> np.ndarray:
-        start, order, n = _own(key, p.text)
-        out = np.empty(len(key))
-        out[order] = np.repeat(n, n)
-        return out
 
-    lower = (model.words[:, p.word] - own[:, p.text] * times(p.word) + 1) / rest[:, p.text]
-    context = model.contexts[:, p.before] - own[:, p.text] * times(p.before) + model.prior
-    each = np.log(context) - np.log(model.prior * lower)
-    upto = np.concatenate((np.zeros((2, 1)), np.cumsum(each, 1)), 1)
-    edge = np.concatenate(([0], np.cumsum(p.counts)))
-    start, order, n = _own(p.pair, p.text)
-    first = order[start]
-    return p, upto[:, edge[1:]] - upto[:, edge[:-1]], _Text(p.text[first], p.pair[first], n, model.prior * lower[:, first])
+_FIELDS = "row long, pair long, n int, marked boolean, times int, size long"
+_SUMS = "n_tokens long, background double, target double"
 
 
-def scored(docs: DataFrame, counts: DataFrame, target: Column, keep: list[str], text: str = "text", bits: int = VOCABULARY, frequent: int = FREQUENT, filter_bits: int = FILTER, prior: float = PRIOR) -> DataFrame:
-    """Columns `keep` of every document, n_tokens, background and target, the mean losses, and difference. counts: counted() of these documents and this target."""
+def scored(docs: DataFrame, model: Model, target: Column, keep: list[str], text: str = "text", held: int = HELD) -> DataFrame:
+    """Columns `keep` of every document, n_tokens, background and target, the mean losses, and difference. model: counted() of these documents and this target; keep: of types that have an order."""
     names = [f"c{i}" for i in range(len(keep))]
     models = ("background", "target")
-    identity = ["text_hash", "size", "marked"]
     fields = "".join(f"{n} {docs.schema[c].dataType.simpleString()}, " for n, c in zip(names, keep, strict=True))
-    model = Model(counts, bits, frequent, filter_bits, prior)
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    other = [f.split()[0] for f in _FIELDS.split(", ")]
 
-    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m: Model = shared.value
-        for batch in batches:
-            for part, texts in sliced(batch, "text"):
-                marked = part["marked"].to_numpy(zero_copy_only=False).astype(bool)
-                p, sums, t = _measured(m, texts, marked)
-                known, at = m.find(t.pair)
-                for k in range(2):
-                    n = m.pairs[k, at[known]] - t.n[known] * (1 if k == 0 else marked[t.text[known]])
-                    sums[k] -= np.bincount(t.text[known], t.n[known] * np.log1p(n / t.lower[k, known]), texts.rows)
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(p.counts.astype(np.int64)), pa.array(sums[0]), pa.array(sums[1])], names=[*part.schema.names[:-1], "n_tokens", *models])
-
-    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row for each text, with a null pair, and one for each of its pairs that may occur elsewhere and isn't frequent."""
+    def texts_and_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each text - its pair is negative - with what the words and frequent pairs say, and one for each other pair of it."""
         m: Model = shared.value
         for batch in batches:
             for part, texts in sliced(batch, "text"):
                 marked = part["marked"].to_numpy(zero_copy_only=False).astype(bool)
-                _, _, t = _measured(m, texts, marked)
-                use = np.flatnonzero(m.elsewhere(t.pair) & ~m.find(t.pair)[0])
-                row = pa.array(np.concatenate((np.arange(texts.rows), t.text[use])))
-                none = np.zeros(texts.rows)
+                p = pairs(texts, m.bits)
+                lower = m.lower(p.word, times := _times(p.word, p.text), p.counts[p.text], marked[p.text])
+                own = np.stack([np.ones(len(p.text)), marked[p.text]])
+                each = np.log(m.contexts[:, p.before] - own * _times(p.before, p.text) + m.prior) - np.log(lower)
+                start, order, n = _own(p.pair, p.text)
+                first = order[start]
+                known, at = m.find(p.pair[first])
+                use = first[known]
+                each[:, use] -= n[known] * np.log1p((m.pairs[:, at[known]] - own[:, use] * n[known]) / lower[:, use])
+                upto = np.concatenate((np.zeros((2, 1)), np.cumsum(each, 1)), 1)
+                edge = np.concatenate(([0], np.cumsum(p.counts)))
+                sums = upto[:, edge[1:]] - upto[:, edge[:-1]]
+                row = part["row"].to_numpy()
+                none = pa.nulls(texts.rows, pa.int32())
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns[: len(names)], part["row"], pa.array(-1 - row), none, part["marked"], none, pa.nulls(texts.rows, pa.int64()), pa.array(p.counts.astype(np.int64)), pa.array(sums[0]), pa.array(sums[1])],
+                    names=[*names, *other, "n_tokens", *models],
+                )
+                rest, n = first[~known], n[~known]
+                of = p.text[rest]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        part["text_hash"].take(row),
-                        part["size"].take(row),
-                        part["marked"].take(row),
-                        pa.array(np.concatenate((none.astype(np.int64), t.pair[use])), mask=np.arange(len(row)) < texts.rows),
-                        pa.array(np.concatenate((none, t.n[use])).astype(np.int32)),
-                        *(pa.array(np.concatenate((none, t.lower[k, use])).astype(np.float64)) for k in range(2)),
+                        *(pa.nulls(len(rest), c.type) for c in part.columns[: len(names)]),
+                        *(pa.array(x) for x in (row[of], p.pair[rest], n.astype(np.int32), marked[of], times[rest].astype(np.int32), p.counts[of].astype(np.int64))),
+                        pa.nulls(len(rest), pa.int64()), *(pa.nulls(len(rest), pa.float64()) for _ in models),
                     ],
-                    names=[*identity, "pair", "n", "background_lower", "target_lower"],
-                )
+                    names=[*names, *other, "n_tokens", *models],
+                )
 
-    source = docs.select(*(F.col(c).alias(n) for c, n in zip(keep, names, strict=True)), F.xxhash64(text).alias("text_hash"), F.coalesce(F.octet_length(text), F.lit(0)).alias("size"), F.coalesce(target, F.lit(False)).alias("marked"), F.col(text).alias("text"))
-    base = source.mapInArrow(mapped, f"{fields}text_hash long, size int, marked boolean, n_tokens long, background double, target double")
-    if model.rest:
-        sparse = source.select(*identity, "text").mapInArrow(others, "text_hash long, size int, marked boolean, pair long, n int, background_lower double, target_lower double")
-        table = counts.where((F.col("key") >= 0) & (F.col("background") < model.least)).select(F.col("key").alias("pair"), F.col("background").alias("n_background"), F.col("target").alias("n_target"))
-        less = {"background": F.col("n"), "target": F.when(F.col("marked"), F.col("n")).otherwise(0)}
-        terms = {m: F.when(F.col(f"n_{m}") > less[m], F.col("n") * F.log1p((F.col(f"n_{m}") - less[m]) / F.col(f"{m}_lower"))).otherwise(0.0) for m in models}
-        # a text that several rows have is added up as often
-        sums = sparse.join(table, "pair", "left").groupBy(*identity).agg(F.count_if(F.col("pair").isNull()).alias("copies"), *(F.sum(v).alias(f"{m}_terms") for m, v in terms.items()))
-        sums = sums.where("background_terms > 0 or target_terms > 0")
-        base = base.join(sums, identity, "left").withColumns({m: F.col(m) - F.coalesce(F.col(f"{m}_terms") / F.col("copies"), F.lit(0.0)) for m in models})
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The rows of texts as they are, and for each text the terms of its pairs, summed up. Rows come sorted by pair."""
+        m: Model = shared.value
+        carried: list[np.ndarray] | None = None
+        done: list[tuple[np.ndarray, np.ndarray]] = []
+        kinds: list[pa.DataType] = []
+
+        def terms(columns: list[np.ndarray]) -> None:
+            row, pair, n, marked, times, size = columns
+            start = np.flatnonzero(np.append(True, pair[1:] != pair[:-1]))
+            group = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(pair))))
+            own = np.stack([n, n * marked])
+            others = np.stack([np.add.reduceat(x, start) for x in own])[:, group] - own
+            use = np.flatnonzero(others[0] > 0)
+            lower = m.lower(pair[use] & ((1 << m.bits) - 1), times[use], size[use], marked[use])
+            done.append((row[use], -n[use] * np.log1p(others[:, use] / lower)))
+
+        def handed() -> pa.RecordBatch:
+            row = np.concatenate([r for r, _ in done])
+            rows, at = np.unique(row, return_inverse=True)
+            sums = [np.bincount(at, np.concatenate([x[k] for _, x in done]), len(rows)).astype(float) for k in range(2)]
+            done.clear()
+            return pa.RecordBatch.from_arrays([*(pa.nulls(len(rows), t) for t in kinds), pa.array(rows), pa.nulls(len(rows), pa.int64()), *(pa.array(x) for x in sums)], names=[*names, "row", "n_tokens", *models])
+
+        for batch in batches:
+            kinds = [c.type for c in batch.columns[: len(names)]]
+            pair = batch["pair"].to_numpy()
+            n_texts = int(np.searchsorted(pair, 0))
+            if n_texts:
+                kept = [*names, "row", "n_tokens", *models]
+                yield pa.RecordBatch.from_arrays([batch[c].slice(0, n_texts) for c in kept], names=kept)
+            if n_texts == len(pair):
+                continue
+            columns = [batch[c].slice(n_texts).to_numpy(zero_copy_only=False) for c in other]
+            columns[3] = columns[3].astype(np.int64)
+            columns = [x.astype(np.int64) for x in columns]
+            if carried is not None:
+                columns = [np.concatenate(x) for x in zip(carried, columns, strict=True)]
+            whole = int(np.searchsorted(columns[1], columns[1][-1]))  # the last pair may go on
+            carried = [x[whole:] for x in columns]
+            if whole:
+                terms([x[:whole] for x in columns])
+            if sum(len(r) for r, _ in done) > held:
+                yield handed()
+        if carried is not None:
+            terms(carried)
+            yield handed()
+
+    source = docs.select(*(F.col(c).alias(n) for c, n in zip(keep, names, strict=True)), F.monotonically_increasing_id().alias("row"), F.coalesce(target, F.lit(False)).alias("marked"), F.col(text).alias("text"))
+    rows = source.mapInArrow(texts_and_pairs, f"{fields}{_FIELDS}, {_SUMS}").repartition("pair").sortWithinPartitions("pair")
+    sums = rows.mapInArrow(met, f"{fields}row long, {_SUMS}").groupBy("row").agg(*(F.max(n).alias(n) for n in names), *(F.sum(c).alias(c) for c in ("n_tokens", *models)))
     mean = {m: F.when(F.col("n_tokens") > 0, F.col(m) / F.col("n_tokens")) for m in models}
-    return base.select(*names, "n_tokens", *(v.alias(m) for m, v in mean.items()), (mean["target"] - mean["background"]).alias("difference")).toDF(*keep, "n_tokens", *models, "difference")
+    return sums.select(*names, "n_tokens", *(v.alias(m) for m, v in mean.items()), (mean["target"] - mean["background"]).alias("difference")).toDF(*keep, "n_tokens", *models, "difference")
 
 
 def report(docs: DataFrame, labels: DataFrame, **parameters) -> DataFrame:
@@ -250,4 +257,4 @@ def report(docs: DataFrame, labels: DataFrame, **parameters) -> DataFrame:
     good = stored(labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").alias("good_id")).distinct())
     marked = docs.select("doc_id", "text").join(small_side(good, 16), F.col("doc_id") == F.col("good_id"), "left")
     target = F.col("good_id").isNotNull()
-    return scored(marked, counted(marked, target), target, ["doc_id"], **parameters)
+    return scored(marked, counted(marked, target, **parameters), target, ["doc_id"])

@@ -45,12 +45,14 @@ def same(got, want):
         assert a[2] is None or a[2:] == pytest.approx(b[2:], rel=1e-9, abs=1e-9)
 
 
-@pytest.mark.parametrize("frequent,filter_bits", [(10**6, 27), (3, 27), (0, 12), (0, 5)])
-def test_small(spark, frequent, filter_bits):
-    """Whichever way pairs go, and however full the filter is, the losses are those of models without the text."""
+@pytest.mark.parametrize("frequent,held", [(10**6, 10**6), (3, 10), (0, 10**6), (0, 0)])
+def test_small(spark, frequent, held):
+    """Whichever way pairs go, and however little is held, the losses are those of models without the text."""
     docs = spark.createDataFrame(ROWS, "doc_id long, text string, background boolean").repartition(3)
     target = F.col("background")
-    got = ce.scored(docs, ce.counted(docs, target), target, ["doc_id", "background"], frequent=frequent, filter_bits=filter_bits)
+    model = ce.counted(docs, target, frequent=frequent, sample=1)
+    assert len(model.keys) == min(frequent, len(model.keys)) and (frequent == 0 or len(model.keys) > 2)
+    got = ce.scored(docs, model, target, ["doc_id", "background"], held=held)
     assert got.columns == ["doc_id", "background", "n_tokens", "background", "target", "difference"]
     want = [(i, x, *r) for (i, _, x), r in zip(ROWS, plain_losses([(t, x) for _, t, x in ROWS], 1 << ce.VOCABULARY), strict=True)]
     key = lambda r: repr(r[:3])
@@ -94,6 +96,6 @@ def test_copies(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     labels = spark.createDataFrame([(k, 1) for k in range(30, 40)], "doc_id long, quality int")
     for frequent in (10**6, 0):
-        found = {r.doc_id: r.difference for r in ce.report(docs, labels, frequent=frequent).collect()}
+        found = {r.doc_id: r.difference for r in ce.report(docs, labels, frequent=frequent, sample=1).collect()}
         twice = [d for i, d in found.items() if i < 10 or i >= 100]
         assert len(twice) == 20 and min(twice) > max(d for i, d in found.items() if 10 <= i < 100) + 1
