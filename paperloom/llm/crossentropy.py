@@ -42,8 +42,6 @@ PRIOR = 20.0
 #: Pairs whose counts are broadcast, at most, and the share of documents that they are chosen from, as 1 of so many.
 FREQUENT = 1_000_000
 SAMPLE = 16
-#: Texts whose sums a task holds before it hands them on.
-HELD = 500_000
 
 
 class Pairs(NamedTuple):
@@ -154,7 +152,7 @@ _FIELDS = "row long, pair long, n int, marked boolean, times int, size long"
 _SUMS = "n_tokens long, background double, target double"
 
 
-def scored(docs: DataFrame, model: Model, target: Column, keep: list[str], text: str = "text", held: int = HELD) -> DataFrame:
+def scored(docs: DataFrame, model: Model, target: Column, keep: list[str], text: str = "text") -> DataFrame:
     """Columns `keep` of every document, n_tokens, background and target, the mean losses, and difference. model: counted() of these documents and this target; keep: of types that have an order."""
     names = [f"c{i}" for i in range(len(keep))]
     models = ("background", "target")
@@ -198,13 +196,12 @@ def scored(docs: DataFrame, model: Model, target: Column, keep: list[str], text:
                 )
 
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The rows of texts as they are, and for each text the terms of its pairs, summed up. Rows come sorted by pair."""
+        """The rows of texts as they are, and the terms of their pairs, added up by text in each batch. Rows come sorted by pair."""
         m: Model = shared.value
         carried: list[np.ndarray] | None = None
-        done: list[tuple[np.ndarray, np.ndarray]] = []
         kinds: list[pa.DataType] = []
 
-        def terms(columns: list[np.ndarray]) -> None:
+        def terms(columns: list[np.ndarray]) -> pa.RecordBatch:
             row, pair, n, marked, times, size = columns
             start = np.flatnonzero(np.append(True, pair[1:] != pair[:-1]))
             group = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(pair))))
@@ -212,13 +209,9 @@ def scored(docs: DataFrame, model: Model, target: Column, keep: list[str], text:
             others = np.stack([np.add.reduceat(x, start) for x in own])[:, group] - own
             use = np.flatnonzero(others[0] > 0)
             lower = m.lower(pair[use] & ((1 << m.bits) - 1), times[use], size[use], marked[use])
-            done.append((row[use], -n[use] * np.log1p(others[:, use] / lower)))
-
-        def handed() -> pa.RecordBatch:
-            row = np.concatenate([r for r, _ in done])
-            rows, at = np.unique(row, return_inverse=True)
-            sums = [np.bincount(at, np.concatenate([x[k] for _, x in done]), len(rows)).astype(float) for k in range(2)]
-            done.clear()
+            each = -n[use] * np.log1p(others[:, use] / lower)
+            rows, at = np.unique(row[use], return_inverse=True)
+            sums = [np.bincount(at, x, len(rows)).astype(float) for x in each]
             return pa.RecordBatch.from_arrays([*(pa.nulls(len(rows), t) for t in kinds), pa.array(rows), pa.nulls(len(rows), pa.int64()), *(pa.array(x) for x in sums)], names=[*names, "row", "n_tokens", *models])
 
         for batch in batches:
@@ -238,12 +231,9 @@ def scored(docs: DataFrame, model: Model, target: Column, keep: list[str], text:
             whole = int(np.searchsorted(columns[1], columns[1][-1]))  # the last pair may go on
             carried = [x[whole:] for x in columns]
             if whole:
-                terms([x[:whole] for x in columns])
-            if sum(len(r) for r, _ in done) > held:
-                yield handed()
+                yield terms([x[:whole] for x in columns])
         if carried is not None:
-            terms(carried)
-            yield handed()
+            yield terms(carried)
 
     source = docs.select(*(F.col(c).alias(n) for c, n in zip(keep, names, strict=True)), F.monotonically_increasing_id().alias("row"), F.coalesce(target, F.lit(False)).alias("marked"), F.col(text).alias("text"))
     rows = source.mapInArrow(texts_and_pairs, f"{fields}{_FIELDS}, {_SUMS}").repartition("pair").sortWithinPartitions("pair")
