@@ -1,6 +1,9 @@
+import pickle
+import random
 import re
 from collections import defaultdict
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -67,6 +70,30 @@ def test_small(spark, block_bytes):
     assert sorted(map(str, (r.doc_id for r in kept.collect()))) == sorted(str(r[0]) for r in brute(DOCS, ITEMS) if not r[4])
 
 
+def test_blocks(spark):
+    """A block's tables take a bounded multiple of its bytes; equal windows of many items are one pattern; whatever the blocks, the result is the same."""
+    rng = random.Random(2)
+    pool = [" ".join(f"w{rng.randrange(3000)}" for _ in range(rng.randrange(5, 40))) for _ in range(4000)]
+    block = decontaminate.block_of([str(k) for k in range(4000)], pa.array(pool))
+    assert len(pickle.dumps(block)) < 25 * sum(map(len, pool))
+    same = decontaminate.block_of([str(k % 50) for k in range(400)], pa.array([pool[0]] * 400))
+    assert len(same.patterns[0].at) == max(1, len(pool[0].split()) - 12) and same.patterns[0].ids(same.items, 0) == sorted(map(str, range(50)))
+    docs = [(k, " ".join(rng.choice(pool) for _ in range(rng.randrange(4)))) for k in range(60)] + [(99, pool[5]), (99, pool[5])]
+    items = list(enumerate(pool[:300]))
+    for block_bytes in (1 << 20, 9000):
+        got = decontaminate.occurrences(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), ["doc_id"], block_bytes=block_bytes)
+        assert result(got.withColumn("contaminated", decontaminate.contaminated())) == brute(docs, items)
+
+
+def test_long(spark):
+    """Very long texts, with occurrences at their ends, and a very long item."""
+    long = " ".join(f"v{k}" for k in range(150_000))
+    docs = [(1, f"{PASSAGE} {long} {PASSAGE}"), (2, "x" * 3_000_000), (3, "alpha " * 400_000), (4, long)]
+    for items in ([(1, PASSAGE)], [(1, PASSAGE), (2, long)]):
+        got = result(decontaminate.report(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).withColumn("items", F.filter(F.split("items", ","), lambda x: x != "")))
+        assert got == brute(docs, items)
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     items = spark.createDataFrame([], "item_id long, text string")
