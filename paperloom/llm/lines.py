@@ -6,15 +6,18 @@ window of as few lines as hold MIN_WORDS words, from each first and to each last
 least line hash is its fingerprint. As it depends on the window alone, a repeated run has the same
 fingerprints wherever it stands, so none can be missed.
 
-Only documents that hold a fingerprint found at two places or more go on. There the matches are
-extended both ways: all windows around a matched fingerprint, before and behind, are compared as a
-whole, by a hash of their lines. Each that stands at an earlier place too is deleted; runs longer
-than a window are deleted as the union of theirs. Earlier places are minima over equal windows, so
-no pairs are formed, and frequent ones combine before the shuffle.
+Only documents that hold a fingerprint found at two places or more go on. There all windows around a
+matched fingerprint, before and behind, are compared as a whole, by a hash of their lines. Each that
+stands at an earlier place too is deleted. Matches aren't extended line by line from one pair of
+positions to the next: what a match could be extended by, either way, are windows that overlap it and
+are equal too, so a longer run is the union of its windows, merged into one interval. Earlier places
+are minima over equal windows; no pairs of positions are formed, and frequent ones combine before the
+shuffle.
 
 Lines are compared without white space at their ends; lines without words are passed over, and go
-with the line before them. Defined results: null and empty texts stay; rows with the same id and text are at one
-place and are treated alike; null ids come first; other columns may have any names.
+with the line before them. Defined results: null and empty texts stay; rows with the same id and text
+are at one place and are treated alike; equal ids with other texts are told apart by a hash of the
+text; null ids come first; other columns may have any names.
 """
 
 from __future__ import annotations
@@ -23,10 +26,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .frames import BROADCAST_BYTES, row_key, stored
+from .frames import BROADCAST_BYTES, row_key, spare, stored
 from .text import INK, Hasher, Texts, Words, mixed, powers, sliced
 
 MIN_WORDS = 50
@@ -90,7 +93,7 @@ def line_table(docs: DataFrame, text: str = "text", id_column: str = "doc_id", l
 
 
 def repeated_runs(docs: DataFrame, text: str = "text", id_column: str = "doc_id", least: int = MIN_WORDS) -> DataFrame:
-    """id, text_hash, lines: the numbers, from 0, of the lines to be deleted, of the documents that have some."""
+    """id, text_hash, runs array<struct<start, gap, length>>: the lines to be deleted of the documents that have some, as runs in order; gap: the lines since the run before."""
     table = stored(line_table(docs, text, id_column, least).dropDuplicates(["id", "text_hash"]))
     places = table.select("id", "text_hash", F.explode("fingerprints").alias("fingerprint"))
     # a document may hold a fingerprint at several places
@@ -124,26 +127,37 @@ def repeated_runs(docs: DataFrame, text: str = "text", id_column: str = "doc_id"
     place = F.struct("id", "text_hash", "start")
     earliest = stored(found.groupBy("key").agg(F.min(place).alias("place"), F.count("*").alias("n")).where("n > 1").drop("n"))
     later = found.join(earliest, "key").where(~place.eqNullSafe(F.col("place")))
-    return later.select("id", "text_hash", F.explode(F.sequence("start", "end")).alias("line")).groupBy("id", "text_hash").agg(F.collect_set("line").alias("lines"))
+    own = Window.partitionBy("id", "text_hash").orderBy("start", "end")
+    upto = F.max("end").over(own.rowsBetween(Window.unboundedPreceding, -1))
+    islands = later.select("id", "text_hash", "start", "end", F.coalesce(F.col("start") > upto + 1, F.lit(True)).cast("int").alias("new"))
+    islands = islands.withColumn("island", F.sum("new").over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    merged = islands.groupBy("id", "text_hash", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    before = F.coalesce(F.lag("end").over(Window.partitionBy("id", "text_hash").orderBy("island")), F.lit(-1))
+    run = F.struct("start", (F.col("start") - before - 1).cast("int").alias("gap"), (F.col("end") - F.col("start") + 1).cast("int").alias("length"))
+    return merged.select("id", "text_hash", run.alias("run")).groupBy("id", "text_hash").agg(F.sort_array(F.collect_list("run")).alias("runs"))
 
 
 def deduplicated(docs: DataFrame, text: str = "text", id_column: str = "doc_id", least: int = MIN_WORDS, counts: tuple[str, str] = ("n_lines", "n_deleted")) -> DataFrame:
-    """All rows and columns of the documents, the text without later repeated runs, and the lines before and deleted."""
+    """All rows and columns of the documents, the text without later repeated runs, and the lines before and deleted, under other names if a column has theirs."""
+    counts = tuple(spare(docs, c) for c in counts)
     inner = {c: f"d{i}" for i, c in enumerate(docs.columns)}
     plain = docs.toDF(*inner.values())
     text_, id_ = inner[text], inner[id_column]
-    runs = stored(repeated_runs(plain, text_, id_, least).toDF("run_id", "run_hash", "run_lines"))
+    runs = stored(repeated_runs(plain, text_, id_, least).toDF("run_id", "run_hash", "runs"))
     keyed = plain.withColumns(dict(zip(("key_id", "key_hash"), row_key(id_, text_), strict=True)))
-    size = runs.agg(F.sum(8 * F.size("run_lines") + 64)).first()[0] or 0
+    size = runs.agg(F.sum(16 * F.size("runs") + 64)).first()[0] or 0
     side = F.broadcast(runs) if size <= BROADCAST_BYTES else runs
     joined = keyed.join(side, F.col("key_id").eqNullSafe(F.col("run_id")) & (F.col("key_hash") == F.col("run_hash")), "left")
     lines = F.split(text_, "\n", -1)
-    rest = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("run_lines", i.cast("long"))), "\n")
-    new = F.when(F.col("run_lines").isNull(), F.col(text_)).otherwise(rest)
-    return joined.select(
+    gone = F.flatten(F.transform("runs", lambda r: F.concat(F.array_repeat(F.lit(False), r["gap"]), F.array_repeat(F.lit(True), r["length"]))))
+    marked = joined.withColumn("gone", gone)
+    rest = F.array_join(F.filter(lines, lambda _, i: ~F.coalesce(F.get("gone", i), F.lit(False))), "\n")
+    new = F.when(F.col("gone").isNull(), F.col(text_)).otherwise(rest)
+    deleted = F.aggregate("runs", F.lit(0), lambda n, r: n + r["length"])
+    return marked.select(
         *(new.alias(c) if c == text else F.col(n).alias(c) for c, n in inner.items()),
         F.when(F.col(text_).isNull(), 0).otherwise(F.size(lines)).cast("long").alias(counts[0]),
-        F.coalesce(F.size("run_lines"), F.lit(0)).cast("long").alias(counts[1]),
+        F.coalesce(deleted, F.lit(0)).cast("long").alias(counts[1]),
     )
 
 

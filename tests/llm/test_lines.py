@@ -10,18 +10,20 @@ def trimmed(line):
 
 
 def brute(rows, least):
-    """Lines to delete of each (id, text): every run of `least` words that is found, line by line, at an earlier place."""
+    """Lines to delete of each (id, text): every run of `least` words that is found, line by line, at an earlier place. Equal runs have one number, made line by line."""
     docs = []
     for doc, text in rows:
         own = [trimmed(x) for x in (text or "").split("\n")]
         docs.append((doc, len(own), [(k, x) for k, x in enumerate(own) if x]))
-    seen = {}
-    runs = []
+    number, seen, runs = {}, {}, []
     for d, (doc, total, own) in enumerate(docs):
+        sizes = [len(x.split()) for _, x in own]
         for a in range(len(own)):
+            key, n = 0, 0
             for b in range(a, len(own)):
-                if sum(len(x.split()) for _, x in own[a : b + 1]) >= least:
-                    key = tuple(x for _, x in own[a : b + 1])
+                key = number.setdefault((key, own[b][1]), len(number) + 1)
+                n += sizes[b]
+                if n >= least:
                     place = ((-1 if doc is None else doc), a)
                     seen[key] = min(seen.get(key, place), place)
                     runs.append((d, own[a][0], own[b + 1][0] if b + 1 < len(own) else total, key, place))
@@ -71,6 +73,24 @@ def test_repeated_rows(spark):
     assert got == [(1, "a b c d", 0), (2, "", 1), (2, "", 1)]
 
 
+def test_long(spark):
+    """Very long texts, of one line and of many, and many short runs in one text."""
+    long = "\n".join(f"line {k} of the long text" for k in range(60_000))
+    copies = "\n".join(f"own {k}\n{' '.join(f'w{k}x{j}' for j in range(50))}" for k in range(3000))
+    rows = [(1, long), (2, "x" * 2_000_000), (3, "w " * 500_000), (4, f"first\n{long}\nlast"), (5, copies), (6, copies.replace("own", "other"))]
+    got = {r.doc_id: r for r in lines.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[4].text == "first\nlast" and got[4].n_deleted == 60_000
+    assert all(got[k].text == t for k, t in rows if k not in (4, 6))
+    assert got[6].text == "\n".join(f"other {k}" for k in range(3000)) and got[6].n_deleted == 3000
+
+
+def test_names(spark):
+    df = spark.createDataFrame([(1, "a b c d", 5, "x"), (2, "a b c d", 6, "y")], "doc_id long, text string, n_lines long, N_DELETED string")
+    got = lines.deduplicated(df, least=3)
+    assert got.columns == ["doc_id", "text", "n_lines", "N_DELETED", "n_lines_", "n_deleted_"]
+    assert sorted(map(tuple, got.collect())) == [(1, "a b c d", 5, "x", 1, 0), (2, "", 6, "y", 1, 1)]
+
+
 def test_empty(spark):
     assert lines.report(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
@@ -86,5 +106,5 @@ def test_shared_window_has_shared_fingerprint():
 
 def test_tables(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    rows = [(r.doc_id, r.text) for r in docs.collect() if len(r.text.split("\n")) < 60]
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
     check(spark, rows, lines.MIN_WORDS)
