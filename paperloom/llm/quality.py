@@ -36,6 +36,8 @@ from .text import INK, Hasher, Texts, Words, chained, mixed, sliced
 
 #: Relative width of a sketch's buckets.
 GAMMA = 1.005
+#: Base rule: words of a document.
+LEAST_WORDS = 50
 #: Documents that a wider sketch counts for.
 PRIOR = 200
 REACH = 7.0
@@ -110,7 +112,7 @@ def measured(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
 
 
 def base_failed() -> Column:
-    return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    return (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
 def ratios() -> dict[str, Column]:
