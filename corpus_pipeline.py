@@ -2,6 +2,11 @@
 
 Each stage takes all that its predecessor kept, written as Parquet and read again, and all but the
 last return the columns of documents.
+
+Defined results: documents with a null or empty text fail the first stage's base rules; null ids,
+languages and sources stay what they are; of repeated rows one is left after the third stage; an empty
+table gives an empty result; further columns stay, whatever their names, but for the last stage, which
+returns places. Near copies that line dedup has cut may be unlike what they were copied from, and stay.
 """
 
 from __future__ import annotations
@@ -14,24 +19,25 @@ from paperloom.llm.frames import read, spare, stored
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules or their language's and source's thresholds reject go."""
+    """Documents that the base rules or their language's and source's thresholds reject go, null and empty texts among them."""
     return quality.clean(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later repeated runs of lines go, and documents of which nothing is left; n_chars follows."""
-    total, gone = spare(docs, "n_lines"), spare(docs, "n_deleted")
-    rest = lines.deduplicated(docs, counts=(total, gone)).where((F.col(gone) == 0) | F.col("text").rlike(r"\S"))
-    return rest.withColumn("n_chars", F.when(F.col(gone) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    """Later repeated runs of lines go, and documents of which fewer words are left than the first stage asks for; n_chars follows."""
+    gone = spare(docs, "n_deleted")
+    cut = F.col(gone) > 0
+    rest = lines.deduplicated(docs, counts=(spare(docs, "n_lines"), gone)).where(~cut | (F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")) >= quality.LEAST_WORDS))
+    return rest.withColumn("n_chars", F.when(cut, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group connected by similar texts, the document with the least id stays."""
+    """Of each group connected by similar texts, the document with the least id stays, of repeated rows one; null ids come last."""
     return jaccard.representatives(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which a twentieth is benchmark text go."""
+    """Documents of which a twentieth or more is benchmark text go."""
     return decontaminate.clean(docs, read(spark, sf_dir, "benchmark"))
 
 
