@@ -4,9 +4,9 @@ A text's set holds its shingles of SHINGLE words (op3's words; all words of a sh
 shingle). Texts with the same set are one class and are compared once. Of the permitted bandings,
 the one with the fewest hashes that finds a pair at THRESHOLD with probability RECALL is chosen.
 Spark shuffles band hashes; classes that share one with others are linked to the least of them, and
-connected classes form a group of candidates. Full sets are made for candidates only, each sent to
-its group once; a group too large for a task is split into blocks, and every two of its blocks meet
-in a task of their own. There all pairs are compared, by counting common shingles in numpy: no pair
+connected classes form a group of candidates. Full sets are made for candidates only, one for each
+class; a group too large for a task is split into blocks, and every two of its blocks meet in a part
+of their own; the parts of a group are dealt to the partitions in turn. There all pairs are compared, by counting common shingles in numpy: no pair
 is ever a row. What comes out is, for each class, how many documents it is linked with, and a
 spanning part of the links, which is joined up again.
 
@@ -180,8 +180,6 @@ def verified(candidates: DataFrame, threshold: float) -> DataFrame:
             flat, first = batch["shingles"].flatten().to_numpy().view(np.uint64), np.concatenate(([0], np.cumsum(batch["shingles"].value_lengths().to_numpy())))
             columns = [batch[c].to_pylist() for c in ("part", "inner", "block", "node", "copies")]
             for k, (part, *row) in enumerate(zip(*columns, strict=True)):
-                if part == last and row[2] == held[2][-1]:
-                    continue  # repeated rows: one stands for all
                 if part != last:
                     if len(held[0]) > 1:
                         yield group(*held)
@@ -231,14 +229,20 @@ def joined(docs: DataFrame, id_column: str = "doc_id", text: str = "text", thres
     members = members.join(blocks, "root").withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
     texts = all_rows.select("row", F.col("id").alias("m_id"), F.col("text_hash").alias("m_hash"))
     members = stored(members.join(texts, F.col("node") == F.col("row")).select("root", "node", "copies", "block", "blocks", "m_id", "m_hash"))
+    twice = full.join(small_side(members.select("m_id", "m_hash"), 16), F.col("id").eqNullSafe(F.col("m_id")) & (F.col("text_hash") == F.col("m_hash"))).groupBy("m_id", "m_hash").count().where("count > 1")
     found = plain.join(small_side(members, 80), F.col("id").eqNullSafe(F.col("m_id")) & (F.col("text_hash") == F.col("m_hash"))).select("root", "node", "copies", "block", "blocks", "text")
+    if not twice.isEmpty():  # the same row several times
+        found = found.dropDuplicates(["node"])
     return _finished(all_rows, classes, _sets(found, "text", n), keys, threshold)
 
 
 def _finished(all_rows: DataFrame, classes: DataFrame, found: DataFrame, keys: list[str], threshold: float) -> DataFrame:
     other = F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).alias("other")
-    parts = found.select("*", other).withColumn("part", F.xxhash64("root", F.least("block", "other"), F.greatest("block", "other"))).withColumn("inner", F.col("block") == F.col("other"))
-    parts = parts.repartition("part").sortWithinPartitions("part", "node")
+    low, high = F.least("block", "other"), F.greatest("block", "other")
+    parts = found.select("*", other).withColumn("part", F.xxhash64("root", low, high)).withColumn("inner", F.col("block") == F.col("other"))
+    tasks = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    task = F.pmod(F.pmod(F.xxhash64("root"), F.lit(tasks)) + high * (high + 1) / 2 + low, F.lit(tasks)).cast("int")
+    parts = parts.repartitionById(tasks, task).sortWithinPartitions("part", "node")
     links = stored(verified(parts, threshold))
     named = links.where("links > 0").groupBy("node").agg(F.sum("links").alias("links"))
     roots_ = components(links.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
