@@ -20,6 +20,10 @@ ABBREVIATIONS = [
     "Fig", "Figs", "Eq", "Eqs", "et al", "e.g", "i.e", "vs", "cf", "resp", "Tab", "Sec", "Ref", "Refs", "No", "approx", "ca", "al", "Dr", "Prof",
     "Mr", "Ms", "Mrs", "St", "Jr", "Inc", "Ltd", "Co", "Corp", "Vol", "pp", "Ch", "Ed", "Eds",
 ]
+# What a sentence ends with.
+TERMINAL = r"""[.!?…]["'”’)\]]*\s*$"""
+# Kinds of tool use that a research turn mustn't have.
+FORBIDDEN = ["commandExecution", "fileChange", "mcpToolCall", "dynamicToolCall", "collabAgentToolCall", "subAgentActivity", "imageView", "imageGeneration", "sleep"]
 # Named character references.
 ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&nbsp;": " ", "&amp;": "&"}
 
@@ -38,6 +42,11 @@ def collapse(text: Column | str) -> Column:
     return F.trim(F.regexp_replace(_col(text), f"{SPACE}+", " "))
 
 
+def trimmed(text: Column | str) -> Column:
+    """Without white space at the ends."""
+    return F.regexp_replace(_col(text), f"^{SPACE}+|{SPACE}+$", "")
+
+
 def normalized(text: Column | str) -> Column:
     """Ligatures spelt out, words joined over line ends, zero-width characters dropped, white space runs as one space."""
     out = _col(text)
@@ -74,12 +83,12 @@ def text_quality(chars: Column, valid: Column) -> Column:
 
 def is_sentence(text: Column | str) -> Column:
     """sentence if it ends in terminal punctuation, else fragment."""
-    return F.when(F.trim(_col(text)).rlike(r"""[.!?…]["'”’)\]]*\s*$"""), "sentence").otherwise("fragment")
+    return F.when(trimmed(text).rlike(TERMINAL), "sentence").otherwise("fragment")
 
 
 def sentence_warnings(text: Column | str) -> Column:
     """array<string>: what is suspicious about the boundaries of a sentence."""
-    t = F.trim(_col(text))
+    t = trimmed(text)
     ends = is_sentence(t) == "sentence"
     abbreviation = rf"\b(?:{'|'.join(map(re.escape, ABBREVIATIONS))})\.\s*$"
     return F.when(t == "", F.array(F.lit("empty_text"))).otherwise(
@@ -109,8 +118,8 @@ def keeps_original(text: Column | str, term: str) -> Column:
 
 def preferred_forms(form: Column | str) -> Column:
     """A form, and itself without the bracketed part at its end."""
-    c = F.trim(_col(form))
-    return F.filter(F.array_distinct(F.array(c, F.trim(F.regexp_replace(c, r"\s*\([^()]*\)\s*$", "")))), lambda x: x != "")
+    c = trimmed(form)
+    return F.filter(F.array_distinct(F.array(c, trimmed(F.regexp_replace(c, r"\s*\([^()]*\)\s*$", "")))), lambda x: x != "")
 
 
 def placeholders(text: Column | str) -> Column:
@@ -262,7 +271,57 @@ def generation_id(at: Column | str) -> Column:
 
 def explained(*parts: Column | str) -> Column:
     """Whether any part of an explanation has text."""
-    return F.exists(F.array(*(_col(p) for p in parts)), lambda x: F.coalesce(F.trim(x) != "", F.lit(False)))
+    return F.exists(F.array(*(_col(p) for p in parts)), lambda x: F.coalesce(trimmed(x) != "", F.lit(False)))
+
+
+def forbidden(kinds: Column | str) -> Column:
+    """Whether any of the kinds of tool use mustn't occur."""
+    return F.arrays_overlap(_col(kinds), F.array(*(F.lit(k) for k in FORBIDDEN)))
+
+
+def tag_version(tag: Column | str) -> Column:
+    """The three-part number behind a colon; null without one."""
+    return F.nullif(F.regexp_extract(_col(tag), r":(\d+\.\d+\.\d+)", 1), F.lit(""))
+
+
+def revision_id(versions: Column) -> Column:
+    """Short id of a struct of component versions, whose fields come in order of their names."""
+    return F.concat(F.lit("r"), F.substring(F.sha2(F.to_json(versions), 256), 1, 12))
+
+
+def person_names(xml: Column | str) -> Column:
+    """array<string>: forenames and surname of each author, in order; authors without either are left out."""
+    authors = F.regexp_extract_all(_col(xml), F.lit(r"(?s)<author\b[^>]*>.*?<persName\b[^>]*>(.*?)</persName>"), 1)
+    parts = F.transform(authors, lambda a: F.transform(F.regexp_extract_all(a, F.lit(r"(?s)<(?:forename|surname)\b[^>]*>(.*?)</(?:forename|surname)>"), 1), without_tags))
+    return F.filter(F.transform(parts, lambda p: F.array_join(F.filter(p, lambda x: x != ""), " ")), lambda n: n != "")
+
+
+def main_title(xml: Column | str) -> Column:
+    """The title of type main, else the first; null if it is empty."""
+    first = lambda attribute: F.regexp_extract(_col(xml), rf"(?s)<title\b[^>]*?{attribute}[^>]*>(.*?)</title>", 1)
+    has_main = _col(xml).rlike(r'<title\b[^>]*?type="main"')
+    return F.nullif(without_tags(F.when(has_main, first('type="main"')).otherwise(first(""))), F.lit(""))
+
+
+def explanation_target(json: Column | str, sections: list[str]) -> Column:
+    """struct<kind, id, section> of a target of further explanation, or null if it is none: a concept, or a section of a sentence's explanation."""
+    kind, section = (F.get_json_object(_col(json), f"$.{k}") for k in ("kind", "section"))
+    id_ = F.when(kind == "concept", F.get_json_object(_col(json), "$.conceptId")).otherwise(F.get_json_object(_col(json), "$.sentenceId"))
+    good = (F.length(id_) > 0) & (F.length(id_) <= 300) & ((kind == "concept") | (kind == "section") & section.isin(sections))
+    return F.when(good, F.struct(kind.alias("kind"), id_.alias("id"), F.when(kind == "section", section).alias("section")))
+
+
+def key_offsets(spans: Column | str) -> Column:
+    """array<string>: item and offset of every character in the spans of span_list(), distinct, in the order of the list."""
+    each = F.transform(_col(spans), lambda s: F.transform(F.when(s["end"] > s["start"], F.sequence(s["start"], s["end"] - 1)).otherwise(F.array().cast("array<int>")), lambda k: F.concat(s["item"], F.lit(":"), k.cast("string"))))
+    return F.array_distinct(F.flatten(each))
+
+
+def halves(items: Column | str) -> Column:
+    """A list in two parts, the first the longer; a list of one in one."""
+    x = _col(items)
+    half = F.ceil(F.size(x) / 2).cast("int")
+    return F.when(F.size(x) >= 2, F.array(F.slice(x, F.lit(1), half), F.slice(x, half + 1, F.size(x) - half))).otherwise(F.array(x))
 
 
 def warning_text(code: Column | str) -> Column:

@@ -57,7 +57,7 @@ def numbers_kept(df: DataFrame, key: list[str], source: str, result: str) -> Dat
 
 
 def not_empty(df: DataFrame, key: list[str], source: str, result: str) -> DataFrame:
-    empty = (F.trim(source) != "") & (F.trim(F.coalesce(F.col(result), F.lit(""))) == "")
+    empty = (T.trimmed(source) != "") & (T.trimmed(F.coalesce(F.col(result), F.lit(""))) == "")
     return _issues(df, key, "empty_translation", F.when(empty, F.array(F.lit(""))))
 
 

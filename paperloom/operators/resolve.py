@@ -28,6 +28,21 @@ def newest_complete(results: DataFrame, keys: list[str], generation: str, comple
     return good.groupBy(*keys).agg(F.max(generation).alias(generation)).withColumn("previous", F.col(generation) < current)
 
 
+def resolved_chunks(plan: DataFrame, saved: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, status and generation of every planned chunk: its own generation's if complete, else the newest earlier one of the same revision that is; null if there is none.
+
+    plan: keys, targets, current, revision; saved: keys, generation, revision, status, targets. Only results for the very targets that are planned count. status: complete or failed
+    as in the current generation, else pending.
+    """
+    wanted = plan.select(*keys, *(F.col(c).alias(f"plan_{c}") for c in ("targets", "current", "revision")))
+    same = (F.col("targets") == F.col("plan_targets")) & (F.col("revision") == F.col("plan_revision")) & (F.col("generation") <= F.col("plan_current"))
+    joined = wanted.join(saved, keys, "left").withColumn("same", F.coalesce(same, F.lit(False)))
+    own, complete = F.col("same") & (F.col("generation") == F.col("plan_current")), F.col("status") == "complete"
+    found = joined.groupBy(*keys).agg(F.bool_or(own & complete).alias("done"), F.bool_or(own & (F.col("status") == "failed")).alias("failed"), F.max(F.when(F.col("same") & complete, F.col("generation"))).alias("generation"))
+    status = F.when(F.col("done"), "complete").when(F.col("failed"), "failed").otherwise("pending")
+    return found.select(*keys, status.alias("status"), "generation", (~F.col("done") & F.col("generation").isNotNull()).alias("previous"))
+
+
 def standings(claims: DataFrame, url: str, trace: DataFrame, trace_url: str, viewed: str) -> DataFrame:
     """The claims with standing: viewed, listed or absent in the trace, by canonical URL."""
     seen = trace.groupBy(normalized_url(trace_url).alias("trace_key")).agg(F.bool_or(viewed).alias("trace_viewed")).where("trace_key is not null")

@@ -10,7 +10,7 @@ from ..functions import unicode
 from ..operators import checks, events, normalize, resolve
 from ..sources import documents
 from ..streaming import events as streams
-from .tables import read
+from .tables import read, trimmed_sql
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -144,7 +144,7 @@ def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(r"""
 WITH a AS (SELECT conv_id, turn, text AS source, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS result FROM conversations),
 n AS (SELECT conv_id, turn, len(list_filter(list_distinct(regexp_extract_all(source, '[0-9]+(?:[.,][0-9]+)*')), lambda x: NOT list_contains(regexp_extract_all(result, '[0-9]+(?:[.,][0-9]+)*'), x))) AS missing, result, source FROM a WHERE result IS NOT NULL)
-SELECT conv_id, turn, CAST(CASE WHEN trim(source, ' ') <> '' AND trim(result, ' ') = '' THEN 1 ELSE 0 END AS BIGINT) AS fatal, CAST(missing AS BIGINT) AS warnings, NOT (trim(source, ' ') <> '' AND trim(result, ' ') = '') AS ok FROM n""")
+SELECT conv_id, turn, CAST(CASE WHEN SOURCE_TRIMMED <> '' AND RESULT_TRIMMED = '' THEN 1 ELSE 0 END AS BIGINT) AS fatal, CAST(missing AS BIGINT) AS warnings, NOT (SOURCE_TRIMMED <> '' AND RESULT_TRIMMED = '') AS ok FROM n""".replace("SOURCE_TRIMMED", trimmed_sql("source")).replace("RESULT_TRIMMED", trimmed_sql("result")))
 def answer_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each turn's answer against the turn: placeholders, citations, URLs, numbers, neighbours."""
     key = ["conv_id", "turn"]

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import SPACE
+
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -25,6 +27,10 @@ sentences AS (
 )"""
 
 
+def trimmed_sql(column: str) -> str:
+    return f"regexp_replace({column}, '^{SPACE}+|{SPACE}+$', '', 'g')"
+
+
 def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, pos, start and end: where each line stands in its document."""
     w = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
