@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import crossentropy, decontaminate, jaccard, languages, lines, packing, pages, privacy, quality, toxicity
+from . import crossentropy, decontaminate, jaccard, languages, lines, packing, pages, privacy, quality, tokens, toxicity
 from .frames import read
 from .oracles import ORACLE_SQL  # noqa: F401
 
@@ -49,6 +49,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.report(read(spark, sf_dir, "documents"))
 
 
+def op11_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.report(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_lines": op1_lines,
     "op2_pages": op2_pages,
@@ -60,4 +64,5 @@ QUERIES = {
     "op8_crossentropy": op8_crossentropy,
     "op9_languages": op9_languages,
     "op10_packing": op10_packing,
+    "op11_tokens": op11_tokens,
 }
