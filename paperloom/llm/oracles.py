@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 import string
 
-from . import decontaminate, jaccard, lines, quality
+from . import decontaminate, fingerprints, jaccard, lines, quality
 
 _LOWER = f"translate(text, '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
 _WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -92,4 +92,27 @@ gone AS (SELECT DISTINCT a.doc_id, a.number FROM a JOIN rk ON a.doc_id = rk.doc_
 r AS (SELECT a.doc_id, string_agg(line, chr(10) ORDER BY a.number) FILTER (gone.number IS NULL) AS text, count(*) AS n_lines, count(gone.number) AS n_deleted FROM a LEFT JOIN gone ON a.doc_id = gone.doc_id AND a.number = gone.number GROUP BY a.doc_id)
 SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(r.text, '') END AS text, coalesce(n_lines, 0) AS n_lines, coalesce(n_deleted, 0) AS n_deleted FROM documents d LEFT JOIN r ON d.doc_id = r.doc_id"""
 
-ORACLE_SQL = {"op1_lines": LINES, "op3_decontaminate": DECONTAMINATE, "op4_jaccard": JACCARD, "op6_quality": QUALITY}
+def _keys(text: str) -> str:
+    found = f"list_transform(regexp_extract_all({text}, '{fingerprints.PARAGRAPH}'), lambda p: trim(p))"
+    digests = f"list_distinct(list_transform(list_filter({found}, lambda p: p <> ''), lambda p: CAST('0x' || substr(md5(p), 1, 10) AS BIGINT)))"
+    return f"list_transform({digests}, lambda d: d * 1048576 + d % 1048573 * 48271 % 1048573)"
+
+
+def _written(keys: str) -> str:
+    own = f"list_filter({keys}, lambda k: ((k >> (20 + 3 * (i // 8))) & 7) = i % 8)"
+    return f"array_to_string(list_transform(range(24), lambda i: format('{{:x}}', list_reduce(list_prepend(CAST(0 AS BIGINT), {own}), lambda x, y: xor(x, y)))), ' ')"
+
+
+def _near(one: str, other: str) -> str:
+    return f"CASE WHEN len({one}) + len({other}) = 0 THEN 1.0 ELSE 2 * len(list_intersect({one}, {other})) / (len({one}) + len({other})) END"
+
+
+FINGERPRINTS = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+n AS (SELECT *, length(text) // 2 AS half, coalesce(lead(text) OVER (ORDER BY doc_id DESC), first_value(text) OVER (ORDER BY doc_id DESC)) AS other FROM d),
+e AS (SELECT *, substring(text, 1, length(text) - half) || substring(other, 1, half) AS edited FROM n),
+k AS (SELECT *, {_keys("text")} AS a, {_keys("edited")} AS b, {_keys("other")} AS c FROM e)
+SELECT doc_id, CAST(length(text) AS BIGINT) AS n_chars, sha256(edited) AS edited_sha256, {_written("a")} AS fingerprint, {_written("b")} AS edited_fingerprint,
+       CAST({_near("a", "b")} AS DOUBLE) AS near_edited, CAST({_near("a", "c")} AS DOUBLE) AS near_next FROM k"""
+
+ORACLE_SQL = {"op1_lines": LINES, "op3_decontaminate": DECONTAMINATE, "op4_jaccard": JACCARD, "op6_quality": QUALITY, "op12_fingerprints": FINGERPRINTS}

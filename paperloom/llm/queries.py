@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import crossentropy, decontaminate, jaccard, languages, lines, packing, pages, periods, privacy, quality, tokens, toxicity
+from . import crossentropy, decontaminate, fingerprints, jaccard, languages, lines, packing, pages, periods, privacy, quality, tokens, toxicity
 from .frames import read
 from .oracles import ORACLE_SQL  # noqa: F401
 
@@ -53,6 +53,10 @@ def op11_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.report(read(spark, sf_dir, "documents"))
 
 
+def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.report(read(spark, sf_dir, "documents"))
+
+
 def op13_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periods.report(read(spark, sf_dir, "documents"))
 
@@ -69,5 +73,6 @@ QUERIES = {
     "op9_languages": op9_languages,
     "op10_packing": op10_packing,
     "op11_tokens": op11_tokens,
+    "op12_fingerprints": op12_fingerprints,
     "op13_periods": op13_periods,
 }
