@@ -1,4 +1,4 @@
-"""Where a passage best fits into a text, by edit distance."""
+"""Where a passage best fits into a text, by edit distance, and which text items it covers there."""
 
 from __future__ import annotations
 
@@ -7,7 +7,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import normalized
+from .assembly import item_spans, placed
+from .normalize import norm_range, normalized_with_map, raw_range
+
 _BIG = 1 << 32
+#: The edits a character of the passage that are at most certain, and at most uncertain; why a passage has no place, or several.
+MAPPED, UNCERTAIN = 0.1, 0.35
+EMPTY, NO_CANDIDATES, OVER, AMBIGUOUS = "empty_sentence", "no_candidates", "over_threshold", "ambiguous"
 
 
 def fit(query: str, text: str) -> tuple[int, int, int]:
@@ -69,3 +76,43 @@ def aligned(pairs: DataFrame, query: str, text: str, most_cells: int | None = 20
     both = direct.unionByName(rest).unionByName(over)
     done = F.when(F.col("fit.distance").isNull(), "too_large").otherwise(status(F.col("fit.distance"), F.length(query), F.col("exact")))
     return both.select(*rows.columns, "fit.distance", "fit.start", "fit.end", done.alias("status"))
+
+
+def on_items(sentences: DataFrame, candidates: DataFrame, keys: list[str]) -> DataFrame:
+    """Sentences fitted into their candidate items put together: status, reason, confidence, distance, length, exact, matched_start and matched_end, and the spans of items.
+
+    sentences: keys, sentence; candidates: keys, page, index, text, eol, none of them twice. Both are normalised; what is matched are places in the
+    normalised text, spans have places in each item's own text and in its normalised text. An exact hit is taken as it is, and is uncertain if there is
+    another; else the least edit distance decides. There is no limit of size: long texts are fitted piece by piece. Places count code points.
+    """
+    items = placed(candidates, keys)
+    parts = F.array_sort(F.collect_list(F.struct("page", "index", F.concat("separator", "text").alias("part"))))
+    texts = items.groupBy(*keys).agg(F.array_join(F.transform(parts, lambda p: p["part"]), "").alias("raw")).withColumn("norm", normalized_with_map(F.col("raw")))
+    rows = sentences.select(*keys, F.trim(normalized(F.coalesce("sentence", F.lit("")))).alias("query")).join(texts, keys, "left")
+    rows = rows.withColumn("length", F.length("query"))
+    first = F.instr("norm.text", F.col("query"))
+    again = F.position(F.col("query"), F.col("norm.text"), F.col("at") + 1)
+    rows = rows.withColumn("at", F.when((F.col("length") > 0) & F.col("raw").isNotNull(), first).otherwise(-1))
+
+    @F.pandas_udf("distance int, start int, end int")
+    def fitted(q: pd.Series, t: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([fit_long(a, b) for a, b in zip(q, t, strict=True)], columns=["distance", "start", "end"])
+
+    exact = rows.where("at > 0").select("*", F.struct(F.lit(0).alias("distance"), (F.col("at") - 1).alias("start"), (F.col("at") - 1 + F.col("length")).alias("end")).alias("fit"), (again > 0).alias("twice"))
+    close = rows.where("at = 0").select("*", fitted("query", "norm.text").alias("fit"), F.lit(False).alias("twice"))
+    none = rows.where("at < 0").select("*", F.lit(None).cast("struct<distance:int,start:int,end:int>").alias("fit"), F.lit(False).alias("twice"))
+    ratio = F.col("fit.distance") / F.col("length")
+    reason = F.when(F.col("length") == 0, EMPTY).when(F.col("raw").isNull(), NO_CANDIDATES).when(ratio > UNCERTAIN, OVER).when(F.col("twice"), AMBIGUOUS)
+    found = exact.unionByName(close).unionByName(none).withColumn("reason", reason)
+    lost = F.coalesce(F.col("reason").isin(EMPTY, NO_CANDIDATES, OVER), F.lit(False))
+    found = found.select(
+        *keys, "length", "reason", (F.col("at") > 0).alias("exact"), F.coalesce("fit.distance", "length").alias("distance"),
+        F.when(lost, "unmapped").when(F.col("twice") | (ratio > MAPPED), "uncertain").otherwise("mapped").alias("status"),
+        F.when(lost, 0.0).when(F.col("twice"), 0.5).otherwise(1 - ratio).alias("confidence"),
+        F.when(~lost, F.col("fit.start")).alias("matched_start"), F.when(~lost, F.col("fit.end")).alias("matched_end"), raw_range(F.col("norm.segments"), F.col("fit.start"), F.col("fit.end")).alias("raw"),
+    )
+    ranges = found.where(F.col("matched_start").isNotNull()).select(*keys, F.col("raw.start").alias("from"), F.col("raw.end").alias("to"))
+    cut = item_spans(ranges, items, keys).join(candidates.select(*keys, "page", "index", "text"), [*keys, "page", "index"])
+    cut = cut.withColumn("own", norm_range(normalized_with_map(F.col("text"))["segments"], F.col("start"), F.col("end")))
+    spans = cut.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("page", "index", "start", "end", F.col("own.start").alias("norm_start"), F.col("own.end").alias("norm_end")))).alias("spans"))
+    return found.drop("raw").join(spans, keys, "left").withColumn("spans", F.coalesce("spans", F.array()))

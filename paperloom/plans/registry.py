@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import logs, papers, relations, reports, structures, texts
+from . import logs, papers, relations, reports, stateful, structures, texts
 
 FLAGSHIP = "page_quality"
-MODULES = [texts, relations, structures, logs, reports, papers]
+MODULES = [texts, relations, structures, logs, reports, papers, stateful]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -199,16 +199,47 @@ def review_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.stratified_sample(read(spark, sf_dir, "documents").select("doc_id", "source"), "source", "doc_id", 150, "review")
 
 
+#: Characters of a seed that passages and lines share, from a word's beginning on; characters of an item at most; lines of a page.
+SEED, ITEM, PAGE = 12, 60, 10
+
+
+def _seeds(text: str, key: str) -> Column:
+    """Hashes of the characters from each word's beginning on; where fewer follow, of those."""
+    words = F.filter(F.split(F.lower(F.trim(F.regexp_replace(text, r"\s+", " "))), " "), lambda w: w != "")
+    grams = lambda w: F.transform(w, lambda _, i: F.xxhash64(F.substring(F.array_join(F.slice(w, i + 1, SEED), " "), 1, SEED)))
+    return F.array_distinct(F.element_at(F.transform(F.array(words), grams), 1)).alias(key)
+
+
+def _candidates(lines: DataFrame, passages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs of passage and document that share two seeds, or all the passage has, and their candidate items: those of the lines with seeds and of the lines next to these.
+
+    lines: doc_id, pos, text; passages: item_id, seeds. Items are stretches of lines, pages every so many lines.
+    """
+    seeds = passages.select("item_id", F.explode("seeds").alias("key"), F.least(F.size("seeds"), F.lit(2)).alias("least"))
+    hits = lines.select("doc_id", "pos", F.explode(_seeds("text", "keys")).alias("key")).join(seeds, "key").groupBy("doc_id", "item_id", "least", "pos").agg(F.count("*").alias("n"))
+    pairs = hits.groupBy("doc_id", "item_id", "least").agg(F.sum("n").alias("n")).where("n >= least").select("doc_id", "item_id")
+    near = hits.join(pairs, ["doc_id", "item_id"]).select("doc_id", "item_id", F.explode(F.array(F.col("pos") - 1, F.col("pos"), F.col("pos") + 1)).alias("pos")).distinct()
+    pieces = lines.select("doc_id", "pos", F.length("text").alias("size"), F.regexp_extract_all("text", F.lit(f"[^\n]{{1,{ITEM}}}"), F.lit(0)).alias("pieces")).withColumn("n", F.size("pieces"))
+    before = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    upto = lambda n: F.coalesce(F.sum(n).over(before), F.lit(0))
+    placed = pieces.withColumns({"first": upto("n"), "offset": upto(F.col("size") + 1)}).select("doc_id", "pos", "n", "first", "offset", F.posexplode("pieces").alias("k", "text"))
+    index, eol = (F.col("first") + F.col("k")).alias("index"), (F.col("k") == F.col("n") - 1).alias("eol")
+    items = placed.select("doc_id", "pos", F.floor(F.col("pos") / PAGE).alias("page"), index, "text", eol, (F.col("offset") + F.col("k") * ITEM).alias("offset"))
+    return pairs, near.join(items, ["doc_id", "pos"]).select("doc_id", "item_id", "page", "index", "text", "eol", "offset")
+
+
 @query()
 def passage_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark passages fitted into the documents that share eight words in a row with them."""
-    words = F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " ")
-    shingle = lambda key: F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 7, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice("w", i, 8), " ")))).alias(key)
-    items = read(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("passage"), words.alias("w"))
-    docs = read(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("line"), words.alias("w"))
-    pairs = docs.select("doc_id", shingle("key")).join(items.select("item_id", shingle("key")), "key").select("doc_id", "item_id").distinct()
-    both = pairs.join(items.drop("w"), "item_id").join(docs.drop("w"), "doc_id")
-    return alignment.aligned(both, "passage", "line", most_cells=None).drop("passage", "line")
+    """Benchmark passages fitted into the text items of the documents that share words in a row with them, with the spans of items that they cover."""
+    passages = read(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("sentence"), _seeds("text", "seeds"))
+    lines = read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "text"))
+    pairs, items = _candidates(lines, passages)
+    keys = ["doc_id", "item_id"]
+    found = alignment.on_items(pairs.join(passages.select("item_id", "sentence"), "item_id"), items.drop("offset"), keys)
+    # where it stands in the document: from its first item's place to its last one's
+    spans = found.select(*keys, F.explode("spans").alias("s")).select(*keys, "s.page", "s.index", F.col("s.start").alias("low"), F.col("s.end").alias("high"))
+    ends = spans.join(items, [*keys, "page", "index"]).groupBy(*keys).agg(F.min(F.col("offset") + F.col("low")).alias("start"), F.max(F.col("offset") + F.col("high")).alias("end"))
+    return found.join(ends, keys, "left")
 
 
 @query(f"""

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import unicode as U
 from ..functions.rules import violations
-from ..operators import resolve, structure
+from ..operators import alignment, resolve, structure
 from ..sources import html
 from . import relations
 from .tables import SENTENCES_SQL, SPANS_SQL, read, sentences, spans
@@ -41,9 +41,14 @@ def candidate_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def alignment_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How the passages fitted, and how far off."""
-    rows = relations.passage_alignment(spark, sf_dir)
-    return rows.groupBy("status").agg(F.count("*").alias("n"), F.count_if(F.col("exact") > 0).alias("exact"), F.max("distance").alias("most"), F.avg("distance").alias("mean"))
+    """How the passages fitted: by status how many, why not, how far off in the middle and at most, and how many items they cover."""
+    rows = relations.passage_alignment(spark, sf_dir).select("status", "reason", "exact", (F.col("distance") / F.greatest("length", F.lit(1))).alias("ratio"), F.size("spans").alias("spans"))
+    reasons = [F.count_if(F.col("reason") == r).alias(r) for r in (alignment.EMPTY, alignment.NO_CANDIDATES, alignment.OVER, alignment.AMBIGUOUS)]
+    out = rows.groupBy("status").agg(F.count("*").alias("n"), F.count_if("exact").alias("exact"), *reasons)
+    for value in ("ratio", "spans"):
+        middle = resolve.upper_median(rows, ["status"], value).select("status", F.col("median").alias(f"{value}_median"), F.col("most").alias(f"{value}_max"))
+        out = out.join(middle, "status", "left")
+    return out
 
 
 @query(rf"""

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,3 +35,15 @@ def drained(spark: SparkSession, result: DataFrame, keys: list[str], mode: str)
     schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in result.schema)}, batch int, number int"
     rows = spark.read.schema(schema).parquet(f"{folder}/out").drop("number")
     return last_by(rows, keys, ["batch"]).drop("batch")
+
+
+@contextmanager
+def state_in_rocksdb(spark: SparkSession) -> Iterator[None]:
+    """Streams that start here keep their state in RocksDB, as keyed state of any form needs."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
