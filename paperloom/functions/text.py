@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 # White space, as scripts of the web define it.
 SPACE = r"[\s\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}\x{000B}]"
+# The same, one by one.
+SPACES = "\t\n\x0b\x0c\r \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 # Characters that show that text extraction failed.
 INVALID = r"[\p{Co}\p{Cc}\p{Cn}\x{FFFD}]"
 # Ligatures and what they stand for.
@@ -44,7 +46,7 @@ def collapse(text: Column | str) -> Column:
 
 def trimmed(text: Column | str) -> Column:
     """Without white space at the ends."""
-    return F.regexp_replace(_col(text), f"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(_col(text), F.lit(SPACES))
 
 
 def normalized(text: Column | str) -> Column:
@@ -204,6 +206,20 @@ def coordinates(text: Column | str) -> Column:
     return F.transform(good, lambda a: F.struct((a[0] - 1).cast("int").alias("page_index"), a[1].alias("x"), a[2].alias("y"), a[3].alias("width"), a[4].alias("height")))
 
 
+def coordinate_warnings(text: Column | str) -> Column:
+    """array<string>: pieces that aren't five numbers, pages below one or not whole, and coordinates that are missing."""
+    pieces = F.filter(F.transform(F.split(F.coalesce(_col(text), F.lit("")), ";"), lambda p: trimmed(p)), lambda p: p != "")
+    numbers = lambda p: F.transform(F.split(p, ","), lambda x: trimmed(x).try_cast("double"))
+
+    def problem(p: Column) -> Column:
+        n = numbers(p)
+        malformed = (F.size(n) != 5) | F.exists(n, lambda x: x.isNull() | F.isnan(x))
+        page = trimmed(F.element_at(F.split(p, ","), 1))
+        return F.when(malformed, F.concat(F.lit("coords_malformed:"), F.substring(p, 1, 40))).when((n[0] < 1) | (n[0] != F.floor(n[0])), F.concat(F.lit("coords_page_invalid:"), page))
+
+    return F.when(F.size(pieces) == 0, F.array(F.lit("coords_missing"))).otherwise(F.array_compact(F.transform(pieces, problem)))
+
+
 def pages_of(rects: Column | str) -> Column:
     return F.array_sort(F.array_distinct(F.transform(_col(rects), lambda r: r["page_index"])))
 

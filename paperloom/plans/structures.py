@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import resolve, structure
-from ..sources import tei
+from ..sources import tei, tei_documents
+from ..sources.shared import fresh_folder
 from .tables import SENTENCES_SQL, read, sentences
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -39,6 +40,101 @@ def tei_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "section", "section_number", "order", F.sha2("text", 256).alias("text"), "coords", T.pages_of(T.coordinates("coords"))[0].alias("page"))
 
 
+REVISION = "r1"
+
+
+def _tei_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written as XML of many parts and taken apart again, in one parse that is written down: ten lines to a section, every other section below the one before, and
+    among the sentences formulas, notes, figures and tables, and citations of two entries of three. Every fifth document breaks off after its first section, every next one
+    has a character that XML forbids.
+    """
+    line = F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    lines = read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(line, "\n", -1)).alias("i", "x"))
+    m, i, x = F.col("i") % 10, F.col("i").cast("string"), F.col("x")
+    xml = (
+        F.when(m < 6, F.concat(F.lit('<p><s coords="'), (F.col("i") % 7).cast("string"), F.lit(',1,2,3,4">'), x, F.lit("</s></p>")))
+        .when(m == 6, F.concat(F.lit('<formula coords="1,2,x,4,5">'), x, F.lit("</formula>")))
+        .when(m == 7, F.concat(F.lit('<note place="foot" n="'), i, F.lit('"><s coords="2,1,1,1,1">'), x, F.lit("</s></note>")))
+        .when(m == 8, F.concat(F.lit('<figure xml:id="f'), i, F.when(F.col("i") % 20 == 8, '" type="table').otherwise(""), F.lit('"><head>Nr</head><figDesc><s coords="3,1,1,1,1">'), x, F.lit("</s></figDesc></figure>")))
+        .otherwise(F.concat(F.lit("<p><s>"), x, F.lit('<ref type="bibr" target="#b'), (F.col("i") % 3).cast("string"), F.lit('">[r]</ref></s></p>')))
+    )
+    k = F.floor(F.col("i") / 10)
+    parts = lines.groupBy("doc_id", k.alias("k")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", xml.alias("xml")))), lambda p: p["xml"]), "").alias("xml"))
+    number = F.concat((F.floor(F.col("k") / 2) + 1).cast("string"), F.when(F.col("k") % 2 == 0, ".").otherwise(".1"))
+    title = F.concat(F.lit("Part"), F.when((F.col("k") == 0) & (F.col("doc_id") % 5 == 1), "\x01").otherwise(""), F.lit(" "), F.col("k").cast("string"))
+    broken = F.when((F.col("k") == 0) & (F.col("doc_id") % 5 == 0), "<bad<").otherwise("")
+    divs = parts.select("doc_id", "k", F.concat(F.lit('<div><head n="'), number, F.lit('">'), title, F.lit("</head>"), "xml", F.lit("</div>"), broken).alias("xml"))
+    body = divs.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "xml"))), lambda p: p["xml"]), "").alias("body"))
+    entry = '<biblStruct xml:id="b{0}"><analytic><title type="main">Title {0}</title><author><persName><forename>A</forename><surname>B{0}</surname></persName></author></analytic><monogr><imprint><date when="200{0}-01"/></imprint></monogr><idno type="DOI">10/{0}</idno></biblStruct>'
+    back = "".join(entry.format(n) for n in (0, 1))
+    docs = body.select("doc_id", F.concat(F.lit('<TEI xmlns="http://www.tei-c.org/ns/1.0"><text><body>'), "body", F.lit(f'</body><back><div type="references">{back}</div></back></text></TEI>')).alias("xml"))
+    folder = fresh_folder(spark)
+    tei_documents.records(docs, "doc_id", "xml").write.parquet(folder)
+    return spark.read.parquet(folder)
+
+
+def _tei_id(prefix: str, *parts: str) -> str:
+    return f"'{prefix}' || substr(sha256(concat_ws(':', doc_id, '{REVISION}', {', '.join(parts)})), 1, 16)"
+
+
+_TEI_SQL = r"""
+l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents),
+a AS (SELECT *, i // 10 AS k, i % 10 AS m, trim(regexp_replace(x, '\s+', ' ', 'g')) AS t FROM l WHERE doc_id % 5 <> 0 OR i < 10),
+s AS (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INTEGER) AS position, CASE WHEN m < 6 AND i % 7 > 0 THEN CAST(i % 7 - 1 AS INTEGER) END AS own FROM a WHERE m < 6 OR m = 9)"""
+
+
+@query(f"""
+WITH {_TEI_SQL} SELECT DISTINCT doc_id, {_tei_id("sec_", "'section'", "k")} AS section_id, CASE WHEN k % 2 = 1 THEN {_tei_id("sec_", "'section'", "k - 1")} END AS parent_id, CAST(k AS INTEGER) AS position, 'Part ' || k AS title FROM a""")
+def tei_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections with the one above each, of whole documents and of what can be read of broken ones."""
+    return tei_documents.sections(_tei_records(spark, sf_dir), "doc_id", REVISION)
+
+
+@query(f"""
+WITH {_TEI_SQL} SELECT doc_id, {_tei_id("s_", "position")} AS sentence_id, {_tei_id("sec_", "'section'", "k")} AS section_id, {_tei_id("p_", "'paragraph'", "position")} AS paragraph_id, sha256(x || CASE WHEN m = 9 THEN '[r]' ELSE '' END) AS text,
+  coalesce(own, last_value(own IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS page, CASE WHEN m = 9 THEN 'b' || i % 3 ELSE '' END AS targets,
+  CASE WHEN m = 9 THEN 'coords_missing' WHEN i % 7 = 0 THEN 'coords_page_invalid:0' ELSE '' END AS warnings FROM s""")
+def tei_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences with their section, paragraph and page, what they cite, and what is wrong with their places."""
+    rows = tei_documents.sentences(_tei_records(spark, sf_dir), "doc_id", REVISION)
+    own = F.array_join(F.filter("warnings", lambda w: w.startswith("coords")), ",")
+    return rows.select("doc_id", "sentence_id", "section_id", "paragraph_id", F.sha2("text", 256).alias("text"), "page", F.array_join("targets", ",").alias("targets"), own.alias("warnings"))
+
+
+@query(f"""
+WITH {_TEI_SQL},
+b AS (SELECT doc_id, i * 2 AS place, CASE m WHEN 6 THEN 'formula' WHEN 7 THEN 'footnote' ELSE if(i % 20 = 8, 'table', 'figure') END AS type, CASE WHEN m = 8 THEN trim('Nr ' || t) ELSE t END AS text,
+        CASE m WHEN 7 THEN CAST(i AS VARCHAR) WHEN 8 THEN 'f' || i END AS label, CASE WHEN m = 7 THEN '1' ELSE '' END AS pages, CASE m WHEN 6 THEN 'coords_malformed:1,2,x,4,5' WHEN 8 THEN 'coords_missing' ELSE '' END AS problems FROM a WHERE m BETWEEN 6 AND 8
+  UNION ALL SELECT doc_id, i * 2 + 1, 'caption', t, 'f' || i, '2', '' FROM a WHERE m = 8
+  UNION ALL SELECT doc_id, 1000000000000 + n, 'bibliography', 'Title ' || n || 'AB' || n || '10/' || n, 'b' || n, '', 'coords_missing' FROM (SELECT DISTINCT doc_id FROM a WHERE doc_id % 5 <> 0), (SELECT unnest([0, 1]) AS n)),
+p AS (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY place) - 1 AS INTEGER) AS position FROM b)
+SELECT doc_id, {_tei_id("x_", "'excluded'", "position")} AS block_id, position, type, sha256(text) AS text, label, pages, problems FROM p""")
+def tei_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Formulas, notes, figures, tables, captions and entries of the bibliography, in the order of reading."""
+    rows = tei_documents.blocks(_tei_records(spark, sf_dir), "doc_id", REVISION)
+    return rows.select("doc_id", "block_id", "position", "type", F.sha2("text", 256).alias("text"), "label", F.array_join("pages", ",").alias("pages"), F.array_join("problems", ",").alias("problems"))
+
+
+@query(f"""
+WITH {_TEI_SQL}, r AS (SELECT doc_id, n FROM (SELECT DISTINCT doc_id FROM a WHERE doc_id % 5 <> 0), (SELECT unnest([0, 1]) AS n)),
+c AS (SELECT doc_id, i % 3 AS n, string_agg({_tei_id("s_", "position")}, ',' ORDER BY position) AS cited_by FROM s WHERE m = 9 GROUP BY doc_id, i % 3)
+SELECT doc_id, {_tei_id("b_", "'bib'", "n")} AS reference_id, 'Title ' || n AS title, 'A B' || n AS authors, CAST(2000 + n AS INTEGER) AS year, '10/' || n AS doi, coalesce(cited_by, '') AS cited_by FROM r LEFT JOIN c USING (doc_id, n)""")
+def tei_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries of the bibliography with the sentences that cite them."""
+    rows = tei_documents.references(_tei_records(spark, sf_dir), "doc_id", REVISION)
+    return rows.select("doc_id", "reference_id", "title", F.array_join("authors", ",").alias("authors"), "year", "doi", F.array_join("cited_by", ",").alias("cited_by"))
+
+
+@query(f"""
+WITH {_TEI_SQL}, d AS (SELECT DISTINCT doc_id FROM a)
+SELECT doc_id, 'abstract_missing' AS code FROM d UNION ALL SELECT doc_id, 'malformed_xml' FROM d WHERE doc_id % 5 = 0 UNION ALL SELECT doc_id, 'forbidden_characters' FROM d WHERE doc_id % 5 = 1
+UNION ALL SELECT DISTINCT doc_id, 'citation_target_missing:b' || i % 3 FROM a WHERE m = 9 AND (i % 3 = 2 OR doc_id % 5 = 0)""")
+def tei_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is wrong with each document, broken ones among them."""
+    rows = tei_documents.warnings(_tei_records(spark, sf_dir), "doc_id", REVISION)
+    return rows.select("doc_id", F.when(F.col("code") == "citation_target_missing", F.concat_ws(":", "code", "detail")).otherwise(F.col("code")).alias("code"))
+
+
 @query("""
 WITH s AS (SELECT l_orderkey, l_linenumber AS "order", CASE WHEN l_linenumber % 3 = 1 THEN CAST(l_linenumber AS VARCHAR) ELSE CAST(l_linenumber - l_linenumber % 3 + 1 AS VARCHAR) || '.' || l_suppkey END AS number FROM (SELECT DISTINCT l_orderkey, l_linenumber, min(l_suppkey) AS l_suppkey FROM lineitem GROUP BY ALL)),
 c AS (SELECT *, CASE WHEN strpos(number, '.') > 0 THEN regexp_replace(number, '\\.[^.]*$', '') END AS up FROM s)
