@@ -9,8 +9,8 @@ interval is taken, so that chance doesn't tell, nor do words that few documents
 GENERALISE or more are replaced by their kind, from REMOVE on they are taken out, wherever they stand,
 also in documents without the entity.
 
-Co-occurrence is counted over whole documents: pairs of entity and word add up within tasks and
-before the shuffle, then the documents of only those words that are in SUPPORT such pairs or more are
+Co-occurrence is counted over whole documents, for entities that SUPPORT documents hold or more: pairs
+of entity and word add up within tasks, a bounded number at a time, and before the shuffle, then the documents of only those words that are in SUPPORT such pairs or more are
 counted. The telling words are broadcast in blocks of bounded size, each with a pass of its own over
 the texts; texts are only mapped.
 
@@ -187,23 +187,61 @@ def _rows(held: list[list[np.ndarray]], names: list[str]) -> Iterator[pa.RecordB
         yield pa.RecordBatch.from_arrays([pa.array(c[k : k + 100_000]) for c in columns], names=names)
 
 
-def pair_counts(docs: DataFrame, text: str = "text", support: int = SUPPORT) -> DataFrame:
-    """entity, term, n: the documents that hold both, `support` or more; with the term 0, those that hold the entity. Stored."""
+def entity_codes(docs: DataFrame, text: str, support: int) -> DataFrame:
+    """entity of those that `support` documents or more hold; no pair of another one counts. Stored."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: Counter = Counter()
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array(list(held.values()), pa.int64())], names=["entity", "n"])
+
+        for batch in batches:
+            for part, texts in sliced(batch, "text"):
+                for k in _with_digit_or_at(texts).tolist():
+                    t = part["text"][k].as_py()
+                    spans = base_spans(t)
+                    held.update(code(e) for e in entities(t, spans + secrets(t, spans)))
+                if len(held) > HELD // 4:
+                    yield out()
+                    held.clear()
+        yield out()
+
+    found = docs.where(F.col(text).isNotNull()).select(F.col(text).alias("text")).mapInArrow(run, "entity long, n long")
+    return stored(found.groupBy("entity").agg(F.sum("n").alias("n")).where(F.col("n") >= support).select("entity"))
+
+
+def pair_counts(docs: DataFrame, text: str = "text", support: int = SUPPORT, listed: int = LISTED) -> DataFrame:
+    """entity, term, n: the documents that hold both, `support` or more; with the term 0, those that hold the entity. Stored.
+
+    Only entities of as many documents are paired, as far as they are few enough to broadcast, and never more than HELD pairs are made at a time, however many
+    entities a document holds.
+    """
+    common = entity_codes(docs, text, support)
+    shared = docs.sparkSession.sparkContext.broadcast(np.sort(common.toArrow()["entity"].to_numpy())) if common.count() <= listed else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
+        size = 0
         for batch in batches:
             for part, texts in sliced(batch, "text"):
                 m = Marked(texts, part["text"])
                 for k, t in m.values.items():
                     known = np.array([code(e) for e in entities(t, m.spans[k])], np.int64)
+                    if shared:
+                        known = known[_among(known, shared.value)]
                     terms = np.append(np.unique(m.hash[m.edge[k] : m.edge[k + 1]]), 0)
-                    held.append([np.repeat(known, len(terms)), np.tile(terms, len(known)), np.ones(len(known) * len(terms), np.int64)])
-                if sum(len(x[0]) for x in held) > HELD:
-                    held = [_summed(held)]
-                    if len(held[0][0]) > HELD // 2:
-                        yield from _rows(held, ["entity", "term", "n"])
-                        held = []
+                    step = max(1, HELD // len(terms))
+                    for at in range(0, len(known), step):
+                        some = known[at : at + step]
+                        held.append([np.repeat(some, len(terms)), np.tile(terms, len(some)), np.ones(len(some) * len(terms), np.int64)])
+                        size += len(some) * len(terms)
+                        if size > HELD:
+                            held = [_summed(held)]
+                            size = len(held[0][0])
+                            if size > HELD // 2:
+                                yield from _rows(held, ["entity", "term", "n"])
+                                held, size = [], 0
         if held:
             yield from _rows(held, ["entity", "term", "n"])
 
@@ -248,7 +286,7 @@ def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
 
 def disclosures(docs: DataFrame, text: str = "text", support: int = SUPPORT, least: float = GENERALISE, listed: int = LISTED) -> DataFrame:
     """entity, term, share of the pairs with the share `least` or more. Stored."""
-    counted = pair_counts(docs, text, support)
+    counted = pair_counts(docs, text, support, listed)
     pairs = counted.where("term <> 0")
     holders = counted.where("term = 0").select("entity", F.col("n").alias("n_entity"))
     frequency = document_frequency(docs, stored(pairs.select("term").distinct()), text, listed)

@@ -161,3 +161,19 @@ def test_tables(spark):
         want = ",".join(f"{k}:{s}:{e}" for k, s, e in base(r.text or ""))
         assert got[r.doc_id].base_sha256 == hashlib.sha256(want.encode()).hexdigest()
         assert got[r.doc_id].spans == spans_of(r.text or "", told)
+
+
+def test_many_entities(spark):
+    """A text of a thousand addresses and twenty thousand words, alone and in three copies, is paired piece by piece; pairs are as counted one by one."""
+    def text(k):
+        return " ".join(f"user{n}.of{k}@mail{n % 50}.org " + " ".join(f"word{chr(97 + (k + n) % 26)}{chr(97 + w)}{chr(97 + n // 40)}" for w in range(20)) for n in range(1000))
+
+    rows = [(k, text(k)) for k in range(4)]
+    found = privacy.pair_counts(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), support=3)
+    kinds = {privacy.code("email"), privacy.code("name:user"), privacy.code("name:mail")}
+    assert {r.entity for r in found.select("entity").distinct().collect()} <= kinds
+    copies = [(k, text(0)[:20_000]) for k in range(3)]
+    small = privacy.pair_counts(spark.createDataFrame(copies, "doc_id long, text string").coalesce(1), support=3)
+    known = privacy.entities(copies[0][1], privacy.base_spans(copies[0][1]))
+    each = small.groupBy("entity").count().collect()
+    assert len(each) == len(known) and len({r["count"] for r in each}) == 1 and small.where("n <> 3").count() == 0
