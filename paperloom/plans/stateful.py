@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import ledger
+from ..operators import attempts, ledger
 from ..streaming import events as streams
 from ..streaming import ledger as streamed_ledger
 from .tables import read
@@ -98,3 +98,51 @@ FROM (SELECT ledger, w AS scope, event_type FROM s UNION ALL SELECT ledger, 'alw
 def scope_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each scope has granted, by kind."""
     return ledger.usage(operations(read(spark, sf_dir, "events")))
+
+
+OUTCOMES = [attempts.OK, attempts.INVALID, attempts.SHAPE, "timeout", "invalid_json", attempts.INVALID, "quota", attempts.INVALID]
+_STOPS = ", ".join(f"'{x}'" for x in attempts.STOPS)
+_MENDED = ", ".join(f"'{x}'" for x in [attempts.SHAPE, attempts.INVALID, *attempts.REPAIRS])
+
+
+@query(f"""
+WITH RECURSIVE c AS (
+  SELECT o_orderkey, list_sort(list(DISTINCT CAST(l_linenumber AS BIGINT))) AS targets, any_value(o_orderstatus) AS st, any_value(o_orderpriority) AS pr FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey),
+k AS (
+  SELECT *, st = 'F' AND o_orderkey % 4 = 0 AS reusable, CASE WHEN st = 'O' AND o_orderkey % 3 = 0 THEN list_filter(targets, lambda x: x % 2 = 0) ELSE [] END AS kept,
+         CASE WHEN pr = '1-URGENT' THEN list_filter(targets, lambda x: x <= o_orderkey % 4) ELSE [] END AS salvaged, pr = '1-URGENT' AS written FROM c),
+i AS (SELECT *, list_filter(targets, lambda x: list_contains(kept, x) OR list_contains(salvaged, x)) AS known FROM k),
+a AS (SELECT o_orderkey, n, {OUTCOMES}[CAST((o_custkey + 3 * n) % 8 + 1 AS INTEGER)] AS outcome FROM orders, (SELECT unnest([1, 2, 3, 4]) AS n) WHERE n <= o_orderkey % 6),
+r AS (
+  SELECT o_orderkey, 0 AS n, CASE WHEN reusable OR len(known) = len(targets) THEN 'save' WHEN len(known) > 0 OR written THEN 'resume' ELSE 'initial' END AS ask,
+         CASE WHEN len(known) > 0 OR written THEN list_filter(targets, lambda x: NOT list_contains(known, x)) ELSE targets END AS asked, CAST(NULL AS BIGINT[]) AS second,
+         CASE WHEN reusable THEN [] ELSE list_filter(targets, lambda x: NOT list_contains(known, x)) END AS rest, 0 AS repairs,
+         CASE WHEN reusable THEN 'reuse' ELSE CASE WHEN len(list_filter(salvaged, lambda x: NOT list_contains(kept, x))) > 0 THEN 'salvage>' ELSE '' END || CASE WHEN len(known) = len(targets) THEN 'save' WHEN len(known) > 0 OR written THEN 'resume' ELSE 'initial' END END AS path,
+         0 AS requests, CAST(NULL AS VARCHAR) AS outcome FROM i
+  UNION ALL
+  SELECT o_orderkey, n, new_ask, CASE WHEN new_ask = 'repair' THEN now WHEN whole THEN now[1:half] ELSE second END, CASE WHEN new_ask = 'split' AND whole AND len(now) > 1 THEN now[half + 1:] END, now, repairs + if(new_ask = 'repair', 1, 0), path || '>' || new_ask, requests + 1, o
+  FROM (SELECT *, CAST(ceil(len(now) / 2.0) AS INTEGER) AS half, CASE WHEN len(now) = 0 OR o IN ({_STOPS}) THEN 'save' WHEN whole AND o IN ({_MENDED}) AND repairs < 1 THEN 'repair' WHEN whole OR second IS NOT NULL THEN 'split' ELSE 'save' END AS new_ask
+        FROM (SELECT r.o_orderkey, r.second, r.repairs, r.path, r.requests, a.n, a.outcome AS o, r.ask <> 'split' AS whole,
+                     list_filter(r.rest, lambda x: NOT (list_contains(r.asked, x) AND (a.outcome = 'ok' OR a.outcome <> 'quota' AND (x + a.n) % 3 = 0))) AS now FROM r JOIN a ON r.o_orderkey = a.o_orderkey AND a.n = r.n + 1 WHERE r.ask <> 'save'))),
+l AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY o_orderkey ORDER BY n DESC) = 1)
+SELECT l.o_orderkey, path, CAST(requests AS INTEGER) AS requests, CAST(CASE WHEN reusable THEN 0 ELSE len(known) END AS INTEGER) AS recovered, CAST(len(rest) AS INTEGER) AS "left",
+       CASE WHEN reusable THEN 'reused' WHEN ask <> 'save' THEN 'open' WHEN len(rest) > 0 THEN 'failed' ELSE 'complete' END AS status, CASE WHEN ask <> 'save' THEN ask END AS next,
+       CASE WHEN ask <> 'save' THEN array_to_string(asked, ',') END AS targets, CASE WHEN ask = 'save' AND len(rest) > 0 THEN CASE WHEN outcome IN ('ok', 'validation_failed') THEN 'chunk_validation' WHEN outcome = 'output_shape' THEN 'chunk_output_shape' ELSE 'llm_' || outcome END END AS code
+FROM l JOIN i ON l.o_orderkey = i.o_orderkey""")
+def chunk_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as chunks, their lines as targets: how far the attempts have brought each, and what it asks for next."""
+    orders, line = read(spark, sf_dir, "orders"), F.col("l_linenumber").cast("long")
+    targets = read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sort_array(F.collect_set(line)).alias("targets"))
+    key, urgent = F.col("o_orderkey"), F.col("o_orderpriority") == "1-URGENT"
+    empty = F.array().cast("array<bigint>")
+    chunks = orders.join(targets, "o_orderkey").select(
+        "o_orderkey", "targets", ((F.col("o_orderstatus") == "F") & (key % 4 == 0)).alias("reusable"),
+        F.when((F.col("o_orderstatus") == "O") & (key % 3 == 0), F.filter("targets", lambda x: x % 2 == 0)).otherwise(empty).alias("kept"),
+        F.when(urgent, F.filter("targets", lambda x: x <= key % 4)).otherwise(empty).alias("salvaged"), urgent.alias("written"),
+    )
+    numbered = orders.select("o_orderkey", "o_custkey", F.explode(F.array(*map(F.lit, range(1, 5)))).alias("number")).where("number <= o_orderkey % 6")
+    outcome = F.element_at(F.array(*map(F.lit, OUTCOMES)), ((F.col("o_custkey") + 3 * F.col("number")) % 8 + 1).cast("int"))
+    lines = F.array(*(F.lit(n).cast("long") for n in range(1, 8)))
+    accepted = F.when(F.col("outcome") == attempts.OK, lines).when(F.col("outcome") == "quota", empty).otherwise(F.filter(lines, lambda x: (x + F.col("number")) % 3 == 0))
+    log = numbered.withColumn("outcome", outcome).select("o_orderkey", "number", "outcome", accepted.alias("accepted"))
+    return attempts.runs(chunks, log, "o_orderkey").withColumn("targets", F.array_join("targets", ","))
