@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import resolve, structure
+from ..operators import equations, resolve, structure
 from ..sources import tei, tei_documents
 from ..sources.shared import fresh_folder
 from .tables import SENTENCES_SQL, read, sentences
@@ -274,3 +274,32 @@ SELECT name, p_partkey FROM n WHERE nth = 1""")
 def term_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names in lower case and the first part of each."""
     return resolve.first_by(read(spark, sf_dir, "part").select(F.lower("p_name").alias("name"), "p_partkey"), ["name"], ["p_partkey"])
+
+
+def _unit_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of documents with their words as text items: some of them small, set lower, or in a font of mathematics or italics, as a checksum tells."""
+    lines = read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "text"))
+    words = F.filter(F.split("text", " "), lambda w: w != "")
+
+    def unit(w: Column, i: Column) -> Column:
+        h = F.crc32(w)
+        small = h % 7 == 0
+        fields = {
+            "text": F.when(h % 3 == 0, F.concat(w, F.lit(" "))).otherwise(w), "page": F.floor(F.col("pos") / 10), "index": i + F.floor(i / 9), "eol": F.lit(False), "height": F.when(small, 6.5).otherwise(10.0),
+            "baseline": F.when(small & (h % 2 == 0), 97.0).otherwise(100.0), "font": F.when(h % 13 == 0, "ABCDEF+CMMI10").when(h % 17 == 0, "Times-Italic").otherwise("Times"),
+        }
+        return F.struct(*(v.alias(k) for k, v in fields.items()))
+
+    return lines.select("doc_id", "pos", "text", F.transform(words, unit).cast(equations.UNITS).alias("units"))
+
+
+@query()
+def line_equations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Formulas among the words of every line, numbered in its text, and the candidates that aren't taken."""
+    return equations.detected(_unit_lines(spark, sf_dir)).drop("units", "text")
+
+
+@query()
+def equation_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many formulas and skipped candidates there are."""
+    return equations.statistics(line_equations(spark, sf_dir).withColumn("all", F.lit("all")), ["all"])
