@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import attempts, ledger
+from ..functions import text as T
+from ..operators import attempts, ledger, recover, resources
 from ..streaming import events as streams
 from ..streaming import ledger as streamed_ledger
 from .tables import read
@@ -146,3 +147,75 @@ def chunk_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     accepted = F.when(F.col("outcome") == attempts.OK, lines).when(F.col("outcome") == "quota", empty).otherwise(F.filter(lines, lambda x: (x + F.col("number")) % 3 == 0))
     log = numbered.withColumn("outcome", outcome).select("o_orderkey", "number", "outcome", accepted.alias("accepted"))
     return attempts.runs(chunks, log, "o_orderkey").withColumn("targets", F.array_join("targets", ","))
+
+
+_FILES_SQL = """
+l AS (SELECT source, doc_id, CASE WHEN doc_id % 13 = 0 THEN NULL WHEN doc_id % 11 = 0 THEN sha256(text || 'x') ELSE sha256(text) END AS hash FROM documents WHERE doc_id % 7 <> 0),
+f AS (SELECT source, doc_id, sha256(text) AS found, 2 AS made, source <> 'src3' AND doc_id % 17 <> 0 AS sound FROM documents WHERE doc_id % 5 <> 0
+  UNION ALL SELECT source, doc_id, sha256(text || 'old'), 1, true FROM documents WHERE doc_id % 6 = 0),
+n AS (SELECT *, row_number() OVER (PARTITION BY source, doc_id ORDER BY made DESC, found DESC) AS nth FROM f),
+o AS (
+  SELECT coalesce(l.source, n.source) AS source, coalesce(l.doc_id, n.doc_id) AS doc_id, CASE WHEN l.doc_id IS NULL THEN CASE WHEN sound THEN 'adopted' ELSE 'discarded' END
+         WHEN n.doc_id IS NULL THEN 'missing' WHEN hash IS NULL THEN 'no_hash' WHEN hash <> found THEN 'hash_mismatch' ELSE 'kept' END AS outcome, coalesce(found, hash) AS hash
+  FROM l FULL JOIN (SELECT * FROM n WHERE nth = 1) n ON l.source = n.source AND l.doc_id = n.doc_id
+  UNION ALL SELECT source, doc_id, 'superseded', found FROM n WHERE nth > 1)"""
+
+
+def _recovered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files: most of them listed, some with another hash or none, some lost, some with an older copy."""
+    docs, k = read(spark, sf_dir, "documents"), F.col("doc_id")
+    digest = lambda more: F.sha2(F.concat("text", F.lit(more)), 256)
+    listed = docs.where(k % 7 != 0).select("source", "doc_id", F.when(k % 13 == 0, None).when(k % 11 == 0, digest("x")).otherwise(digest("")).alias("hash"))
+    files = docs.where(k % 5 != 0).select("source", "doc_id", digest("").alias("hash"), F.lit(2).alias("written_at"), ((F.col("source") != "src3") & (k % 17 != 0)).alias("whole"))
+    older = docs.where(k % 6 == 0).select("source", "doc_id", digest("old").alias("hash"), F.lit(1).alias("written_at"), F.lit(True).alias("whole"))
+    return recover.reconciled(listed, files.unionByName(older), ["source", "doc_id"], F.col("whole"))
+
+
+@query(f"WITH {_FILES_SQL} SELECT source, doc_id, outcome, hash FROM o")
+def recovered_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What becomes of every listed file and every file that is there."""
+    return _recovered(spark, sf_dir).drop("written_at")
+
+
+@query(f"""
+WITH {_FILES_SQL}, s AS (SELECT DISTINCT source, CASE WHEN source LIKE '%1' THEN 'researching' ELSE 'translating' END AS state FROM documents),
+c AS (SELECT source, {", ".join(f"count(*) FILTER (outcome = '{x}') AS {x}" for x in ("kept", "missing", "hash_mismatch", "no_hash", "adopted", "discarded", "superseded"))} FROM o GROUP BY source)
+SELECT s.source, state, kept, missing, hash_mismatch, no_hash, adopted, discarded, superseded, replace(state, 'researching', 'context_pending') AS state_after,
+       state = 'researching' OR missing + hash_mismatch + no_hash + adopted + discarded + superseded > 0 AS changed FROM s JOIN c ON s.source = c.source""")
+def recovery_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many files of each source came to what, and the state that it goes on from."""
+    state = F.when(F.col("source").endswith("1"), "researching").otherwise("translating").alias("state")
+    return recover.report(_recovered(spark, sf_dir), ["source"], read(spark, sf_dir, "documents").select("source", state).distinct())
+
+
+@query("""
+WITH q AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'signup'), r AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'purchase')
+SELECT q.event_id, q.user_id, arg_max(r.event_id, ROW(r.ts, r.event_id)) AS result_id FROM q LEFT JOIN r ON q.user_id = r.user_id AND r.ts <= q.ts AND r.ts > q.ts - INTERVAL 1 DAY GROUP BY q.event_id, q.user_id""")
+def fresh_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each signup the last purchase of the same user within a day before."""
+    rows = read(spark, sf_dir, "events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"), "event_type")
+    requests, results = rows.where("event_type = 'signup'").drop("event_type"), rows.where("event_type = 'purchase'").select("user_id", "ts", F.col("event_id").alias("result_id"))
+    return resources.latest_within(requests, results, ["user_id"], "ts", 86400).select("event_id", "user_id", F.col("result.result_id").alias("result_id"))
+
+
+@query(f"""
+WITH u AS (SELECT page_id, CASE page_id % 10 WHEN 4 THEN 'https://www.youtube.com/watch?v=' || page_id % 50 WHEN 5 THEN 'https://www.youtube.com/shorts' WHEN 6 THEN 'http://localhost/x' WHEN 7 THEN 'https://a.example.org/search?q=1' ELSE url END AS url, regexp_extract(url, '/(fr|en|de|es)/', 1) AS lang FROM pages),
+c AS (SELECT lang, regexp_replace(regexp_replace(url, '#.*$', ''), '/$', '') AS url, page_id FROM u WHERE page_id % 3 <> 2 AND page_id % 10 NOT IN (5, 6, 7)),
+o AS (SELECT lang, url, min(page_id) AS page_id FROM c GROUP BY lang, url)
+SELECT lang, url, page_id, CAST(row_number() OVER (PARTITION BY lang ORDER BY page_id) AS INTEGER) AS place FROM o QUALIFY place <= {resources.MOST}""")
+def preparation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first six verified pages and videos to prepare with in each language."""
+    k = F.col("page_id")
+    own = F.element_at(F.array(*map(F.lit, ["https://www.youtube.com/watch?v=", "https://www.youtube.com/shorts", "http://localhost/x", "https://a.example.org/search?q=1"])), F.greatest(k % 10 - 3, F.lit(1)).cast("int"))
+    url = F.when((k % 10).between(4, 7), F.concat(own, F.when(k % 10 == 4, (k % 50).cast("string")).otherwise(""))).otherwise(F.col("url"))
+    pages = read(spark, sf_dir, "pages").select(F.regexp_extract("url", "/(fr|en|de|es)/", 1).alias("lang"), T.normalized_url(url).alias("address"), "page_id").withColumnRenamed("address", "url")
+    return resources.chosen(pages, ["lang"], "url", ["page_id"], F.col("page_id") % 3 != 2)
+
+
+@query("SELECT DISTINCT user_id, event_type, CAST(ts AS DATE) AS day FROM events WHERE user_id IS NOT NULL")
+def stream_first_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each user asks for on a day, once, from the stream."""
+    stream = spark.readStream.schema(read(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parquet*").where("user_id is not null")
+    asked = stream.select(F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", F.to_date("ts").alias("day"))
+    keys = ["user_id", "event_type", "day"]
+    return streams.drained(spark, streams.first_requests(asked, "ts", keys, "40 days"), keys, "append")

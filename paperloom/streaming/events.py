@@ -47,3 +47,14 @@ def state_in_rocksdb(spark: SparkSession) -> Iterator[None]:
         yield
     finally:
         spark.conf.set(name, before)
+
+
+def first_requests(requests: DataFrame, at: str, keys: list[str], late: str) -> DataFrame:
+    """keys of each request once, however often it is repeated; repetitions are known as far back as `late`, whose state is dropped then. For a stream, in append mode."""
+    return requests.withWatermark(at, late).select(at, *keys).dropDuplicatesWithinWatermark(keys).select(*keys)
+
+
+def answered(requests: DataFrame, answers: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Requests with `answer`, the columns of the last answer to the same keys, null where there is none yet; and whether it is cached. For a stream of requests beside a table of answers."""
+    last = last_by(answers, keys, order)
+    return requests.join(last.select(*keys, F.struct(*(c for c in last.columns if c not in keys)).alias("answer")), keys, "left").withColumn("cached", F.col("answer").isNotNull())
