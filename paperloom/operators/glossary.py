@@ -23,14 +23,18 @@ def occurrences(sentences: DataFrame, key: list[str], text: str, terms: DataFram
     """key and the columns of terms, for each sentence and each term that it mentions as whole words, in any case.
 
     Sentences and terms meet by the term's longest word, which a mention holds as a whole word; only then is
-    the term looked for. A term without a word meets every sentence; empty ones are in none.
+    the term looked for. A term without a word meets the sentences that hold its first character, in a join
+    of its own; empty ones are in none.
     """
     needle = F.lower(trimmed(term))
     longest = F.reduce(F.regexp_extract_all(needle, F.lit(_WORD), 0), F.lit(""), lambda a, b: F.when(F.length(b) > F.length(a), b).otherwise(a))
     wanted = terms.withColumns({"needle": needle, "word": longest}).where("needle <> ''")
-    words = F.array_distinct(F.concat(F.array(F.lit("")), F.regexp_extract_all(F.lower(text), F.lit(_WORD), 0)))
-    split = sentences.select(*key, F.lower(text).alias("low"), F.explode(words).alias("word"))
-    met = split.join(wanted, "word").where(_whole(F.col("low"), F.col("needle"), r"\p{L}\p{N}"))
+    low = sentences.select(*key, F.lower(text).alias("low"))
+    words = low.select("*", F.explode(F.array_distinct(F.regexp_extract_all("low", F.lit(_WORD), F.lit(0)))).alias("word")).join(wanted.where("word <> ''"), "word")
+    signs = low.select("*", F.explode(F.array_distinct(F.regexp_extract_all("low", F.lit(r"[^\p{L}\p{N}\s]"), F.lit(0)))).alias("sign")).join(
+        wanted.where("word = ''").withColumn("sign", F.substring("needle", 1, 1)), "sign"
+    )
+    met = words.unionByName(signs.drop("sign").select(words.columns)).where(_whole(F.col("low"), F.col("needle"), r"\p{L}\p{N}"))
     return met.select(*key, *terms.columns)
 
 

@@ -101,4 +101,14 @@ def stratified_sample(df: DataFrame, stratum: str, key: str, size: int, seed: st
     ranked = df.withColumn("rank", F.sha2(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")), 256))
     # only the ranks in question are numbered: as many as the largest quota, for each stratum
     number = F.row_number().over(Window.partitionBy(stratum).orderBy("rank"))
-    return ranked.withColumn("number", number).where(F.col("number") <= size).join(F.broadcast(quotas), stratum).where(F.col("number") <= F.col("quota")).drop("number", "quota")
+    return ranked.withColumn("number", number).where(F.col("number") <= size).join(quotas, stratum).where(F.col("number") <= F.col("quota")).drop("number", "quota")
+
+
+def numbered(df: DataFrame, key: str, order: str, name: str, width: int = 4096) -> DataFrame:
+    """With a number from 1 in each key's order of unique whole numbers. A key is cut into ranges of that width, each numbered in a task of its own behind those before it, so that a hot key needs no large one."""
+    cut = df.withColumn("_range", F.floor(F.col(order) / width))
+    before = Window.partitionBy(key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = cut.groupBy(key, "_range").agg(F.count("*").alias("n")).select(F.col(key).alias("_key"), F.col("_range").alias("_of"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_offset"))
+    own = F.row_number().over(Window.partitionBy(key, "_range").orderBy(order))
+    joined = cut.withColumn("_own", own).join(offsets, F.col(key).eqNullSafe(F.col("_key")) & F.col("_range").eqNullSafe(F.col("_of")))
+    return joined.select(*df.columns, (F.col("_own") + F.col("_offset")).cast("long").alias(name))

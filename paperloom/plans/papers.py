@@ -306,10 +306,10 @@ def concept_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 WITH s AS (SELECT page_id, url, CASE page_id % 3 WHEN 0 THEN 'read' WHEN 1 THEN 'failed' ELSE 'listed' END AS status FROM pages)
-SELECT d.doc_id, s.url, s.page_id AS title FROM documents d JOIN s ON d.doc_id % 100 = s.page_id WHERE s.status IN ('read', 'listed') AND regexp_matches(s.url, '^https?://')""")
+SELECT d.doc_id, s.url, s.page_id AS title FROM documents d JOIN s ON d.doc_id // 4 = s.page_id WHERE s.status IN ('read', 'listed') AND regexp_matches(s.url, '^https?://')""")
 def card_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources that cards refer to, without those that failed or aren't on the web."""
     status = F.element_at(F.array(F.lit("read"), F.lit("failed"), F.lit("listed")), (F.col("page_id") % 3 + 1).cast("int"))
     sources = read(spark, sf_dir, "pages").select(F.col("page_id").alias("source_id"), "url", F.col("page_id").alias("title"), status.alias("status"))
-    references = read(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 100).alias("source_id"))
+    references = read(spark, sf_dir, "documents").select("doc_id", F.floor(F.col("doc_id") / 4).alias("source_id"))
     return glossary.source_links(references, sources, ["read", "listed"]).select("doc_id", "url", "title")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import alignment, chunking, resolve, spatial
-from .tables import SENTENCES_SQL, SPANS_SQL, read, sentences, spans
+from .tables import SENTENCES_SQL, SPANS_SQL, read, sentences, spans, trimmed_sql
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -84,7 +84,7 @@ def section_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     members = docs.select(F.col("source").alias("section"), F.lit(1).alias("level"), "doc_id").unionByName(docs.select(F.col("lang").alias("section"), F.lit(0).alias("level"), "doc_id"))
     first = resolve.first_by(members, ["doc_id"], ["level", "section"])
-    return first.select("section", "doc_id", F.row_number().over(Window.partitionBy("section").orderBy("doc_id")).cast("long").alias("number"))
+    return resolve.numbered(first.select("section", "doc_id"), "section", "doc_id", "number")
 
 
 @query(r"""
@@ -243,14 +243,14 @@ def passage_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH {SENTENCES_SQL}, w AS (SELECT source, doc_id * 100000 + pos AS place, unnest(list_filter([
-   CASE WHEN trim(text, ' ') = '' THEN 'empty' END, CASE WHEN length(text) > 400 THEN 'long' END, CASE WHEN regexp_matches(text, '[0-9]') THEN 'digits' END], lambda x: x IS NOT NULL)) AS code FROM sentences),
+WITH {SENTENCES_SQL}, w AS (SELECT source, ROW(doc_id, pos) AS place, unnest(list_filter([
+   CASE WHEN {trimmed_sql("text")} = '' THEN 'empty' END, CASE WHEN length(text) > 400 THEN 'long' END, CASE WHEN regexp_matches(text, '[0-9]') THEN 'digits' END], lambda x: x IS NOT NULL)) AS code FROM sentences),
 n AS (SELECT source, code, count(*) AS n, min(place) AS first FROM w GROUP BY source, code)
 SELECT source, string_agg(code || ' ' || n, ', ' ORDER BY first, code) AS summary FROM n GROUP BY source""")
 def issue_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often each issue occurs in the lines of a source, in the order of first sight."""
-    codes = F.array_compact(F.array(F.when(F.trim("text") == "", "empty"), F.when(F.length("text") > 400, "long"), F.when(F.col("text").rlike("[0-9]"), "digits")))
-    seen = sentences(spark, sf_dir).select("source", (F.col("doc_id") * 100000 + F.col("pos")).alias("at"), F.explode(codes).alias("code"))
+    codes = F.array_compact(F.array(F.when(T.trimmed("text") == "", "empty"), F.when(F.length("text") > 400, "long"), F.when(F.col("text").rlike("[0-9]"), "digits")))
+    seen = sentences(spark, sf_dir).select("source", F.struct("doc_id", "pos").alias("at"), F.explode(codes).alias("code"))
     counts = seen.groupBy("source", "code").agg(F.count("*").alias("n"), F.min("at").alias("first"))
     listed = F.array_sort(F.collect_list(F.struct("first", "code", "n")))
     return counts.groupBy("source").agg(F.array_join(F.transform(listed, lambda x: F.concat_ws(" ", x["code"], x["n"].cast("string"))), ", ").alias("summary"))

@@ -183,3 +183,20 @@ def test_formulas(spark):
     texts = {"where α + β = γ holds for x": "where [EQ_1] holds for x", "a <b> only": "a <b> only", "p_1 and q_2": "p_1 and q_2", "x^2 + y^2 , z and α∈Ω": "[EQ_1] , z and α∈Ω", "": "", "α β then γ δ": "[EQ_1] then [EQ_2]"}
     df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", formulas.replaced(F.col("t")).alias("x"))
     assert {r.t: r.x for r in df.collect()} == texts
+
+
+def test_numbered(spark):
+    rows = [(k % 3 if k % 10 else None, k * 7 - 300) for k in range(400)]
+    got = resolve.numbered(spark.createDataFrame(rows, "g int, n long").repartition(5), "g", "n", "at", width=50).collect()
+    want = [(g, n, at) for g in (0, 1, 2, None) for at, n in enumerate(sorted(n for h, n in rows if h == g), 1)]
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+
+
+def test_signs_as_terms(spark):
+    """Terms without a word are found by their first character; one that is in no sentence, or only white space, is in none."""
+    from paperloom.operators import glossary
+
+    sentences = spark.createDataFrame([(1, "a -> b, c"), (2, "a - b"), (3, "→ x →"), (4, "")], "k int, text string")
+    terms = spark.createDataFrame([(1, "->"), (2, "→"), (3, " "), (4, "A"), (5, "§")], "id int, term string")
+    got = glossary.occurrences(sentences, ["k"], "text", terms, "term").select("k", "id").collect()
+    assert sorted(map(tuple, got)) == [(1, 1), (1, 4), (2, 4), (3, 2)]
