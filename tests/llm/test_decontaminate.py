@@ -22,9 +22,8 @@ def brute(docs, items):
     for item, text in items:
         w = words(text)
         n = min(13, len(w))
-        if item is not None and n:
-            for k in range(len(w) - n + 1):
-                patterns[n][tuple(w[k : k + n])].add(str(item))
+        for k in range(len(w) - n + 1 if n else 0):
+            patterns[n][tuple(w[k : k + n])].add(None if item is None else str(item))
     out = []
     for doc, text in docs:
         w = words(text)
@@ -32,7 +31,7 @@ def brute(docs, items):
         for n, by in patterns.items():
             for k in range(len(w) - n + 1):
                 if found := by.get(tuple(w[k : k + n])):
-                    ids |= found
+                    ids |= found - {None}
                     hit[k : k + n] = [1] * n
         out.append((doc, len(w), sum(hit), sorted(ids), sum(hit) > 0 and 20 * sum(hit) >= len(w)))
     return sorted(out, key=repr)
