@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import equations, resolve, structure
+from ..operators import equations, keysearch, resolve, structure
 from ..sources import tei, tei_documents
 from ..sources.shared import fresh_folder
 from .tables import SENTENCES_SQL, read, sentences
@@ -303,3 +303,16 @@ def line_equations(spark: SparkSession, sf_dir: str) -> DataFrame:
 def equation_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many formulas and skipped candidates there are."""
     return equations.statistics(line_equations(spark, sf_dir).withColumn("all", F.lit("all")), ["all"])
+
+
+@query()
+def key_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of documents sought in their text items by letters and digits. Some items are notes that break a line up, some lines aren't there as they are written."""
+    lines = read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("position", "text")).withColumn("position", F.col("position").cast("long"))
+    pieces = F.regexp_extract_all("text", F.lit("[^\n]{1,60}"), F.lit(0))
+    note = F.concat(F.lit("note "), F.col("position").cast("string"), F.lit(" put in"))
+    broken = F.when((F.col("position") % 7 == 3) & (F.size(pieces) > 1), F.concat(F.slice(pieces, 1, 1), F.array(note), F.slice(pieces, F.lit(2), F.size(pieces)))).otherwise(pieces)
+    items = lines.select("doc_id", F.floor(F.col("position") / 10).alias("page"), "position", F.posexplode(broken).alias("k", "text"))
+    items = items.select("doc_id", "page", (F.col("position") % 10 * 100_000 + F.col("k")).alias("index"), "text")
+    sentences = lines.withColumn("text", F.when(F.col("position") % 11 == 5, F.reverse("text")).otherwise(F.col("text")))
+    return keysearch.located(sentences, items, "doc_id")
