@@ -194,7 +194,12 @@ def key_characters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", unicode.key_characters(F.col("text")).alias("key_characters"))
 
 
-@query()
+@query(r"""
+WITH c AS (SELECT conv_id, turn, text, unnest(string_split(text, '')) AS c, generate_subscripts(string_split(text, ''), 1) AS i FROM conversations WHERE text <> ''),
+e AS (SELECT *, CASE WHEN c IN ('"', '\', chr(8), chr(9), chr(10), chr(12), chr(13)) THEN 2 WHEN ascii(c) < 32 THEN 6 ELSE 1 END AS size FROM c),
+u AS (SELECT conv_id, turn, sum(size) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto, sum(size) OVER w0 AS total FROM e WINDOW w AS (PARTITION BY conv_id, turn ORDER BY i), w0 AS (PARTITION BY conv_id, turn)),
+n AS (SELECT conv_id, turn, count(*) FILTER (upto <= (total + 18) // 2 - 16) AS shown FROM u GROUP BY conv_id, turn)
+SELECT t.conv_id, t.turn, CAST(coalesce(shown, 0) AS INTEGER) AS shown, CASE WHEN text IS NOT NULL THEN true END AS as_written FROM conversations t LEFT JOIN n ON t.conv_id = n.conv_id AND t.turn = n.turn""")
 def streamed_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What of each turn can be shown while half of its JSON has come in."""
     whole = F.to_json(F.struct(F.col("text").alias("explanation")))
