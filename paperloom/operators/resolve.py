@@ -88,8 +88,8 @@ def weighted_mode(df: DataFrame, keys: list[str], value: str, weight: str) -> Da
     return sums.groupBy(*keys).agg(F.max_by(value, F.struct("w", value)).alias("mode"))
 
 
-def stratified_sample(df: DataFrame, stratum: str, key: str, size: int, seed: str) -> DataFrame:
-    """Rows drawn by sha256(seed:key), by largest-remainder quotas of each stratum."""
+def quotas(df: DataFrame, stratum: str, size: int) -> DataFrame:
+    """stratum, quota: parts of a sample in proportion to the strata's rows; what rounding leaves goes to the largest remainders."""
     counts = df.groupBy(stratum).agg(F.count("*").alias("n"))
     total = counts.agg(F.sum("n").alias("total"))
     exact = counts.crossJoin(F.broadcast(total)).withColumn("exact", F.least(F.lit(size), F.col("total")) * F.col("n") / F.col("total"))  # one row
@@ -97,11 +97,30 @@ def stratified_sample(df: DataFrame, stratum: str, key: str, size: int, seed: st
     everyone = Window.partitionBy(F.lit(0))  # a row for each stratum
     nth = F.row_number().over(everyone.orderBy(F.desc("rest"), stratum))
     left = F.least(F.lit(size), F.col("total")) - F.sum("quota").over(everyone)
-    quotas = whole.select(stratum, (F.col("quota") + F.when(nth <= left, 1).otherwise(0)).cast("int").alias("quota"))
-    ranked = df.withColumn("rank", F.sha2(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")), 256))
+    return whole.select(stratum, (F.col("quota") + F.when(nth <= left, 1).otherwise(0)).cast("int").alias("quota"))
+
+
+def _ranked(df: DataFrame, key: str, seed: str) -> DataFrame:
+    return df.withColumn("rank", F.sha2(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")), 256))
+
+
+def stratified_sample(df: DataFrame, stratum: str, key: str, size: int, seed: str) -> DataFrame:
+    """Rows drawn by sha256(seed:key), by largest-remainder quotas of each stratum."""
     # only the ranks in question are numbered: as many as the largest quota, for each stratum
     number = F.row_number().over(Window.partitionBy(stratum).orderBy("rank"))
-    return ranked.withColumn("number", number).where(F.col("number") <= size).join(quotas, stratum).where(F.col("number") <= F.col("quota")).drop("number", "quota")
+    return _ranked(df, key, seed).withColumn("number", number).where(F.col("number") <= size).join(quotas(df, stratum, size), stratum).where(F.col("number") <= F.col("quota")).drop("number", "quota")
+
+
+def carded_sample(df: DataFrame, stratum: str, key: str, carded: str, size: int, seed: str) -> DataFrame:
+    """As stratified_sample, but two thirds of each quota, rounded up, are rows with a card as far as there are any, the others rows without as far as there are any."""
+    have = df.groupBy(stratum).agg(F.count_if(carded).alias("with"), F.count_if(~F.coalesce(F.col(carded), F.lit(False))).alias("without"))
+    quota = F.col("quota")
+    plain = F.least(quota - F.least(F.ceil(quota * 2 / 3), F.col("with")), F.col("without"))
+    parts = quotas(df, stratum, size).join(have, stratum).select(stratum, plain.alias("plain"), F.least(quota - plain, F.col("with")).alias("cards"))
+    own = F.coalesce(F.col(carded), F.lit(False))
+    number = F.row_number().over(Window.partitionBy(stratum, own).orderBy("rank"))
+    ranked = _ranked(df, key, seed).withColumn("number", number).where(F.col("number") <= size)
+    return ranked.join(parts, stratum).where(F.col("number") <= F.when(own, F.col("cards")).otherwise(F.col("plain"))).drop("number", "plain", "cards")
 
 
 def numbered(df: DataFrame, key: str, order: str, name: str, width: int = 4096) -> DataFrame:

@@ -199,6 +199,21 @@ def review_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.stratified_sample(read(spark, sf_dir, "documents").select("doc_id", "source"), "source", "doc_id", 150, "review")
 
 
+@query("""
+WITH d AS (SELECT doc_id, source, EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id) AS carded FROM documents d),
+q AS (SELECT source, count(*) AS n, count(*) FILTER (carded) AS w, sum(count(*)) OVER () AS total FROM d GROUP BY source),
+e AS (SELECT *, least(150, total) * n / total AS exact FROM q), x AS (SELECT *, floor(exact) AS base, exact - floor(exact) AS rest FROM e),
+f AS (SELECT source, n, w, CAST(base + CASE WHEN row_number() OVER (ORDER BY rest DESC, source) <= least(150, total) - sum(base) OVER () THEN 1 ELSE 0 END AS BIGINT) AS quota FROM x),
+p AS (SELECT source, w, quota, least(quota - least(CAST(ceil(quota * 2 / 3) AS BIGINT), w), n - w) AS plain FROM f),
+o AS (SELECT *, sha256('review:' || doc_id) AS rank, row_number() OVER (PARTITION BY source, carded ORDER BY sha256('review:' || doc_id)) AS nth FROM d)
+SELECT doc_id, source, carded, rank FROM o JOIN p USING (source) WHERE nth <= CASE WHEN carded THEN least(quota - plain, w) ELSE plain END""")
+def carded_review_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """150 documents for review, in proportion to the sources, two thirds of them with a label where there are as many."""
+    known = read(spark, sf_dir, "labels").select("doc_id", F.lit(True).alias("known")).distinct()
+    docs = read(spark, sf_dir, "documents").select("doc_id", "source").join(known, "doc_id", "left").select("doc_id", "source", F.coalesce("known", F.lit(False)).alias("carded"))
+    return resolve.carded_sample(docs, "source", "doc_id", "carded", 150, "review")
+
+
 #: Characters of a seed that passages and lines share, from a word's beginning on; characters of an item at most; lines of a page.
 SEED, ITEM, PAGE = 12, 60, 10
 
