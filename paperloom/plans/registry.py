@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import integrity, logs, papers, relations, reports, stateful, structures, texts
+from . import integrity, logs, papers, records, relations, reports, stateful, structures, texts
 
 FLAGSHIP = "page_quality"
-MODULES = [texts, relations, structures, logs, reports, papers, stateful, integrity]
+MODULES = [texts, relations, structures, logs, reports, papers, stateful, integrity, records]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
