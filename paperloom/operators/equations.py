@@ -35,6 +35,24 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def span_units(spans: DataFrame, items: DataFrame, fonts: DataFrame, document: str) -> DataFrame:
+    """spans with text, eol, height, baseline and font: the stretch of the item that each names, and the item's font by its real name, null where it isn't known. Spans of unknown items are left out.
+
+    spans: document, page, index, start, end; items: document, page, index, text, eol, height, baseline, font_name; fonts: document, font_name, font.
+    """
+    own = items.select(document, "page", "index", F.col("text").alias("whole"), "eol", "height", "baseline", "font_name")
+    joined = spans.join(own, [document, "page", "index"]).join(fonts.select(document, "font_name", "font"), [document, "font_name"], "left")
+    text = F.substring("whole", F.col("start") + 1, F.greatest(F.col("end") - F.col("start"), F.lit(0)))
+    return joined.select(*spans.columns, text.alias("text"), "eol", "height", "baseline", "font")
+
+
+def gathered(units: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """keys and the units of each sentence in order, as detected() takes them; a sentence bounds each array."""
+    fields = ("text", "page", "index", "eol", "height", "baseline", "font")
+    listed = F.array_sort(F.collect_list(F.struct(*order, F.struct(*fields).alias("unit"))))
+    return units.groupBy(*keys).agg(F.transform(listed, lambda u: u["unit"]).cast(UNITS).alias("units"))
+
+
 def _some(array: Column) -> Column:
     """No elements, of the array's type."""
     return F.slice(array, 1, 0)

@@ -316,3 +316,22 @@ def key_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = items.select("doc_id", "page", (F.col("position") % 10 * 100_000 + F.col("k")).alias("index"), "text")
     sentences = lines.withColumn("text", F.when(F.col("position") % 11 == 5, F.reverse("text")).otherwise(F.col("text")))
     return keysearch.located(sentences, items, "doc_id")
+
+
+@query(r"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents),
+w AS (SELECT doc_id, pos, unnest(list_filter(string_split(x, ' '), lambda v: v <> '')) AS word, generate_subscripts(list_filter(string_split(x, ' '), lambda v: v <> ''), 1) - 1 AS k FROM l),
+u AS (SELECT doc_id, pos, k, substring(word, 2, greatest(length(word) - 1, 0)) AS text, CASE length(word) % 3 WHEN 0 THEN 'CMMI10' WHEN 1 THEN 'Times' END AS font FROM w WHERE k % 5 <> 4)
+SELECT doc_id, pos, sha256(string_agg(text || ':' || coalesce(font, '-'), ' ' ORDER BY k)) AS units, count(*) AS n FROM u GROUP BY doc_id, pos""")
+def sentence_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of lines as items, spans of all but their first characters with the items' fonts, gathered by line; some spans name no item, some fonts aren't known."""
+    lines = read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "x"))
+    words = lines.select("doc_id", F.col("pos").cast("long").alias("pos"), F.posexplode(F.filter(F.split("x", " "), lambda w: w != "")).alias("k", "text"))
+    items = words.where("k % 5 <> 4").select(
+        "doc_id", F.col("pos").alias("page"), F.col("k").cast("long").alias("index"), "text", F.lit(False).alias("eol"), F.lit(10.0).alias("height"), F.lit(100.0).alias("baseline"), F.concat(F.lit("f"), (F.length("text") % 3).cast("string")).alias("font_name")
+    )
+    fonts = words.select("doc_id").distinct().select("doc_id", F.explode(F.array(F.struct(F.lit("f0").alias("font_name"), F.lit("CMMI10").alias("font")), F.struct(F.lit("f1").alias("font_name"), F.lit("Times").alias("font")))).alias("f")).select("doc_id", "f.*")
+    spans = words.select("doc_id", "pos", F.col("pos").alias("page"), F.col("k").cast("long").alias("index"), F.lit(1).alias("start"), F.length("text").alias("end"))
+    found = equations.gathered(equations.span_units(spans, items, fonts, "doc_id"), ["doc_id", "pos"], ["page", "index"])
+    text = F.array_join(F.transform("units", lambda u: F.concat(u["text"], F.lit(":"), F.coalesce(u["font"], F.lit("-")))), " ")
+    return found.select("doc_id", "pos", F.sha2(text, 256).alias("units"), F.size("units").cast("long").alias("n"))
