@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import attempts, ledger, recover, resources
+from ..operators import attempts, ledger, progress, recover, resources
 from ..streaming import events as streams
 from ..streaming import ledger as streamed_ledger
+from ..streaming import progress as streamed_progress
 from .tables import read
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -219,3 +220,35 @@ def stream_first_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = stream.select(F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", F.to_date("ts").alias("day"))
     keys = ["user_id", "event_type", "day"]
     return streams.drained(spark, streams.first_requests(asked, "ts", keys, "40 days"), keys, "append")
+
+
+PROGRESS_SQL = f"""
+WITH e AS (SELECT user_id AS unit, ts, event_id AS seq, CASE event_type WHEN 'view' THEN 'phase' WHEN 'click' THEN 'chunk_started' WHEN 'purchase' THEN 'chunk_finished' WHEN 'error' THEN 'chunk_failed' ELSE 'note' END AS kind,
+  event_id % 5 AS chunk, CASE WHEN event_type IN ('view', 'signup') THEN 'step ' || event_id % 7 END AS text FROM events WHERE user_id IS NOT NULL),
+l AS (SELECT unit, chunk, arg_max(kind, ROW(ts, seq)) AS kind FROM e WHERE kind LIKE 'chunk%' GROUP BY unit, chunk),
+c AS (SELECT unit, count(*) FILTER (kind = 'chunk_started') AS running, count(*) FILTER (kind = 'chunk_finished') AS done, count(*) FILTER (kind = 'chunk_failed') AS failed FROM l GROUP BY unit),
+h AS (SELECT *, row_number() OVER (PARTITION BY unit ORDER BY ts DESC, seq DESC) AS nth FROM e)
+SELECT h.unit, (SELECT arg_max(text, ROW(ts, seq)) FROM e WHERE e.unit = h.unit AND kind = 'phase') AS phase, coalesce(any_value(running), 0) AS running, coalesce(any_value(done), 0) AS done, coalesce(any_value(failed), 0) AS failed, max(nth) AS events,
+  string_agg(kind || coalesce(': ' || text, ''), ', ' ORDER BY nth) FILTER (nth <= {progress.HISTORY}) AS history FROM h LEFT JOIN c ON h.unit = c.unit GROUP BY h.unit"""
+
+
+def _work(events: DataFrame) -> DataFrame:
+    """Events as steps of work on their user: views set a phase, clicks start a chunk, purchases finish one, errors fail one."""
+    t, k = F.col("event_type"), F.col("event_id")
+    kind = F.when(t == "view", progress.PHASE).when(t == "click", "chunk_started").when(t == "purchase", "chunk_finished").when(t == "error", "chunk_failed").otherwise(progress.NOTE)
+    text = F.when(t.isin("view", "signup"), F.concat(F.lit("step "), (k % 7).cast("string")))
+    return events.where("user_id is not null").select(F.col("user_id").alias("unit"), F.col("ts").cast("timestamp").alias("at"), k.alias("seq"), kind.alias("kind"), (k % 5).alias("chunk"), text.alias("text"))
+
+
+@query(PROGRESS_SQL)
+def work_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the work on each user has come, with the last twenty entries of its history."""
+    return progress.tracked(_work(read(spark, sf_dir, "events"))).withColumn("history", F.array_join("history", ", "))
+
+
+@query(PROGRESS_SQL)
+def stream_work_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from the stream of events, with what is known of each user as keyed state."""
+    stream = spark.readStream.schema(read(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parquet*")
+    with streams.state_in_rocksdb(spark):
+        return streams.drained(spark, streamed_progress.tracked(_work(stream)), ["unit"], "update").withColumn("history", F.array_join("history", ", "))

@@ -5,9 +5,10 @@ from datetime import datetime, timedelta
 
 import pytest
 
-from paperloom.operators import ledger
+from paperloom.operators import ledger, progress
 from paperloom.streaming import events as streams
 from paperloom.streaming import ledger as streamed
+from paperloom.streaming import progress as streamed_progress
 
 START = datetime(2024, 1, 1)
 
@@ -102,3 +103,29 @@ def test_stream(spark, given, tmp_path):
 
 def test_empty(spark):
     assert ledger.folded(spark.createDataFrame([], ledger.OPERATIONS)).collect() == []
+
+
+def test_progress(spark, tmp_path):
+    """The batch and a stream of several files give the progress that a plain fold gives; units without chunks or a phase have none."""
+    rng = random.Random(9)
+    rows = []
+    for k in range(300):
+        kind = rng.choice(["phase", "note", "chunk_started", "chunk_finished", "chunk_failed", "other"])
+        chunk = rng.choice([None, 1, 2, 3]) if kind.startswith("chunk") else None
+        rows.append((rng.choice([1, 1, 1, 2]), START + timedelta(minutes=k // 4), k, kind, chunk, rng.choice([None, "", f"text {k}"])))
+    rows.append((3, START, 300, "note", None, None))
+    want = {}
+    for unit in (1, 2, 3):
+        own = sorted((r for r in rows if r[0] == unit), key=lambda r: (r[1], r[2]))
+        phase = next((r[5] for r in reversed(own) if r[3] == "phase"), None)
+        chunks = {r[4]: progress.STATES[r[3]] for r in own if r[3] in progress.STATES and r[4] is not None}
+        counts = [list(chunks.values()).count(s) for s in ("running", "done", "failed")]
+        want[unit] = (unit, phase, *counts, len(own), [r[3] + (f": {r[5]}" if r[5] else "") for r in reversed(own)][:20])
+    df = spark.createDataFrame(rows, progress.EVENTS)
+    assert {r.unit: tuple(r) for r in progress.tracked(df.repartition(5)).collect()} == want
+    for at in range(0, len(rows), 100):
+        spark.createDataFrame(rows[at : at + 100], progress.EVENTS).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(progress.EVENTS).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    with streams.state_in_rocksdb(spark):
+        got = streams.drained(spark, streamed_progress.tracked(stream), ["unit"], "update")
+    assert {r.unit: tuple(r[c] for c in ("unit", "phase", "running", "done", "failed", "events", "history")) for r in got.collect()} == want
