@@ -127,8 +127,8 @@ WITH n AS (
          lambda x: regexp_replace(x, '[^0-9.,]', '', 'g')), lambda x: trim({_UNGROUPED}))) AS numbers FROM documents)
 SELECT doc_id, CAST(len(numbers) AS BIGINT) AS n, array_to_string(list_sort(numbers), ' ') AS numbers FROM n""")
 def numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct numbers of every document, without those that have a unit letter."""
-    found = T.numbers_in("text")
+    """Distinct numbers of every document, without those that have a unit letter; the character behind a unit belongs to it, as in the SQL."""
+    found = T.numbers_in("text", units_take=True)
     return read(spark, sf_dir, "documents").select("doc_id", F.size(found).cast("long").alias("n"), F.array_join(F.array_sort(found), " ").alias("numbers"))
 
 

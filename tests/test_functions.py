@@ -34,6 +34,12 @@ def test_numbers(spark):
     assert each(spark, T.numbers_in("t"), texts) == [["400", "1200.5"], ["12"], ["10"], ["1234567", "1,23"], ["3.14"], []]
 
 
+def test_numbers_behind_units(spark):
+    texts = ["AKIA5M77KC5XJU", "5 M77, 4k 3", "1,000 km 7.5B.6"]
+    assert each(spark, T.numbers_in("t"), texts) == [["77", "5"], ["77", "3"], ["1000", "6"]]
+    assert each(spark, T.numbers_in("t", units_take=True), texts) == [["7", "5"], ["7", "3"], ["1000", "6"]]
+
+
 def test_urls(spark):
     assert each(spark, T.urls_in("t"), ["See http://a.b/c. Or https://x.y/?q=1에서"]) == [["http://a.b/c", "https://x.y/?q=1"]]
     urls = ["HTTP://Ex.COM/A/#f", "https://ex.com", "https://ex.com/?q=1#x", "ftp://ex.com", "nonsense", None, "http://ex.com:80/a", "http://ex.com:81/a"]
