@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import normalized
-from .assembly import item_spans, placed
+from .assembly import placed
 from .normalize import norm_range, normalized_with_map, raw_range
 
 _BIG = 1 << 32
@@ -86,33 +86,38 @@ def on_items(sentences: DataFrame, candidates: DataFrame, keys: list[str]) -> Da
     another; else the least edit distance decides. There is no limit of size: long texts are fitted piece by piece. Places count code points.
     """
     items = placed(candidates, keys)
-    parts = F.array_sort(F.collect_list(F.struct("page", "index", F.concat("separator", "text").alias("part"))))
-    texts = items.groupBy(*keys).agg(F.array_join(F.transform(parts, lambda p: p["part"]), "").alias("raw")).withColumn("norm", normalized_with_map(F.col("raw")))
+    listed = F.array_sort(F.collect_list(F.struct("page", "index", "text", "separator", "raw_start", "raw_end"))).alias("items")
+    texts = items.groupBy(*keys).agg(listed).withColumn("raw", F.array_join(F.transform("items", lambda i: F.concat(i["separator"], i["text"])), "")).withColumn("norm", normalized_with_map(F.col("raw")))
     rows = sentences.select(*keys, F.trim(normalized(F.coalesce("sentence", F.lit("")))).alias("query")).join(texts, keys, "left")
     rows = rows.withColumn("length", F.length("query"))
     first = F.instr("norm.text", F.col("query"))
-    again = F.position(F.col("query"), F.col("norm.text"), F.col("at") + 1)
     rows = rows.withColumn("at", F.when((F.col("length") > 0) & F.col("raw").isNotNull(), first).otherwise(-1))
 
     @F.pandas_udf("distance int, start int, end int")
     def fitted(q: pd.Series, t: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([fit_long(a, b) for a, b in zip(q, t, strict=True)], columns=["distance", "start", "end"])
-
-    exact = rows.where("at > 0").select("*", F.struct(F.lit(0).alias("distance"), (F.col("at") - 1).alias("start"), (F.col("at") - 1 + F.col("length")).alias("end")).alias("fit"), (again > 0).alias("twice"))
-    close = rows.where("at = 0").select("*", fitted("query", "norm.text").alias("fit"), F.lit(False).alias("twice"))
-    none = rows.where("at < 0").select("*", F.lit(None).cast("struct<distance:int,start:int,end:int>").alias("fit"), F.lit(False).alias("twice"))
+        found = [fit_long(a, b) if a is not None else (None, None, None) for a, b in zip(q, t, strict=True)]
+        return pd.DataFrame(found, columns=["distance", "start", "end"], dtype="Int32")
+
+    # a row is fitted once, all in one pass: only where there is no exact hit
+    close = F.col("at") == 0
+    rows = rows.withColumn("near", fitted(F.when(close, F.col("query")), F.when(close, F.col("norm.text"))))
+    direct = F.struct(F.lit(0).alias("distance"), (F.col("at") - 1).alias("start"), (F.col("at") - 1 + F.col("length")).alias("end"))
+    rows = rows.withColumn("fit", F.when(F.col("at") > 0, direct).when(close, F.col("near"))).withColumn("twice", (F.col("at") > 0) & (F.position(F.col("query"), F.col("norm.text"), F.col("at") + 1) > 0))
     ratio = F.col("fit.distance") / F.col("length")
     reason = F.when(F.col("length") == 0, EMPTY).when(F.col("raw").isNull(), NO_CANDIDATES).when(ratio > UNCERTAIN, OVER).when(F.col("twice"), AMBIGUOUS)
-    found = exact.unionByName(close).unionByName(none).withColumn("reason", reason)
+    found = rows.withColumn("reason", reason)
     lost = F.coalesce(F.col("reason").isin(EMPTY, NO_CANDIDATES, OVER), F.lit(False))
+    part = raw_range(F.col("norm.segments"), F.col("fit.start"), F.col("fit.end"))
     found = found.select(
         *keys, "length", "reason", (F.col("at") > 0).alias("exact"), F.coalesce("fit.distance", "length").alias("distance"),
         F.when(lost, "unmapped").when(F.col("twice") | (ratio > MAPPED), "uncertain").otherwise("mapped").alias("status"),
         F.when(lost, 0.0).when(F.col("twice"), 0.5).otherwise(1 - ratio).alias("confidence"),
-        F.when(~lost, F.col("fit.start")).alias("matched_start"), F.when(~lost, F.col("fit.end")).alias("matched_end"), raw_range(F.col("norm.segments"), F.col("fit.start"), F.col("fit.end")).alias("raw"),
+        F.when(~lost, F.col("fit.start")).alias("matched_start"), F.when(~lost, F.col("fit.end")).alias("matched_end"), "items", F.when(~lost, part).alias("raw"),
     )
-    ranges = found.where(F.col("matched_start").isNotNull()).select(*keys, F.col("raw.start").alias("from"), F.col("raw.end").alias("to"))
-    cut = item_spans(ranges, items, keys).join(candidates.select(*keys, "page", "index", "text"), [*keys, "page", "index"])
-    cut = cut.withColumn("own", norm_range(normalized_with_map(F.col("text"))["segments"], F.col("start"), F.col("end")))
-    spans = cut.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("page", "index", "start", "end", F.col("own.start").alias("norm_start"), F.col("own.end").alias("norm_end")))).alias("spans"))
-    return found.drop("raw").join(spans, keys, "left").withColumn("spans", F.coalesce("spans", F.array()))
+    fields = [c for c in found.columns if c not in ("items", "raw", *keys)]
+    met = found.withColumn("item", F.explode_outer(F.filter("items", lambda i: F.col("raw").isNotNull() & (F.least("raw.end", i["raw_end"]) > F.greatest("raw.start", i["raw_start"])))))
+    low, high = F.greatest("raw.start", "item.raw_start") - F.col("item.raw_start"), F.least("raw.end", "item.raw_end") - F.col("item.raw_start")
+    cut = met.select(*keys, *fields, "item", low.alias("start"), high.alias("end")).withColumn("own", norm_range(normalized_with_map(F.col("item.text"))["segments"], F.col("start"), F.col("end")))
+    span = F.when(F.col("item").isNotNull(), F.struct(F.col("item.page").alias("page"), F.col("item.index").alias("index"), "start", "end", F.col("own.start").alias("norm_start"), F.col("own.end").alias("norm_end")))
+    spans = cut.groupBy(*keys).agg(F.first(F.struct(*fields)).alias("f"), F.array_sort(F.collect_list(span)).alias("spans"))
+    return spans.select(*keys, "f.*", "spans")

@@ -2,6 +2,7 @@
 
 import re
 
+from paperloom.operators import alignment
 from paperloom.plans import registry
 
 
@@ -39,3 +40,9 @@ def test_no_product_of_tables(spark, sf):
             text = plan(query(spark, sf))
             assert "CartesianProduct" not in text, name
             assert "BroadcastNestedLoopJoin" not in text or name in ("quota_resume", "resolved_versions"), name  # one row
+
+
+def test_passages_are_fitted_once(spark):
+    sentences = spark.createDataFrame([(1, "a b")], "k int, sentence string")
+    items = spark.createDataFrame([(1, 0, 0, "a b c", True)], "k int, page long, index long, text string, eol boolean")
+    assert len(re.findall(r"fitted\(.*\)#\d+", plan(alignment.on_items(sentences, items, ["k"])).split("== Initial Plan ==")[-1])) == 1
