@@ -24,6 +24,8 @@ MATH_WORD = r"(?i)^(log|ln|exp|max|min|arg|argmax|argmin|sin|cos|tan|softmax|lim
 DASHES, DOTS = r"[‐‑‒–—−­]", r"[\x{00B7}\x{2022}\x{2219}\x{22C5}]"
 SENTENCE_PUNCTUATION, CLOSING, DIGITS, LETTERS = r"^[.,;:]+$", r"[)\]}]$", r"^[\d.,]+$", r"^\p{L}+$"
 SCRIPT_HEIGHT, SCRIPT_BASELINE, BODY_HEIGHT, LINE_HEIGHT = 0.85, 0.08, 0.95, 1.5
+#: Units that are looked at before all on that side are.
+NEAR = 4
 DETECTED, UNCERTAIN, NOT_IN_TEXT, FRAGMENTED = "detected", "math_uncertain", "not_in_sentence_text", "glyph_fragmented_sentence"
 SKIPS = ["single_variable", "single_symbol", "no_letter", "text_script"]
 
@@ -31,8 +33,8 @@ UNITS = "array<struct<text: string, page: bigint, index: bigint, eol: boolean, h
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body(value) with the value computed once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
+    """body(value) with the value computed once. What transform() returns is copied whole, what aggregate() holds is not."""
+    return F.aggregate(F.array(F.lit(0)), value, lambda x, _: x, body)
 
 
 def span_units(spans: DataFrame, items: DataFrame, fonts: DataFrame, document: str) -> DataFrame:
@@ -63,15 +65,21 @@ def _matches(text: Column, pattern: str) -> Column:
 
 
 def _signals(u: Column) -> Column:
-    t = T.trimmed(u["text"])
+    def counted(x: Column) -> Column:
+        words = F.regexp_count(x["t"], F.lit(r"\p{L}{3,}"))
+        letters = F.length(F.regexp_replace(x["t"], r"\P{L}+", ""))
+        return F.struct(x["t"].alias("t"), x["font"].alias("font"), words.alias("words"), letters.alias("letters"), F.length(x["t"]).alias("size"))
+
+    def signs(x: Column) -> Column:
+        t, font = x["t"], x["font"]
+        return F.struct(
+            u["text"].alias("text"), t.alias("t"), u["page"].alias("page"), u["index"].alias("index"), u["eol"].alias("eol"), u["height"].alias("height"), u["baseline"].alias("baseline"),
+            _matches(font, MATH_FONT).alias("math"), _matches(font, ITALIC_FONT).alias("italic"), ((x["words"] == 0) & _matches(t, MATH_SYMBOL)).alias("symbol"), ((x["size"] == 1) & (x["letters"] > 0)).alias("glyph"),
+            (x["words"] >= 2).alias("prose"), (_matches(t, GLUE) | _matches(t, MATH_WORD)).alias("glue"), x["letters"].alias("letters"), x["size"].alias("size"),
+        )
+
     font = F.regexp_replace(F.coalesce(u["font"], F.lit("")), SUBSET_PREFIX, "")
-    words = F.regexp_count(t, F.lit(r"\p{L}{3,}"))
-    letters = F.regexp_count(t, F.lit(r"\p{L}"))
-    return F.struct(
-        u["text"].alias("text"), t.alias("t"), u["page"].alias("page"), u["index"].alias("index"), u["eol"].alias("eol"), u["height"].alias("height"), u["baseline"].alias("baseline"),
-        _matches(font, MATH_FONT).alias("math"), _matches(font, ITALIC_FONT).alias("italic"), ((words == 0) & _matches(t, MATH_SYMBOL)).alias("symbol"), ((F.length(t) == 1) & (letters > 0)).alias("glyph"),
-        (words >= 2).alias("prose"), (_matches(t, GLUE) | _matches(t, MATH_WORD)).alias("glue"), letters.alias("letters"), F.length(t).alias("size"),
-    )
+    return let(let(F.struct(T.trimmed(u["text"]).alias("t"), font.alias("font")), counted), signs)
 
 
 def body_height(units: Column) -> Column:
@@ -81,8 +89,8 @@ def body_height(units: Column) -> Column:
     return F.coalesce(F.array_max(weighed)["h"], F.lit(0.0))
 
 
-def _nearest(side: Column, u: Column, body: Column) -> Column:
-    """The baseline of the nearest unit of the text's height on this side, if nothing of another line is before it."""
+def _nearest(units: Column, i: Column, way: int, u: Column, body: Column) -> Column:
+    """The baseline of the unit of the text's height that is nearest to unit i, counted from 0, on this side, if nothing of another line is before it. way: -1 or 1."""
     start = F.struct(F.lit(None).cast("double").alias("base"), F.lit(False).alias("stop"))
 
     def step(s: Column, x: Column) -> Column:
@@ -90,7 +98,11 @@ def _nearest(side: Column, u: Column, body: Column) -> Column:
         found = F.when(line & (x["height"] >= body * BODY_HEIGHT) & (x["t"] != ""), x["baseline"])
         return F.when(s["stop"], s).otherwise(F.struct(found.alias("base"), (~line | found.isNotNull()).alias("stop")))
 
-    return F.aggregate(side, start, step, lambda s: s["base"])
+    # the next few one by one, since a slice goes over all units; there is none beyond the ends, which neither is found nor stops
+    near = F.aggregate(F.array(*(F.lit(way * k) for k in range(1, NEAR + 1))), start, lambda s, k: F.when(s["stop"], s).otherwise(let(F.get(units, i + k), lambda x: step(s, x))))
+    side = F.reverse(F.slice(units, F.lit(1), i)) if way < 0 else F.slice(units, i + 2, F.size(units))
+    beyond = i > NEAR if way < 0 else i + NEAR + 1 < F.size(units)
+    return let(near, lambda s: F.when(~F.coalesce(s["stop"], F.lit(False)) & beyond, F.aggregate(side, start, step, lambda x: x["base"])).otherwise(s["base"]))
 
 
 def _with_scripts(units: Column) -> Column:
@@ -99,7 +111,7 @@ def _with_scripts(units: Column) -> Column:
     def marked(body: Column) -> Column:
         def one(u: Column, i: Column) -> Column:
             small = (body > 0) & (u["t"] != "") & (u["height"] > 0) & (u["height"] <= body * SCRIPT_HEIGHT)
-            base = F.coalesce(_nearest(F.reverse(F.slice(units, F.lit(1), i)), u, body), _nearest(F.slice(units, i + 2, F.size(units)), u, body))
+            base = F.coalesce(_nearest(units, i, -1, u, body), _nearest(units, i, 1, u, body))
             script = F.when(small, F.coalesce(F.abs(u["baseline"] - base) >= body * SCRIPT_BASELINE, F.lit(False))).otherwise(False)
             return let(script, lambda s: u.withField("script", s).withField("glue", u["glue"] & ~s & ~u["math"]))
 
@@ -160,11 +172,15 @@ def joined(run: Column) -> Column:
     return T.trimmed(F.aggregate(run, start, step, lambda s: s["out"]))
 
 
+def _plain(text: Column) -> Column:
+    """Normalised, with dashes and dots as one each. It has no other white space than single spaces."""
+    return F.regexp_replace(F.regexp_replace(T.normalized(text), DASHES, "-"), DOTS, "·")
+
+
 def folded(text: Column) -> Column:
-    """struct<text, map>: normalised without white space, dashes and dots as one each, and where each character stands in the normalised text."""
-    plain = F.regexp_replace(F.regexp_replace(T.normalized(text), DASHES, "-"), DOTS, "·")
-    kept = F.filter(F.transform(F.split(plain, ""), lambda c, i: F.struct(c.alias("c"), i.alias("i"))), lambda x: (x["c"] != "") & ~x["c"].rlike(f"^{T.SPACE}$"))
-    return let(kept, lambda k: F.struct(F.array_join(F.transform(k, lambda x: x["c"]), "").alias("text"), F.transform(k, lambda x: x["i"]).alias("map")))
+    """struct<text, map>: normalised without white space, dashes and dots as one each, and how many spaces are before each character in the normalised text."""
+    words = lambda p: F.flatten(F.transform(F.split(p, " ", -1), lambda word, i: F.array_repeat(i, F.length(word))))
+    return let(_plain(text), lambda p: F.struct(F.replace(p, F.lit(" "), F.lit("")).alias("text"), words(p).alias("map")))
 
 
 def _candidate(run: Column) -> Column:
@@ -195,12 +211,13 @@ def _placed(found: Column, text: Column) -> Column:
         start = F.struct(F.lit(0).alias("cursor"), F.lit(0).alias("upto"), F.lit("").alias("out"), F.filter(F.transform(found, lambda x: x.withField("token", F.lit("")).withField("warning", F.lit(None).cast("string"))), lambda x: F.lit(False)).alias("done"))
 
         def step(s: Column, x: Column) -> Column:
-            key = folded(x["raw"])["text"]
+            key = F.replace(_plain(x["raw"]), F.lit(" "), F.lit(""))
             token = F.concat(F.lit("[EQ_"), (F.size(s["done"]) + 1).cast("string"), F.lit("]"))
 
             def at(p: Column) -> Column:
                 hit = (p["at"] > 0) & (p["size"] > 0)
-                low, high = F.try_element_at(f["map"], p["at"]), F.try_element_at(f["map"], p["at"] + p["size"] - 1) + 1
+                first, last = p["at"] - 1, p["at"] + p["size"] - 2
+                low, high = first + F.get(f["map"], first), last + F.get(f["map"], last) + 1
                 own = x.withField("token", token).withField("warning", F.when(~hit, NOT_IN_TEXT)).withField("status", F.when(hit, x["status"]).otherwise(UNCERTAIN))
                 return F.struct(
                     F.when(hit, p["at"] + p["size"] - 1).otherwise(s["cursor"]).alias("cursor"), F.when(hit, high).otherwise(s["upto"]).alias("upto"),
@@ -219,8 +236,9 @@ def detected(sentences: DataFrame, text: str = "text", units: str = "units") ->
     scripts = _with_scripts(F.col("_signals"))
     rows = sentences.withColumn("_signals", F.transform(units, _signals)).withColumn("_scripts", scripts).withColumn("_fragmented", _fragmented(F.col("_scripts")))
     strong = lambda u: ~u["prose"] & (u["math"] | u["symbol"] | u["script"])
-    weak = lambda u: ~u["prose"] & ~u["glue"] & ~F.col("_fragmented") & (u["glyph"] | (u["italic"] & (u["size"] <= 2) & (u["letters"] > 0)))
-    marked = F.transform("_scripts", lambda u: u.withField("strong", strong(u)).withField("weak", weak(u)))
+    weak = lambda u, whole: ~u["prose"] & ~u["glue"] & whole & (u["glyph"] | (u["italic"] & (u["size"] <= 2) & (u["letters"] > 0)))
+    # within let, whether it is broken is told once for the sentence, also where Spark moves the column in here
+    marked = let(~F.col("_fragmented"), lambda whole: F.transform("_scripts", lambda u: u.withField("strong", strong(u)).withField("weak", weak(u, whole))))
     trimmed = let(marked, lambda m: F.transform(runs(m), without_trailing_glue))
     enough = F.filter(trimmed, lambda r: F.exists(r, lambda u: u["strong"]) | (F.size(F.filter(r, lambda u: u["weak"])) >= 2))
     rows = rows.withColumn("_found", F.transform(enough, _candidate)).withColumn("_norm", T.normalized(text))

@@ -281,8 +281,7 @@ def _unit_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "text"))
     words = F.filter(F.split("text", " "), lambda w: w != "")
 
-    def unit(w: Column, i: Column) -> Column:
-        h = F.crc32(w)
+    def unit(w: Column, i: Column, h: Column) -> Column:
         small = h % 7 == 0
         fields = {
             "text": F.when(h % 3 == 0, F.concat(w, F.lit(" "))).otherwise(w), "page": F.floor(F.col("pos") / 10), "index": i + F.floor(i / 9), "eol": F.lit(False), "height": F.when(small, 6.5).otherwise(10.0),
@@ -290,7 +289,7 @@ def _unit_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         }
         return F.struct(*(v.alias(k) for k, v in fields.items()))
 
-    return lines.select("doc_id", "pos", "text", F.transform(words, unit).cast(equations.UNITS).alias("units"))
+    return lines.select("doc_id", "pos", "text", F.transform(words, lambda w, i: equations.let(F.crc32(w), lambda h: unit(w, i, h))).cast(equations.UNITS).alias("units"))
 
 
 @query()

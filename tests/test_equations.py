@@ -1,6 +1,7 @@
 """Formulas of sentences against a plain version that goes unit by unit."""
 
 import random
+import time
 
 import regex
 from pyspark.sql import functions as F
@@ -142,3 +143,14 @@ def test_given(spark, sf):
     assert len(got) == len(units) > 300
     for r in got:
         assert shaped(r) == plain(*units[r.doc_id, r.pos])
+
+
+def test_statistics_of_a_long_sentence(spark):
+    """A sentence of many units is looked through once, not once for each unit."""
+    unit = "struct(if(i % 9 = 0, 'α', 'word') AS text, 1L AS page, i AS index, false AS eol, if(i % 7 = 0, 6.5d, 10d) AS height, if(i % 7 = 0, 97d, 100d) AS baseline, 'Times' AS font)"
+    rows = spark.range(1).selectExpr("'all' AS k", "array_join(transform(sequence(0L, 14999L), i -> if(i % 9 = 0, 'α', 'word')), ' ') AS text", f"transform(sequence(0L, 14999L), i -> {unit}) AS units")
+    rows = rows.withColumn("units", F.col("units").cast(eq.UNITS))
+    before = time.monotonic()
+    (found,) = eq.statistics(eq.detected(rows), ["k"]).collect()
+    assert time.monotonic() - before < 20
+    assert found["sentences"] == 1 and found["equations"] + sum(found[k] for k in eq.SKIPS) > 1000
