@@ -10,6 +10,7 @@ from __future__ import annotations
 import unicodedata
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,10 +25,27 @@ _FIELDS = [("position", pa.int64()), ("how", pa.string()), ("occurrences", pa.in
 _SCHEMA = "position long, how string, occurrences long, key_length long, spans array<struct<page: long, index: long, start: long, end: long>>, gaps array<long>, tags array<string>"
 
 
-def keyed(text: str) -> list[tuple[str, int]]:
-    """The key characters of a text, each with the place of the character it comes from."""
-    own = lambda c: unicodedata.category(c)[0] in "LN"
-    return [(k, at) for at, c in enumerate(text) for d in unicodedata.normalize("NFKD", c) if own(d) for k in d.lower() if own(k)]
+class _Keys(dict):
+    """The key characters of each character, as a table for str.translate; one that is new is looked up once."""
+
+    def __missing__(self, code: int) -> str:
+        own = lambda c: unicodedata.category(c)[0] in "LN"
+        self[code] = "".join(k for d in unicodedata.normalize("NFKD", chr(code)) if own(d) for k in d.lower() if own(k))
+        return self[code]
+
+
+_KEYS = _Keys()
+
+
+def key_of(text: str) -> str:
+    """The key characters of a text."""
+    return text.translate(_KEYS)
+
+
+def keyed(text: str) -> tuple[str, list[int]]:
+    """The key characters of a text, and for each the place of the character it comes from."""
+    parts = [_KEYS[ord(c)] for c in text]
+    return "".join(parts), [at for at, k in enumerate(parts) for _ in k]
 
 
 def places(hay: str, key: str, low: int = 0, high: int | None = None) -> Iterator[int]:
@@ -71,27 +89,35 @@ class Stream:
 
     def __init__(self, items: list[tuple[int, int, str]]):
         self.items = items
-        keys = [(k, i, at) for i, (_, _, text) in enumerate(items) for k, at in keyed(text or "")]
-        self.text = "".join(k for k, _, _ in keys)
-        self.owner = [(i, at) for _, i, at in keys]
+        keys = [key_of(text or "") for _, _, text in items]
+        self.text = "".join(keys)
+        self.ends = list(accumulate(map(len, keys)))
+        self.at: dict[int, list[int]] = {}
+
+    def places_of(self, i: int) -> list[int]:
+        """Where in item i each of its keys comes from."""
+        if i not in self.at:
+            self.at[i] = keyed(self.items[i][2] or "")[1]
+        return self.at[i]
 
     def spans(self, segments: list[tuple[int, int]]) -> list[dict]:
         """Stretches of keys as spans of items, from the first key's character to the last one's; segments don't share one."""
         out: list[dict] = []
         for low, high in segments:
-            last = None
-            for i, at in self.owner[low:high]:
-                if i != last:
-                    out.append({"page": self.items[i][0], "index": self.items[i][1], "start": at, "end": at + 1})
-                    last = i
-                out[-1]["end"] = at + 1
+            i = bisect_right(self.ends, low)
+            while low < high:
+                first, end = self.ends[i - 1] if i else 0, min(high, self.ends[i])
+                if low < end:
+                    at = self.places_of(i)
+                    out.append({"page": self.items[i][0], "index": self.items[i][1], "start": at[low - first], "end": at[end - 1 - first] + 1})
+                low, i = max(low, end), i + 1
         return out
 
 
 def found_in(stream: Stream, sentences: list[tuple[int, str]]) -> list[dict]:
     """A row for each sentence (position, text), in order."""
     hay = stream.text
-    keys = ["".join(k for k, _ in keyed(text or "")) for _, text in sentences]
+    keys = [key_of(text or "") for _, text in sentences]
     at = [list(places(hay, k)) for k in keys]
     anchors = [i for i, (k, p) in enumerate(zip(keys, at, strict=True)) if len(p) == 1 and len(k) >= ANCHOR]
     rows = []

@@ -97,3 +97,13 @@ def test_located(spark):
 def test_given(spark, sf):
     rows = structures.key_places(spark, sf).groupBy("how").count().collect()
     assert {r.how for r in rows} == {"unique", "unique_short", "repeated_by_order", "segmented", "manual"}
+
+
+def test_each_character_is_decomposed_once(monkeypatch):
+    text = "Ǆ ½ ﬁ aé-① İ" * 50
+    expected, seen, plainly = keys(text), [], unicodedata.normalize
+    monkeypatch.setattr(unicodedata, "normalize", lambda form, c: seen.append(c) or plainly(form, c))
+    stream = keysearch.Stream([(1, 1, text), (1, 2, text)])
+    assert stream.text == "".join(k for k, _ in expected) * 2
+    assert stream.places_of(0) == [at for _, at in expected]
+    assert len(seen) <= len(set(text))
