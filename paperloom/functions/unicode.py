@@ -29,12 +29,27 @@ def title_key(title: Column) -> Column:
     return run(title)
 
 
+class _Kept(dict):
+    """Each character if it holds a letter or a number when decomposed, else None, as a table for str.translate; one that is new is looked up once."""
+
+    def __missing__(self, code: int) -> int | None:
+        self[code] = code if any(unicodedata.category(d)[0] in "LN" for d in unicodedata.normalize("NFKD", chr(code))) else None
+        return self[code]
+
+
+_KEPT = _Kept()
+
+
+def kept_characters(text: str) -> int:
+    return len(text.translate(_KEPT))
+
+
 def key_characters(text: Column) -> Column:
     """How many characters hold a letter or a number when decomposed."""
 
     @F.pandas_udf("int")
     def run(rows: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None else sum(any(unicodedata.category(d)[0] in "LN" for d in unicodedata.normalize("NFKD", c)) for c in t) for t in rows], dtype="Int32")
+        return pd.Series([None if t is None else kept_characters(t) for t in rows], dtype="Int32")
 
     return run(text)
 

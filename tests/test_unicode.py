@@ -1,4 +1,5 @@
 import json
+import unicodedata
 
 from pyspark.sql import functions as F
 
@@ -32,3 +33,12 @@ def test_self_source(spark):
 def test_key_characters(spark):
     df = spark.createDataFrame([("aé½ ①-",), (None,)], "t string").select(U.key_characters(F.col("t")).alias("n"), U.title_key(F.col("t")).alias("k"))
     assert [tuple(r) for r in df.collect()] == [(4, "aé121"), (None, None)]
+
+
+def test_key_characters_are_told_once(monkeypatch):
+    text = "Ǆ ½ ﬁ aé-① İ ̈" * 50
+    expected = sum(any(unicodedata.category(d)[0] in "LN" for d in unicodedata.normalize("NFKD", c)) for c in text)
+    seen, plainly = [], unicodedata.normalize
+    monkeypatch.setattr(U.unicodedata, "normalize", lambda form, c: seen.append(c) or plainly(form, c))
+    assert U.kept_characters(text) == expected
+    assert len(seen) <= len(set(text))
