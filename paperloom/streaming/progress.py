@@ -22,21 +22,27 @@ class ProgressProcessor(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         events = sorted((r for frame in rows for r in frame.to_dict("records")), key=lambda r: (r["at"], r["seq"]))
         names = list(progress.STATES.values())
-        phase, *counts = self.sums.get() if self.sums.exists() else (None, 0, 0, 0, 0)
+        sums = self.sums.get() if self.sums.exists() else None
+        phase, *counts = sums or (None, 0, 0, 0, 0)
         counts = dict(zip([*names, "events"], map(int, counts), strict=True))
-        recent = list(self.history.get()[0]) if self.history.exists() else []
+        recent = list(self.history.get()[0])[::-1] if sums else []
+        states: dict[int, str | None] = {}  # of the chunks that these events are about, read and written once
         for e in events:
             counts["events"] += 1
-            recent.insert(0, progress.entry(e["kind"], e["text"]))
+            recent.append(progress.entry(e["kind"], e["text"]))
             if e["kind"] == progress.PHASE:
                 phase = e["text"]
             elif e["kind"] in progress.STATES and not pd.isna(e["chunk"]):
-                chunk = (int(e["chunk"]),)
-                if self.chunks.containsKey(chunk):
-                    counts[self.chunks.getValue(chunk)[0]] -= 1
-                counts[progress.STATES[e["kind"]]] += 1
-                self.chunks.updateValue(chunk, (progress.STATES[e["kind"]],))
-        recent = recent[: progress.HISTORY]
+                chunk = int(e["chunk"])
+                if chunk not in states:
+                    states[chunk] = self.chunks.getValue((chunk,))[0] if sums and self.chunks.containsKey((chunk,)) else None
+                if states[chunk]:
+                    counts[states[chunk]] -= 1
+                states[chunk] = progress.STATES[e["kind"]]
+                counts[states[chunk]] += 1
+        for chunk, state in states.items():
+            self.chunks.updateValue((chunk,), (state,))
+        recent = recent[: -progress.HISTORY - 1 : -1]
         self.sums.update((phase, *(counts[n] for n in names), counts["events"]))
         self.history.update((recent,))
         yield pd.DataFrame([{"unit": key[0], "phase": phase, **counts, "history": recent}])

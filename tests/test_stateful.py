@@ -5,6 +5,8 @@ from datetime import datetime, timedelta
 
 import pytest
 
+import pandas as pd
+
 from paperloom.operators import ledger, progress
 from paperloom.streaming import events as streams
 from paperloom.streaming import ledger as streamed
@@ -129,3 +131,60 @@ def test_progress(spark, tmp_path):
     with streams.state_in_rocksdb(spark):
         got = streams.drained(spark, streamed_progress.tracked(stream), ["unit"], "update")
     assert {r.unit: tuple(r[c] for c in ("unit", "phase", "running", "done", "failed", "events", "history")) for r in got.collect()} == want
+
+
+class CountedState:
+    """A value or map of keyed state that counts how often it is asked."""
+
+    def __init__(self):
+        self.held, self.asked = {}, 0
+
+    def __getattr__(self, name):
+        ways = {
+            "exists": lambda: bool(self.held), "containsKey": lambda k: k in self.held, "getValue": lambda k: self.held[k], "updateValue": lambda k, v: self.held.update({k: v}), "removeKey": lambda k: self.held.pop(k),
+            "keys": lambda: iter(list(self.held)), "get": lambda: self.held.get(None), "update": lambda v: self.held.update({None: v}),
+        }
+
+        def run(*values):
+            self.asked += 1
+            return ways[name](*values)
+
+        return run
+
+
+class Handle:
+    def __init__(self):
+        self.states = {}
+
+    def state(self, name, *_):
+        return self.states.setdefault(name, CountedState())
+
+    getMapState = getValueState = state
+
+
+def test_state_is_asked_once_a_batch():
+    """However many rows a key has, what is known of it is read and written once, and is what row by row would leave."""
+    at = pd.Timestamp("2024-01-01")
+    limits = [{"id": "w1", "limits": [40, 40, 40]}, {"id": "always", "limits": [60, 60, 60]}]
+    kinds = ["reserve", "sent", "tool", "reserve", "failed", "open", "reserve"]
+    ops = [{"ledger": 1, "at": at, "seq": n, "op": kinds[n * n % 7], "kind": "search" if n % 3 else "fetch", "request": f"r{n % 4}", "scopes": limits} for n in range(300)]
+    scopes, open_ = {}, {}
+    expected = [d for op in ops for d in ledger.decided(op, scopes, open_)]
+    handle, processor, got = Handle(), streamed.LedgerProcessor(), []
+    processor.init(handle)
+    for part in (ops[:130], ops[130:131], ops[131:]):
+        got += [r for frame in processor.handleInputRows((1,), iter([pd.DataFrame(part)]), None) for r in frame.to_dict("records")]
+    assert [tuple(r.values()) for r in got] == [tuple(r.values()) for r in expected]
+    assert {k: tuple(v) for (k,), v in handle.states["scopes"].held.items()} == scopes
+    assert {k: v for (k,), (v,) in handle.states["open"].held.items()} == open_
+    assert sum(s.asked for s in handle.states.values()) < 90
+
+    handle, work = Handle(), streamed_progress.ProgressProcessor()
+    work.init(handle)
+    events = [{"unit": 1, "at": at, "seq": n, "kind": ["phase", "chunk_started", "chunk_finished", "chunk_failed", "note"][n * n % 5], "chunk": n % 3, "text": f"t{n}"} for n in range(200)]
+    for part in (events[:90], events[90:]):
+        (row,) = (r for frame in work.handleInputRows((1,), iter([pd.DataFrame(part)]), None) for r in frame.to_dict("records"))
+    last = {e["chunk"]: e["kind"] for e in events if e["kind"].startswith("chunk")}
+    assert [row[s] for s in ("running", "done", "failed")] == [sum(k == x for k in last.values()) for x in ("chunk_started", "chunk_finished", "chunk_failed")]
+    assert row["events"] == 200 and row["history"] == [f"{e['kind']}: {e['text']}" for e in events[:-21:-1]] and row["phase"] == [e["text"] for e in events if e["kind"] == "phase"][-1]
+    assert sum(s.asked for s in handle.states.values()) < 40
