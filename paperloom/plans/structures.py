@@ -31,10 +31,15 @@ SELECT doc_id, CAST(n // 5 AS INTEGER) AS section, CAST(n // 5 + 1 AS VARCHAR) A
 def tei_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents written as XML, five lines to a section, and read again sentence by sentence."""
     escaped = F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
-    lines = F.transform(F.split(escaped, "\n", -1), lambda x, i: F.struct(F.floor(i / 5).alias("section"), F.concat(F.lit('<p><s coords="'), (i % 7 + 1).cast("string"), F.lit(',1,2,3,4">'), x, F.lit("</s></p>")).alias("xml")))
-    section = lambda k: F.concat(F.lit('<div><head n="'), (k + 1).cast("string"), F.lit('.">Part</head>'), F.array_join(F.transform(F.filter("lines", lambda x: x["section"] == k), lambda x: x["xml"]), ""), F.lit("</div>"))
+    lines = F.split(escaped, "\n", -1)
+
+    def part(x: Column, i: Column) -> Column:
+        head = F.when(i % 5 == 0, F.concat(F.lit('<div><head n="'), F.floor(i / 5 + 1).cast("string"), F.lit('.">Part</head>'))).otherwise("")
+        sentence = F.concat(F.lit('<p><s coords="'), (i % 7 + 1).cast("string"), F.lit(',1,2,3,4">'), x, F.lit("</s></p>"))
+        return F.concat(head, sentence, F.when(i % 5 == 4, "</div>").otherwise(""))
+
     docs = read(spark, sf_dir, "documents").select("doc_id", lines.alias("lines"))
-    body = F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), F.floor((F.size("lines") - 1) / 5)), section), "")
+    body = F.concat(F.array_join(F.transform("lines", part), ""), F.when(F.size("lines") % 5 > 0, "</div>").otherwise(""))
     xml = docs.select("doc_id", F.concat(F.lit('<TEI xmlns="http://www.tei-c.org/ns/1.0"><text><body>'), body, F.lit("</body></text></TEI>")).alias("xml"))
     rows = tei.sentences(xml, "doc_id", "xml")
     return rows.select("doc_id", "section", "section_number", "order", F.sha2("text", 256).alias("text"), "coords", T.pages_of(T.coordinates("coords"))[0].alias("page"))
@@ -43,7 +48,7 @@ def tei_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
 REVISION = "r1"
 
 
-def _tei_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _tei_records(spark: SparkSession, sf_dir: str, *kinds: str) -> DataFrame:
     """Documents written as XML of many parts and taken apart again, in one parse that is written down: ten lines to a section, every other section below the one before, and
     among the sentences formulas, notes, figures and tables, and citations of two entries of three. Every fifth document breaks off after its first section, every next one
     has a character that XML forbids.
@@ -69,7 +74,7 @@ def _tei_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = "".join(entry.format(n) for n in (0, 1))
     docs = body.select("doc_id", F.concat(F.lit('<TEI xmlns="http://www.tei-c.org/ns/1.0"><text><body>'), "body", F.lit(f'</body><back><div type="references">{back}</div></back></text></TEI>')).alias("xml"))
     folder = fresh_folder(spark)
-    tei_documents.records(docs, "doc_id", "xml").write.parquet(folder)
+    tei_documents.records(docs, "doc_id", "xml", kinds).write.parquet(folder)
     return spark.read.parquet(folder)
 
 
@@ -87,7 +92,7 @@ s AS (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS I
 WITH {_TEI_SQL} SELECT DISTINCT doc_id, {_tei_id("sec_", "'section'", "k")} AS section_id, CASE WHEN k % 2 = 1 THEN {_tei_id("sec_", "'section'", "k - 1")} END AS parent_id, CAST(k AS INTEGER) AS position, 'Part ' || k AS title FROM a""")
 def tei_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sections with the one above each, of whole documents and of what can be read of broken ones."""
-    return tei_documents.sections(_tei_records(spark, sf_dir), "doc_id", REVISION)
+    return tei_documents.sections(_tei_records(spark, sf_dir, "section"), "doc_id", REVISION)
 
 
 @query(f"""
@@ -96,7 +101,7 @@ WITH {_TEI_SQL} SELECT doc_id, {_tei_id("s_", "position")} AS sentence_id, {_tei
   CASE WHEN m = 9 THEN 'coords_missing' WHEN i % 7 = 0 THEN 'coords_page_invalid:0' ELSE '' END AS warnings FROM s""")
 def tei_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentences with their section, paragraph and page, what they cite, and what is wrong with their places."""
-    rows = tei_documents.sentences(_tei_records(spark, sf_dir), "doc_id", REVISION)
+    rows = tei_documents.sentences(_tei_records(spark, sf_dir, "sentence"), "doc_id", REVISION)
     own = F.array_join(F.filter("warnings", lambda w: w.startswith("coords")), ",")
     return rows.select("doc_id", "sentence_id", "section_id", "paragraph_id", F.sha2("text", 256).alias("text"), "page", F.array_join("targets", ",").alias("targets"), own.alias("warnings"))
 
@@ -111,7 +116,7 @@ p AS (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY place) - 1
 SELECT doc_id, {_tei_id("x_", "'excluded'", "position")} AS block_id, position, type, sha256(text) AS text, label, pages, problems FROM p""")
 def tei_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Formulas, notes, figures, tables, captions and entries of the bibliography, in the order of reading."""
-    rows = tei_documents.blocks(_tei_records(spark, sf_dir), "doc_id", REVISION)
+    rows = tei_documents.blocks(_tei_records(spark, sf_dir, "block"), "doc_id", REVISION)
     return rows.select("doc_id", "block_id", "position", "type", F.sha2("text", 256).alias("text"), "label", F.array_join("pages", ",").alias("pages"), F.array_join("problems", ",").alias("problems"))
 
 
@@ -121,7 +126,7 @@ c AS (SELECT doc_id, i % 3 AS n, string_agg({_tei_id("s_", "position")}, ',' ORD
 SELECT doc_id, {_tei_id("b_", "'bib'", "n")} AS reference_id, 'Title ' || n AS title, 'A B' || n AS authors, CAST(2000 + n AS INTEGER) AS year, '10/' || n AS doi, coalesce(cited_by, '') AS cited_by FROM r LEFT JOIN c USING (doc_id, n)""")
 def tei_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entries of the bibliography with the sentences that cite them."""
-    rows = tei_documents.references(_tei_records(spark, sf_dir), "doc_id", REVISION)
+    rows = tei_documents.references(_tei_records(spark, sf_dir, "reference", "sentence"), "doc_id", REVISION)
     return rows.select("doc_id", "reference_id", "title", F.array_join("authors", ",").alias("authors"), "year", "doi", F.array_join("cited_by", ",").alias("cited_by"))
 
 
@@ -131,7 +136,7 @@ SELECT doc_id, 'abstract_missing' AS code FROM d UNION ALL SELECT doc_id, 'malfo
 UNION ALL SELECT DISTINCT doc_id, 'citation_target_missing:b' || i % 3 FROM a WHERE m = 9 AND (i % 3 = 2 OR doc_id % 5 = 0)""")
 def tei_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is wrong with each document, broken ones among them."""
-    rows = tei_documents.warnings(_tei_records(spark, sf_dir), "doc_id", REVISION)
+    rows = tei_documents.warnings(_tei_records(spark, sf_dir, "warning", "reference", "sentence"), "doc_id", REVISION)
     return rows.select("doc_id", F.when(F.col("code") == "citation_target_missing", F.concat_ws(":", "code", "detail")).otherwise(F.col("code")).alias("code"))
 
 

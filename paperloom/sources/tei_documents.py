@@ -27,6 +27,8 @@ _SCHEMA = (
     "others array<string>, authors array<string>, year int, doi string, url string, xml_id string"
 )
 _FORBIDDEN = re.compile("[^\t\n\r\x20-퟿-�\U00010000-\U0010ffff]")
+#: Records that are given on at once, or those of one document, if it has more.
+ROWS = 1000
 _ID = "{http://www.w3.org/XML/1998/namespace}id"
 
 
@@ -35,7 +37,7 @@ def _name(e: ET.Element) -> str:
 
 
 def _text(e: ET.Element | None) -> str:
-    return "" if e is None else re.sub(r"\s+", " ", "".join(e.itertext())).strip()
+    return "" if e is None else " ".join("".join(e.itertext()).split())
 
 
 def _all(e: ET.Element | None, *names: str) -> list[ET.Element]:
@@ -218,17 +220,24 @@ def _identifier(e: ET.Element | None, kind: str) -> str | None:
     return next((_text(i) for i in _below(e, "idno") if i.get("type") == kind), "") or None
 
 
-def records(docs: DataFrame, key: str, xml: str) -> DataFrame:
-    """key and a row for each record of each document; every output below is made of these."""
+def records(docs: DataFrame, key: str, xml: str, kinds: tuple[str, ...] = ()) -> DataFrame:
+    """key and a row for each record of each document; every output below is made of these. kinds: those that are wanted, all if none are named."""
     schema = pa.schema(_FIELDS)
 
+    def flat(batch: pa.RecordBatch, found: list[tuple[int, dict]]) -> pa.RecordBatch:
+        keys = batch["doc_key"].take(pa.array([at for at, _ in found], pa.int64()))
+        columns = [pa.array([r.get(c) for _, r in found], t) for c, t in _FIELDS]
+        return pa.RecordBatch.from_arrays([keys, *columns], names=["doc_key", *schema.names])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            found: list[tuple[int, dict]] = []
             for at in range(batch.num_rows):
-                rows = Document(batch["xml"][at].as_py()).rows
-                found = pa.RecordBatch.from_pylist(rows, schema=schema)
-                keys = batch["doc_key"].take(pa.array([at] * len(rows)))
-                yield pa.RecordBatch.from_arrays([keys, *found.columns], names=["doc_key", *schema.names])
+                found.extend((at, r) for r in Document(batch["xml"][at].as_py()).rows if not kinds or r["record"] in kinds)
+                if len(found) >= ROWS:
+                    yield flat(batch, found)
+                    found = []
+            yield flat(batch, found)
 
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(F.col(key).alias("doc_key"), F.col(xml).alias("xml")).mapInArrow(run, f"doc_key {kind}, {_SCHEMA}").withColumnRenamed("doc_key", key)
