@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Sentences that are given on at once, or those of one document, if it has more.
+ROWS = 1000
 _FIELDS = ["section", "section_number", "section_title", "paragraph", "order", "text", "coords"]
 _SCHEMA = "section int, section_number string, section_title string, paragraph int, `order` int, text string, coords string"
 
@@ -45,12 +47,21 @@ def sentences(docs: DataFrame, key: str, xml: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = [pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string()]
+
+        def flat(batch: pa.RecordBatch, at: list[int], rows: list[tuple]) -> pa.RecordBatch:
+            columns = [pa.array([r[c] for r in rows], t) for c, t in enumerate(types)]
+            return pa.RecordBatch.from_arrays([batch["doc_key"].take(pa.array(at, pa.int64())), *columns], names=["doc_key", *_FIELDS])
+
         for batch in batches:
-            found = [rows_of(x.as_py()) for x in batch["xml"]]
-            at = pa.array([k for k, rows in enumerate(found) for _ in rows], pa.int64())
-            flat = [r for rows in found for r in rows]
-            columns = [pa.array([r[c] for r in flat], t) for c, t in enumerate(types)]
-            yield pa.RecordBatch.from_arrays([batch["doc_key"].take(at), *columns], names=["doc_key", *_FIELDS])
+            at, rows = [], []
+            for k in range(batch.num_rows):
+                own = rows_of(batch["xml"][k].as_py())
+                at.extend([k] * len(own))
+                rows.extend(own)
+                if len(rows) >= ROWS:
+                    yield flat(batch, at, rows)
+                    at, rows = [], []
+            yield flat(batch, at, rows)
 
     rows = docs.select(F.col(key).alias("doc_key"), F.col(xml).alias("xml")).mapInArrow(run, f"doc_key {kind}, {_SCHEMA}")
     return rows.withColumnRenamed("doc_key", key)

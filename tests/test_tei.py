@@ -2,9 +2,11 @@
 
 import hashlib
 
+import pyarrow as pa
 import pytest
 
 from paperloom.functions import text as T
+from paperloom.sources import tei as plain_tei
 from paperloom.sources import tei_documents as tei
 
 XML = """<TEI xmlns="http://www.tei-c.org/ns/1.0"><teiHeader><fileDesc><titleStmt><title>Short</title><title type="main">The  Title</title></titleStmt>
@@ -75,3 +77,29 @@ def test_warnings(found):
 def test_coordinate_warnings(spark):
     rows = [(None, ["coords_missing"]), (" ; ", ["coords_missing"]), ("1,2,3,4,5", []), ("1,2,3,4;0,1,1,1,1;1.5,1,1,1,1;a,1,1,1,1", ["coords_malformed:1,2,3,4", "coords_page_invalid:0", "coords_page_invalid:1.5", "coords_malformed:a,1,1,1,1"])]
     assert all(r.got == r.want for r in spark.createDataFrame(rows, "c string, want array<string>").select(T.coordinate_warnings("c").alias("got"), "want").collect())
+
+
+def test_records_are_given_on_in_slices():
+    """A batch of many documents isn't held as one list of records, and only the kinds that are asked for are given."""
+    held = []
+
+    class Frame:
+        schema = {"k": type("Field", (), {"dataType": type("Kind", (), {"simpleString": staticmethod(lambda: "bigint")})})}
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):
+            held.append(run)
+            return self
+
+        def withColumnRenamed(self, *_):
+            return self
+
+    xml = "<TEI><text><body><div><head>H</head>" + "<p><s>a</s></p>" * 300 + "</div></body></text></TEI>"
+    batch = pa.RecordBatch.from_pydict({"doc_key": list(range(20)), "xml": [xml] * 20})
+    plain_tei.sentences(Frame(), "k", "xml")
+    tei.records(Frame(), "k", "xml", ("sentence",))
+    for run in held:
+        sizes = [b.num_rows for b in run(iter([batch]))]
+        assert sum(sizes) == 6000 and max(sizes) <= 1300
