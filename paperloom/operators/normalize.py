@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+from array import array
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,6 +14,8 @@ from ..functions.text import LIGATURES
 
 SEGMENTS = "array<struct<raw_start: int, raw_end: int, norm_start: int, norm_end: int, kind: string>>"
 
+KINDS = ["copy", "ligature", "hyphen", "drop", "space"]
+
 # Zero-width characters with the soft hyphen, and white space as scripts of the web define it.
 _DROP = "­​‌‍﻿"
 _SPACE = "\t\n\x0b\x0c\r    -     　"
@@ -53,14 +57,31 @@ def segments(raw: str) -> tuple[str, list[tuple[int, int, int, int, str]]]:
     return "".join(out), found
 
 
+def mapped(raw: pa.Array) -> pa.Array:
+    """text and segments of each text; the numbers of a batch are held side by side, as Arrow does."""
+    texts, ends, kinds, numbers = [], array("i", [0]), array("b"), [array("i") for _ in range(4)]
+    for value in raw:
+        text, found = (None, []) if (own := value.as_py()) is None else segments(own)
+        texts.append(text)
+        for *places, kind in found:
+            for column, place in zip(numbers, places, strict=True):
+                column.append(place)
+            kinds.append(KINDS.index(kind))
+        ends.append(len(kinds))
+    names = ["raw_start", "raw_end", "norm_start", "norm_end", "kind"]
+    ints = [pa.array(np.frombuffer(column, np.int32)) if column else pa.array([], pa.int32()) for column in numbers]
+    which = pa.array(np.frombuffer(kinds, np.int8)) if kinds else pa.array([], pa.int8())
+    parts = pa.StructArray.from_arrays([*ints, pa.array(KINDS).take(which)], names)
+    listed = pa.ListArray.from_arrays(pa.array(np.frombuffer(ends, np.int32)), parts, mask=pa.array([t is None for t in texts], pa.bool_()))
+    return pa.StructArray.from_arrays([pa.array(texts, pa.string()), listed], ["text", "segments"])
+
+
 def normalized_with_map(text: Column) -> Column:
     """struct<text, segments>."""
 
-    @F.pandas_udf(f"text string, segments {SEGMENTS}")
-    def run(raw: pd.Series) -> pd.DataFrame:
-        names = ("raw_start", "raw_end", "norm_start", "norm_end", "kind")
-        rows = [segments(t) if t is not None else (None, None) for t in raw]
-        return pd.DataFrame({"text": [t for t, _ in rows], "segments": [None if s is None else [dict(zip(names, x, strict=True)) for x in s] for _, s in rows]})
+    @F.arrow_udf(f"struct<text: string, segments: {SEGMENTS}>")
+    def run(raw: pa.Array) -> pa.Array:
+        return mapped(raw)
 
     return run(text)
 

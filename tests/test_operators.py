@@ -2,6 +2,7 @@ import random
 import time
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -238,3 +239,12 @@ def test_smallest_box_against_pairs(spark):
     found = spatial.smallest_box(many, "k", copies, copies.where("false").select("page", "box"), "item").agg(F.count("*"), F.min("item"), F.max("item")).first()
     assert tuple(found) == (20_000, 7, 7)
     assert time.monotonic() - before < 15
+
+
+def test_segments_are_held_as_arrow():
+    """Places of a batch are numbers side by side, and are those of each text by itself."""
+    texts = ["a  b", None, "", "ﬁn de-\nux ​ x", "x" * 5]
+    found = normalize.mapped(pa.array(texts, pa.string())).to_pylist()
+    plain = [(None, None) if t is None else normalize.segments(t) for t in texts]
+    assert [(r["text"], r["segments"] and [tuple(s.values()) for s in r["segments"]]) for r in found] == [(t, s and list(s)) for t, s in plain]
+    assert normalize.mapped(pa.array(["a  b"] * 10_000)).nbytes < 1_000_000
