@@ -77,3 +77,20 @@ def test_joined():
     parts = toxicity.Encoded.joined([toxicity.Encoded(Texts(pa.array(TEXTS[a:b]))) for a, b in ((0, 3), (3, 4), (4, 7))])
     for name in ("keys", "rows", "word", "first"):
         assert np.array_equal(getattr(whole, name), getattr(parts, name)), name
+
+
+def test_learns_from_every_document(spark):
+    rng = np.random.default_rng(6)
+    rows = [(k, " ".join(f"w{i}" for i in rng.integers(0, 300, 20)) + (f" badstem{k}" if k % 2 else ""), "en") for k in range(600)]
+    rows.append((600, "langer " * 30_000, "long"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(601)], "doc_id long, toxic int")
+    net = toxicity.fit(docs, labels, shard=200)
+    assert net.langs == ["en", "long"]
+    row = toxicity.Encoded(Texts(pa.array(["langer"]))).rows[0, 0]
+    assert net.lang_log[row, 1] == pytest.approx(np.log(30_000.1 / (30_000 + 0.1 * toxicity.ROWS)), abs=1e-4)
+    a, b = net.scores(Texts(pa.array(["w1 w2 badstemxyz w3", "w1 w2 w3 w4"])))
+    assert a >= toxicity.THRESHOLD > b
+    again = toxicity.fit(docs.repartition(3), labels, shard=200)
+    assert np.array_equal(net.e, again.e)
+    assert (net.cut, net.cuts.tolist()) == (again.cut, again.cuts.tolist())
