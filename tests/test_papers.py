@@ -86,3 +86,17 @@ def test_forms(spark):
     assert [tuple(r) for r in df.select(T.is_sentence("t"), T.sentence_warnings("t"), T.trimmed("t")).collect()] == [("fragment", ["boundary_no_terminal_punctuation", "boundary_lowercase_start"], "a"), ("fragment", ["empty_text"], "")]
     halves = spark.createDataFrame([([1, 2, 3],), ([1],), ([],)], "x array<int>").select(T.halves("x").alias("h")).collect()
     assert [r.h for r in halves] == [[[1, 2], [3]], [[1]], [[]]]
+
+
+def test_mentions(spark):
+    """Each row is judged by itself, also where keys repeat; an entry is mentioned once, by its first name in the row."""
+    entries = spark.createDataFrame(
+        [(1, "RAG model", ["rag", "RAG", " "], ["le modèle"]), (2, "C++", ["x-y", None], ["c"]), (3, " ", ["model"], []), (4, "none", ["void"], ["nul"])],
+        "id int, term string, aliases array<string>, preferred array<string>",
+    )
+    rows = [(1, "The RAG model, or rag.", "lemodèle"), (1, "rag", None), (1, "ragged models", "x"), (2, "c++ x-y", "X-Y c"), (2, "C++, x-y", "(x-Y)"), (2, "x-y of C+", "c"), (3, "C++", "d"), (4, None, None)]
+    texts = spark.createDataFrame(rows, "k int, text string, said string")
+    got = glossary.mentions(texts, ["k"], "text", entries).select("k", "id", "main").collect()
+    assert sorted(map(tuple, got)) == sorted([(1, 1, True), (1, 1, False), (1, 3, False), (2, 2, True), (2, 2, True), (2, 2, False), (3, 2, True)])
+    got = glossary.statistics(texts, ["k"], "text", "said", entries).collect()
+    assert sorted(map(tuple, got)) == [(1, "RAG model", 1, 1, 1, 0, 0), (2, "C++", 3, 1, 1, 1, 1), (3, " ", 0, 1, 0, 0, 0), (4, "none", 0, 0, 0, 0, 0)]
