@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -38,14 +38,21 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def span_units(spans: DataFrame, items: DataFrame, fonts: DataFrame, document: str) -> DataFrame:
-    """spans with text, eol, height, baseline and font: the stretch of the item that each names, and the item's font by its real name, null where it isn't known. Spans of unknown items are left out.
+    """spans with text, eol, height, baseline and font: the stretch of the item that each names, and the item's font by its real name, null where it isn't known. Spans of unknown items are left out. Of items with the same place, or fonts of the same name, the greatest counts.
 
     spans: document, page, index, start, end; items: document, page, index, text, eol, height, baseline, font_name; fonts: document, font_name, font.
     """
-    own = items.select(document, "page", "index", F.col("text").alias("whole"), "eol", "height", "baseline", "font_name")
-    joined = spans.join(own, [document, "page", "index"]).join(fonts.select(document, "font_name", "font"), [document, "font_name"], "left")
-    text = F.substring("whole", F.col("start") + 1, F.greatest(F.col("end") - F.col("start"), F.lit(0)))
-    return joined.select(*spans.columns, text.alias("text"), "eol", "height", "baseline", "font")
+    keys = [document, "page", "index"]
+    asked = [c for c in spans.columns if c not in keys]
+    own = items.select(*keys, F.struct("text", "eol", "height", "baseline").alias("own"), "font_name")
+    rows = own.unionByName(spans.select(*keys, F.struct(*asked).alias("span")), True).unionByName(fonts.select(document, "font_name", "font"), True)
+    # one shuffle, by document, serves both windows, and whoever groups by document and more
+    font = F.when(F.col("font_name").isNotNull(), F.max("font").over(Window.partitionBy(document, "font_name")))
+    rows = rows.repartition(document).withColumn("font", font).where("own is not null or span is not null")
+    item = F.max(F.when(F.col("own").isNotNull(), F.struct("own", "font"))).over(Window.partitionBy(*keys))
+    rows = rows.select(*keys, "span", item.alias("item")).where("span is not null and item is not null").select(*keys, "span.*", "item.own.*", "item.font")
+    text = F.substring("text", F.col("start") + 1, F.greatest(F.col("end") - F.col("start"), F.lit(0)))
+    return rows.select(*spans.columns, text.alias("text"), "eol", "height", "baseline", "font")
 
 
 def gathered(units: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

@@ -154,3 +154,17 @@ def test_statistics_of_a_long_sentence(spark):
     (found,) = eq.statistics(eq.detected(rows), ["k"]).collect()
     assert time.monotonic() - before < 20
     assert found["sentences"] == 1 and found["equations"] + sum(found[k] for k in eq.SKIPS) > 1000
+
+
+def test_span_units(spark):
+    """One shuffle; spans of unknown items are left out, fonts that aren't known or have no name are null."""
+    items = spark.createDataFrame([("a", 0, 0, "word", False, 1.0, 2.0, "f0"), ("a", 0, 1, "x", True, 1.0, 2.0, "f1"), ("b", 0, 0, "other", None, 3.0, 2.0, None), ("b", 1, 0, "é😀z", False, 3.0, 2.0, "f0")], "doc string, page long, index long, text string, eol boolean, height double, baseline double, font_name string")
+    fonts = spark.createDataFrame([("a", "f0", "CMMI10"), ("b", None, "Times"), ("c", "f1", "Times")], "doc string, font_name string, font string")
+    spans = spark.createDataFrame([(1, "a", 0, 0, 1, 3), (1, "a", 0, 0, 3, 1), (2, "a", 0, 1, 0, 9), (2, "a", 0, 2, 0, 9), (3, "b", 0, 0, 0, 2), (3, "b", 1, 0, 1, 2), (4, "c", 0, 0, 0, 1)], "k int, doc string, page long, index long, start int, end int")
+    found = eq.span_units(spans, items, fonts, "doc")
+    assert found.columns == [*spans.columns, "text", "eol", "height", "baseline", "font"]
+    got = sorted((r.k, r.start, r.text, r.eol, r.height, r.font) for r in found.collect())
+    assert got == [(1, 1, "or", False, 1.0, "CMMI10"), (1, 3, "", False, 1.0, "CMMI10"), (2, 0, "x", True, 1.0, None), (3, 0, "ot", None, 3.0, None), (3, 1, "😀", False, 3.0, None)]
+    gathered = eq.gathered(found, ["doc", "k"], ["page", "index"])
+    assert gathered._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert [(r.k, len(r.units)) for r in gathered.orderBy("k").collect()] == [(1, 2), (2, 1), (3, 2)]
