@@ -11,43 +11,62 @@ from ..functions.text import normalized
 from .assembly import placed
 from .normalize import norm_range, normalized_with_map, raw_range
 
-_BIG = 1 << 32
 #: The edits a character of the passage that are at most certain, and at most uncertain; why a passage has no place, or several.
 MAPPED, UNCERTAIN = 0.1, 0.35
 EMPTY, NO_CANDIDATES, OVER, AMBIGUOUS = "empty_sentence", "no_candidates", "over_threshold", "ambiguous"
 
 
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def _distances(query: np.ndarray, text: np.ndarray, free: bool) -> np.ndarray:
+    """Edit distance of all of `query` to the text up to each place, from its beginning or, if free, from wherever is best before.
+
+    Myers' bit vectors, along the text: a bit for each of its characters, whose neighbours differ by one at most, and a step for each of the query's.
+    """
+    n, m = len(text), len(query)
+    at = {c: int.from_bytes(np.packbits(text == c, bitorder="little").tobytes(), "little") for c in set(query.tolist())}
+    full = (1 << n) - 1
+    up, down = 0 if free else full, 0
+    for c in query.tolist():
+        equal = at[c]
+        vertical = equal | down
+        horizontal = (((equal & up) + up) ^ up) | equal
+        more = (down | ((horizontal | up) ^ full)) << 1 | 1
+        less = (up & horizontal) << 1
+        up, down = (less | ((vertical | more) ^ full)) & full, more & vertical
+    bits = (np.unpackbits(np.frombuffer(x.to_bytes(n // 8 + 1, "little"), np.uint8), count=n, bitorder="little").astype(np.int32) for x in (up, down))
+    return m + np.concatenate([[0], np.cumsum(np.subtract(*bits))])
+
+
 def fit(query: str, text: str) -> tuple[int, int, int]:
-    """(distance, start, end) of the stretch of `text` with the least edit distance to all of `query`; of equal ones the latest start, then the earliest end.
+    """(distance, start, end) of the stretch of `text` with the least edit distance to all of `query`; of equal ones the earliest end, then the latest start."""
+    return fit_long(query, text, max(len(text), 1))
+
+
+def fit_long(query: str, text: str, piece: int = 1 << 15, most: float = 1.0) -> tuple[int, int | None, int]:
+    """fit() in pieces of the text, in memory of a piece's size. The distance is that of an empty stretch at most, so no best stretch is longer than twice the query; pieces overlap by as much.
 
-    A cell is distance * 2**32 - start, so that one minimum decides both; a row is one running minimum.
+    Of stretches with more than `most` edits a character of the query, the start is not sought and None.
     """
-    q, t = (np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.uint32) for s in (query, text))
-    if not len(q):
+    if not query:
         return 0, 0, 0
-    steps = np.arange(len(t) + 1, dtype=np.int64) * _BIG
-    row = -np.arange(len(t) + 1, dtype=np.int64)
-    for k, c in enumerate(q, 1):
-        new = row + _BIG
-        np.minimum(new[1:], row[:-1] + np.where(t == c, 0, _BIG), out=new[1:])
-        new[0] = k * _BIG
-        row = np.minimum.accumulate(new - steps) + steps
-    distance = -(-row // _BIG)
-    end = int(distance.argmin())
-    return int(distance[end]), int(distance[end] * _BIG - row[end]), end
-
-
-def fit_long(query: str, text: str, piece: int = 1 << 15) -> tuple[int, int, int]:
-    """fit() in pieces of the text, in memory of a piece's size. The distance is that of an empty stretch at most, so no best stretch is longer than twice the query; pieces overlap by as much."""
-    reach = 2 * len(query)
+    q, t = _codes(query), _codes(text)
+    reach = 2 * len(q)
     step = max(piece, reach)
     found = []
-    for at in range(0, max(len(text), 1), step):
+    for at in range(0, max(len(t), 1), step):
         low = max(0, at - reach)
-        distance, start, end = fit(query, text[low : at + step])
-        found.append((distance, low + end, -low - start))
-    distance, end, start = min(found)
-    return distance, -start, end
+        distances = _distances(q, t[low : at + step], True)
+        end = int(distances.argmin())
+        found.append((int(distances[end]), low + end))
+    distance, end = min(found)
+    if distance / len(q) > most:
+        return distance, None, end
+    # the latest start is the least way back from the end at that distance
+    back = _distances(q[::-1], t[max(0, end - reach) : end][::-1], False)
+    return distance, end - int((back == distance).argmax()), end
 
 
 def status(distance: Column, length: Column, exact: Column) -> Column:
@@ -95,10 +114,10 @@ def on_items(sentences: DataFrame, candidates: DataFrame, keys: list[str]) -> Da
 
     @F.pandas_udf("distance int, start int, end int")
     def fitted(q: pd.Series, t: pd.Series) -> pd.DataFrame:
-        found = [fit_long(a, b) if a is not None else (None, None, None) for a, b in zip(q, t, strict=True)]
+        found = [fit_long(a, b, most=UNCERTAIN) if a is not None else (None, None, None) for a, b in zip(q, t, strict=True)]
         return pd.DataFrame(found, columns=["distance", "start", "end"], dtype="Int32")
 
-    # a row is fitted once, all in one pass: only where there is no exact hit
+    # a row is fitted once, all in one pass: only where there is no exact hit; what is lost has no start
     close = F.col("at") == 0
     rows = rows.withColumn("near", fitted(F.when(close, F.col("query")), F.when(close, F.col("norm.text"))))
     direct = F.struct(F.lit(0).alias("distance"), (F.col("at") - 1).alias("start"), (F.col("at") - 1 + F.col("length")).alias("end"))

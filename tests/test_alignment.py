@@ -1,6 +1,7 @@
 """Sentences on assembled items, against a plain version, and how many of all fitting pairs the candidates hold."""
 
 import random
+import time
 
 from pyspark.sql import Row
 
@@ -20,6 +21,19 @@ def plain_fit(query, text):
     return row[best][0], -row[best][1], best
 
 
+def test_long_texts_fit_quickly():
+    """A step of the fit takes all characters of the text as bits, not as numbers."""
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 9))) for _ in range(300)]
+    text = [rng.choice(words) for _ in range(20_000)]
+    query = " ".join([*text[9_000:9_030], "zz", *text[9_030:9_070]])
+    before = time.monotonic()
+    found = {alignment.fit_long(query, " ".join(text)) for _ in range(12)}
+    assert time.monotonic() - before < 2
+    start = len(" ".join(text[:9_000])) + 1
+    assert found == {(3, start, start + len(query) - 3)}
+
+
 def plain(sentence, items):
     """items: (page, index, text, eol), in order. White space runs are one space; that is all there is to normalise here."""
     query = " ".join(sentence.split())
