@@ -1,12 +1,18 @@
-"""Formulas among the text items of a sentence: signals of each unit, runs, trimming, kinds, and their places in the sentence's text. Built-in expressions only.
+"""Formulas among the text items of a sentence: signals of each unit, runs, trimming, kinds, and their places in the sentence's text.
 
-A sentence is a row with an array of units, the stretches of items that it covers; how long it is bounds every array here.
+A sentence is a row with an array of units, the stretches of items that it covers. The units of many sentences lie side by side in Arrow batches, where
+numpy goes over all of them at once, in slices; signals are told once for each different text of a slice.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,14 +27,14 @@ SUBSET_PREFIX = r"^[A-Z]{6}\+"
 MATH_SYMBOL = r"[\p{Sm}\p{IsGreek}]"
 GLUE = r"^[\s\d(),.;:|=+\-−*/^_'′″<>\[\]{}·]{0,3}$"
 MATH_WORD = r"(?i)^(log|ln|exp|max|min|arg|argmax|argmin|sin|cos|tan|softmax|lim|sup|inf|det|tr|dim)$"
-DASHES, DOTS = r"[‐‑‒–—−­]", r"[\x{00B7}\x{2022}\x{2219}\x{22C5}]"
-SENTENCE_PUNCTUATION, CLOSING, DIGITS, LETTERS = r"^[.,;:]+$", r"[)\]}]$", r"^[\d.,]+$", r"^\p{L}+$"
+SENTENCE_PUNCTUATION, DIGITS, CLOSED = r"^[.,;:]+$", r"^[\d.,]+$", (")", "]", "}")
 SCRIPT_HEIGHT, SCRIPT_BASELINE, BODY_HEIGHT, LINE_HEIGHT = 0.85, 0.08, 0.95, 1.5
-#: Units that are looked at before all on that side are.
-NEAR = 4
+#: Units that are gone over at once, but for a longer sentence, which is taken whole.
+SLICE = 1 << 18
 DETECTED, UNCERTAIN, NOT_IN_TEXT, FRAGMENTED = "detected", "math_uncertain", "not_in_sentence_text", "glyph_fragmented_sentence"
 SKIPS = ["single_variable", "single_symbol", "no_letter", "text_script"]
 
+FOUND = "struct<en: string, equations: array<struct<token: string, raw: string, status: string, warning: string, font: int, symbol: int, script: int, weak: int, items: array<struct<page: bigint, index: bigint>>>>, skipped: array<struct<kind: string, raw: string>>, warnings: array<string>>"
 UNITS = "array<struct<text: string, page: bigint, index: bigint, eol: boolean, height: double, baseline: double, font: string>>"
 
 
@@ -62,198 +68,259 @@ def gathered(units: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return units.groupBy(*keys).agg(F.transform(listed, lambda u: u["unit"]).cast(UNITS).alias("units"))
 
 
-def _some(array: Column) -> Column:
-    """No elements, of the array's type."""
-    return F.slice(array, 1, 0)
+def _pattern(java: str) -> re.Pattern:
+    """The pattern as Spark reads it: classes and case of ASCII, boundaries of words of all letters."""
+    return re.compile(java.replace(r"\b", r"(?u:\b)"), re.ASCII)
 
 
-def _matches(text: Column, pattern: str) -> Column:
-    return text.rlike(pattern)
+# ends are told by fullmatch(), or, in names of fonts, by a $ that also stands before other line ends than Python's
+_MATH_FONT, _ITALIC_FONT = (_pattern(p.replace("$", r"(?=(?:\r\n|(?<!\r)\n|[\r\x85\u2028\u2029])?\Z)")) for p in (MATH_FONT, ITALIC_FONT))
+_PREFIX, _GLUE, _MATH_WORD, _PUNCTUATION, _DIGITS = (_pattern(p.removesuffix("$")) for p in (SUBSET_PREFIX, GLUE, MATH_WORD, SENTENCE_PUNCTUATION, DIGITS))
+_SYMBOL, _WORD = (regex.compile(p) for p in (MATH_SYMBOL.replace("IsGreek", "Greek"), r"\p{L}{3,}"))
+_DROPPED, _SPACE = "\u00ad\u200b\u200c\u200d\ufeff", T.SPACES
+_GAP = f"[{_SPACE}{_DROPPED}]"
+# a hyphen at the end of a line, behind a letter and before a small one
+_BREAK, _HYPHEN = re.compile("[\n\r\u2028\u2029]"), regex.compile(rf"(?<=\p{{L}})([{_DROPPED}]*)[-\u2010\u00ad](?={_GAP}*[\n\r\u2028\u2029]){_GAP}+(?=\p{{Ll}})")
+_SPACES = re.compile(f"(?![{_DROPPED}])[{_SPACE}]{_GAP}*")
+#: Characters that normalising and plain() leave alone, in texts without two spaces in a row.
+_EVEN = re.compile("[\x20-\x7e\u00c0-\u024f\u0370-\u052f\u3041-\ud7a3]*")
+_INK, _LIGATURES, _DROP = str.maketrans("", "", _SPACE), str.maketrans(T.LIGATURES), str.maketrans("", "", _DROPPED)
+_SIGNS = str.maketrans({**dict.fromkeys("‐‑‒–—−\u00ad", "-"), **dict.fromkeys("\u00b7\u2022\u2219\u22c5", "·")})
 
 
-def _signals(u: Column) -> Column:
-    def counted(x: Column) -> Column:
-        words = F.regexp_count(x["t"], F.lit(r"\p{L}{3,}"))
-        letters = F.length(F.regexp_replace(x["t"], r"\P{L}+", ""))
-        return F.struct(x["t"].alias("t"), x["font"].alias("font"), words.alias("words"), letters.alias("letters"), F.length(x["t"]).alias("size"))
+def _even(text: str) -> bool:
+    return _EVEN.fullmatch(text) is not None and "  " not in text
 
-    def signs(x: Column) -> Column:
-        t, font = x["t"], x["font"]
-        return F.struct(
-            u["text"].alias("text"), t.alias("t"), u["page"].alias("page"), u["index"].alias("index"), u["eol"].alias("eol"), u["height"].alias("height"), u["baseline"].alias("baseline"),
-            _matches(font, MATH_FONT).alias("math"), _matches(font, ITALIC_FONT).alias("italic"), ((x["words"] == 0) & _matches(t, MATH_SYMBOL)).alias("symbol"), ((x["size"] == 1) & (x["letters"] > 0)).alias("glyph"),
-            (x["words"] >= 2).alias("prose"), (_matches(t, GLUE) | _matches(t, MATH_WORD)).alias("glue"), x["letters"].alias("letters"), x["size"].alias("size"),
-        )
 
-    font = F.regexp_replace(F.coalesce(u["font"], F.lit("")), SUBSET_PREFIX, "")
-    return let(let(F.struct(T.trimmed(u["text"]).alias("t"), font.alias("font")), counted), signs)
+def normalized(text: str) -> str:
+    """As T.normalized(): many normalised texts are needed here at once with their units."""
+    if _even(text):
+        return text
+    out = text.translate(_LIGATURES)
+    return _SPACES.sub(" ", _HYPHEN.sub(r"\1", out) if _BREAK.search(text) else out).translate(_DROP)
 
 
-def body_height(units: Column) -> Column:
-    """The height, in tenths, that most characters have, the larger of two; 0 without any."""
-    own = F.transform(F.filter(units, lambda u: (u["height"] > 0) & (u["t"] != "")), lambda u: F.struct((F.floor(u["height"] * 10 + 0.5) / 10).alias("h"), u["size"].alias("n")))
-    weighed = let(own, lambda o: F.transform(F.array_distinct(F.transform(o, lambda x: x["h"])), lambda h: F.struct(F.aggregate(F.filter(o, lambda x: x["h"] == h), F.lit(0), lambda n, x: n + x["n"]).alias("n"), h.alias("h"))))
-    return F.coalesce(F.array_max(weighed)["h"], F.lit(0.0))
-
-
-def _nearest(units: Column, i: Column, way: int, u: Column, body: Column) -> Column:
-    """The baseline of the unit of the text's height that is nearest to unit i, counted from 0, on this side, if nothing of another line is before it. way: -1 or 1."""
-    start = F.struct(F.lit(None).cast("double").alias("base"), F.lit(False).alias("stop"))
-
-    def step(s: Column, x: Column) -> Column:
-        line = (x["page"] == u["page"]) & (F.abs(x["baseline"] - u["baseline"]) < body * LINE_HEIGHT)
-        found = F.when(line & (x["height"] >= body * BODY_HEIGHT) & (x["t"] != ""), x["baseline"])
-        return F.when(s["stop"], s).otherwise(F.struct(found.alias("base"), (~line | found.isNotNull()).alias("stop")))
-
-    # the next few one by one, since a slice goes over all units; there is none beyond the ends, which neither is found nor stops
-    near = F.aggregate(F.array(*(F.lit(way * k) for k in range(1, NEAR + 1))), start, lambda s, k: F.when(s["stop"], s).otherwise(let(F.get(units, i + k), lambda x: step(s, x))))
-    side = F.reverse(F.slice(units, F.lit(1), i)) if way < 0 else F.slice(units, i + 2, F.size(units))
-    beyond = i > NEAR if way < 0 else i + NEAR + 1 < F.size(units)
-    return let(near, lambda s: F.when(~F.coalesce(s["stop"], F.lit(False)) & beyond, F.aggregate(side, start, step, lambda x: x["base"])).otherwise(s["base"]))
-
-
-def _with_scripts(units: Column) -> Column:
-    """Units with script, set off from the text's baseline in smaller letters; glue is neither that nor set in a font of mathematics."""
-
-    def marked(body: Column) -> Column:
-        def one(u: Column, i: Column) -> Column:
-            small = (body > 0) & (u["t"] != "") & (u["height"] > 0) & (u["height"] <= body * SCRIPT_HEIGHT)
-            base = F.coalesce(_nearest(units, i, -1, u, body), _nearest(units, i, 1, u, body))
-            script = F.when(small, F.coalesce(F.abs(u["baseline"] - base) >= body * SCRIPT_BASELINE, F.lit(False))).otherwise(False)
-            return let(script, lambda s: u.withField("script", s).withField("glue", u["glue"] & ~s & ~u["math"]))
-
-        return F.transform(units, one)
-
-    return let(body_height(units), marked)
-
-
-def _fragmented(units: Column) -> Column:
-    """Whether single letters are most of the sentence, as where every letter is an item."""
-    total = lambda us: F.aggregate(us, F.lit(0), lambda n, u: n + u["letters"])
-    text = F.filter(units, lambda u: ~u["glue"])
-    return let(text, lambda t: let(F.filter(t, lambda u: u["glyph"]), lambda g: (F.size(g) >= 4) & (2 * total(g) > total(t))))
-
-
-def runs(units: Column) -> Column:
-    """Stretches that begin with a strong or weak unit and go on with such and with glue."""
-    start = F.struct(F.array(_some(units)).alias("runs"), _some(units).alias("run"))
-
-    def step(s: Column, u: Column) -> Column:
-        begins, open_ = u["strong"] | u["weak"], F.size(s["run"]) > 0
-        on = F.when(open_, begins | u["glue"]).otherwise(begins)
-        return F.struct(F.when(open_ & ~on, F.concat(s["runs"], F.array(s["run"]))).otherwise(s["runs"]).alias("runs"), F.when(on, F.concat(s["run"], F.array(u))).otherwise(_some(s["run"])).alias("run"))
-
-    return F.filter(F.aggregate(units, start, step, lambda s: F.concat(s["runs"], F.array(s["run"]))), lambda r: F.size(r) > 0)
-
-
-def balance(units: Column) -> Column:
-    """Brackets that are opened and not closed."""
-    return F.aggregate(units, F.lit(0), lambda n, u: n + F.regexp_count(u["t"], F.lit(r"[(\[{]")) - F.regexp_count(u["t"], F.lit(r"[)\]}]")))
-
-
-def without_trailing_glue(run: Column) -> Column:
-    """Without punctuation, blanks and glue at the end, but for brackets that close what the run opened, and numbers behind a symbol."""
-    start = F.struct(run.alias("run"), F.lit(False).alias("done"))
-
-    def step(s: Column, _: Column) -> Column:
-        def last(u: Column) -> Column:
-            rest = F.slice(s["run"], F.lit(1), F.size(s["run"]) - 1)
-            before = F.try_element_at(F.filter(rest, lambda x: x["t"] != ""), F.lit(-1))
-            free = _matches(u["t"], SENTENCE_PUNCTUATION) | (u["t"] == "")
-            bound = F.when(_matches(u["t"], CLOSING), balance(rest) > 0).when(_matches(u["t"], DIGITS), F.coalesce(before["symbol"] | before["math"] | before["script"], F.lit(False))).otherwise(False)
-            return let(~free & (~u["glue"] | bound), lambda stay: F.struct(F.when(stay, s["run"]).otherwise(rest).alias("run"), stay.alias("done")))
-
-        return F.when(s["done"], s).otherwise(let(F.element_at(s["run"], -1), last))
-
-    return F.aggregate(F.sequence(F.lit(1), F.size(run)), start, step, lambda s: s["run"])
-
-
-def joined(run: Column) -> Column:
-    """The run's text; a space where a line or page ends, or items are left out."""
-    start = F.struct(F.lit("").alias("out"), F.lit(None).cast("boolean").alias("eol"), F.lit(None).cast("bigint").alias("page"), F.lit(None).cast("bigint").alias("index"))
-
-    def step(s: Column, u: Column) -> Column:
-        gap = F.when(s["eol"] | (s["page"] != u["page"]) | (u["index"] != s["index"] + 1), " ").otherwise("")
-        return F.struct(F.concat(s["out"], gap, u["text"]).alias("out"), u["eol"].alias("eol"), u["page"].alias("page"), u["index"].alias("index"))
-
-    return T.trimmed(F.aggregate(run, start, step, lambda s: s["out"]))
-
-
-def _plain(text: Column) -> Column:
+def plain(text: str) -> str:
     """Normalised, with dashes and dots as one each. It has no other white space than single spaces."""
-    return F.regexp_replace(F.regexp_replace(T.normalized(text), DASHES, "-"), DOTS, "·")
-
-
-def folded(text: Column) -> Column:
-    """struct<text, map>: normalised without white space, dashes and dots as one each, and how many spaces are before each character in the normalised text."""
-    words = lambda p: F.flatten(F.transform(F.split(p, " ", -1), lambda word, i: F.array_repeat(i, F.length(word))))
-    return let(_plain(text), lambda p: F.struct(F.replace(p, F.lit(" "), F.lit("")).alias("text"), words(p).alias("map")))
-
-
-def _candidate(run: Column) -> Column:
-    """Text, signals, and the kind for which a run isn't taken as a formula."""
-    strong = F.filter(run, lambda u: u["strong"])
-    count = lambda units, field: F.size(F.filter(units, lambda u: u[field]))
-    content = F.filter(run, lambda u: ~u["glue"])
-    raw = joined(run)
-
-    def judged(x: Column) -> Column:
-        compact = T.squeeze(x["raw"])
-        letter = compact.rlike(r"\p{L}")
-        only_script = (x["script"] > 0) & (x["font"] == 0) & (x["symbol"] == 0)
-        words = F.forall(content, lambda u: ~u["math"] & F.when(_matches(u["t"], LETTERS), u["size"] >= 2).otherwise(_matches(u["t"], DIGITS)))
-        skip = F.when(only_script & words, "text_script").when((F.length(compact) == 1) & letter, "single_variable").when(F.length(compact) == 1, "single_symbol").when(~letter, "no_letter")
-        kinds = sum((F.when(x[c] > 0, 1).otherwise(0) for c in ("font", "symbol", "script")), F.lit(0))
-        status = F.when((kinds >= 2) | (x["font"] >= 2), DETECTED).otherwise(UNCERTAIN)
-        return F.struct(*(x[c].alias(c) for c in ("raw", "font", "symbol", "script", "weak")), skip.alias("skip"), status.alias("status"), F.transform(run, lambda u: F.struct(u["page"].alias("page"), u["index"].alias("index"))).alias("items"))
-
-    weak = F.size(F.filter(run, lambda u: ~u["strong"] & u["weak"]))
-    return let(F.struct(raw.alias("raw"), count(strong, "math").alias("font"), count(strong, "symbol").alias("symbol"), count(strong, "script").alias("script"), weak.alias("weak")), judged)
-
-
-def _placed(found: Column, text: Column) -> Column:
-    """Formulas with their token and place, each sought behind the one before; the text with tokens in their places."""
-
-    def put(f: Column) -> Column:
-        start = F.struct(F.lit(0).alias("cursor"), F.lit(0).alias("upto"), F.lit("").alias("out"), F.filter(F.transform(found, lambda x: x.withField("token", F.lit("")).withField("warning", F.lit(None).cast("string"))), lambda x: F.lit(False)).alias("done"))
-
-        def step(s: Column, x: Column) -> Column:
-            key = F.replace(_plain(x["raw"]), F.lit(" "), F.lit(""))
-            token = F.concat(F.lit("[EQ_"), (F.size(s["done"]) + 1).cast("string"), F.lit("]"))
-
-            def at(p: Column) -> Column:
-                hit = (p["at"] > 0) & (p["size"] > 0)
-                first, last = p["at"] - 1, p["at"] + p["size"] - 2
-                low, high = first + F.get(f["map"], first), last + F.get(f["map"], last) + 1
-                own = x.withField("token", token).withField("warning", F.when(~hit, NOT_IN_TEXT)).withField("status", F.when(hit, x["status"]).otherwise(UNCERTAIN))
-                return F.struct(
-                    F.when(hit, p["at"] + p["size"] - 1).otherwise(s["cursor"]).alias("cursor"), F.when(hit, high).otherwise(s["upto"]).alias("upto"),
-                    F.when(hit, F.concat(s["out"], F.substring(text, s["upto"] + 1, low - s["upto"]), token)).otherwise(s["out"]).alias("out"), F.concat(s["done"], F.array(own)).alias("done"),
-                )
-
-            return let(key, lambda k: let(F.struct(F.when(F.length(k) > 0, F.position(k, f["text"], s["cursor"] + 1)).otherwise(0).alias("at"), F.length(k).alias("size")), at))
-
-        return F.aggregate(found, start, step, lambda s: F.struct(F.concat(s["out"], F.substring(text, s["upto"] + 1, F.length(text))).alias("en"), s["done"].alias("equations")))
-
-    return let(folded(text), put)
+    return text if _even(text) else normalized(text).translate(_SIGNS)
+
+
+#: What is told of a unit's text: characters, letters, words of three letters, other characters than white space, brackets opened less those closed, and flags.
+_TOLD = ("size", "letters", "words", "ink", "open", "symbol", "glue", "free", "closing", "digits", "lettered")
+
+
+def _told(text: str | None) -> tuple[int, ...]:
+    if text is None:
+        return 0, 0, 2, 0, 0, 0, 0, 0, 0, 0, 0  # neither begins a run nor continues one
+    t = text.strip(T.SPACES)
+    size = len(t)
+    if t.isalpha():
+        return size, size, size > 2, size, 0, size < 3 and _SYMBOL.search(t) is not None, _MATH_WORD.fullmatch(t) is not None, 0, 0, 0, 1
+    body = t.removesuffix("\x85")  # the only line end left, before which Spark's $ also stands
+    letters = sum(map(str.isalpha, t))
+    ink = size if " " not in t and t.isprintable() else len(t.translate(_INK))
+    opened = t.count("(") + t.count("[") + t.count("{") - t.count(")") - t.count("]") - t.count("}")
+    if letters:
+        words = int(letters > 2) if t[:letters].isalpha() else len(_WORD.findall(t))
+        return size, letters, words, ink, opened, not words and _SYMBOL.search(t) is not None, body.isalpha() and _MATH_WORD.fullmatch(body) is not None, 0, body[-1:] in CLOSED, 0, body.isalpha()
+    return size, 0, 0, ink, opened, _SYMBOL.search(t) is not None, _GLUE.fullmatch(body) is not None, not t or _PUNCTUATION.fullmatch(body) is not None, body[-1:] in CLOSED, _DIGITS.fullmatch(body) is not None, 0
+
+
+def _sums(values: np.ndarray) -> np.ndarray:
+    """Sums of all values before each place."""
+    return np.concatenate([[0], np.cumsum(values, dtype=np.int64)])
+
+
+def body_heights(sentence: np.ndarray, height: np.ndarray, size: np.ndarray, n: int) -> np.ndarray:
+    """For each of n sentences the height, in tenths, that most characters have, the larger of two; 0 without any."""
+    own = np.flatnonzero((height > 0) & (size > 0))
+    tenths, code = np.unique(np.floor(height[own] * 10 + 0.5), return_inverse=True)
+    groups, of = np.unique(sentence[own] * max(len(tenths), 1) + code, return_inverse=True)
+    weight = np.bincount(of, size[own], len(groups))
+    at, code = np.divmod(groups, max(len(tenths), 1))
+    order = np.lexsort((code, weight, at))
+    body = np.zeros(n)
+    body[at[order]] = tenths[code[order]] / 10  # the last of a sentence stays
+    return body
+
+
+def _nearest(small: np.ndarray, way: int, u: dict[str, np.ndarray]) -> np.ndarray:
+    """The baseline of the unit of the text's height that is nearest to each of the small units, if nothing of another line is before it; NaN without. way: -1 or 1."""
+    base, left, at = np.full(len(small), np.nan), np.arange(len(small)), small
+    while len(left):
+        at = at + way
+        inside = (at >= u["first"][small[left]]) & (at < u["behind"][small[left]])
+        left, at = left[inside], at[inside]
+        own = small[left]
+        off, known = np.abs(u["baseline"][at] - u["baseline"][own]), u["paged"][at] & u["paged"][own]
+        same, most = u["page"][at] == u["page"][own], u["body"][own] * LINE_HEIGHT
+        found = known & same & (off < most) & u["tall"][at]
+        base[left[found]] = u["baseline"][at[found]]
+        on = ~(found | known & ~same | (off >= most))
+        left, at = left[on], at[on]
+    return base
+
+
+def runs(begins: np.ndarray, glue: np.ndarray, first: np.ndarray, behind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First units, and those behind the last, of the stretches that begin with a unit that may and go on with such and with glue."""
+    on, place = begins | glue, np.arange(len(begins))
+    start = np.flatnonzero(on & ((place == first) | ~np.concatenate([[False], on[:-1]])))
+    end = np.flatnonzero(on & ((place + 1 == behind) | ~np.concatenate([on[1:], [False]]))) + 1
+    able = np.concatenate([np.flatnonzero(begins), [len(begins)]])
+    low = able[np.searchsorted(able, start)]
+    return low[low < end], end[low < end]
+
+
+def without_trailing_glue(low: np.ndarray, high: np.ndarray, u: dict[str, np.ndarray]) -> np.ndarray:
+    """Where runs end without punctuation, blanks and glue, but for brackets that close what the run opened, and numbers behind a symbol."""
+    high, opened = high.copy(), _sums(u["open"])
+    before = np.concatenate([[-1], np.maximum.accumulate(np.where(u["size"] > 0, np.arange(len(u["size"])), -1))])
+    sign = u["symbol"] | u["math"] | u["script"]
+    left = np.arange(len(low))
+    while len(left):
+        last, begin = high[left] - 1, low[left]
+        behind = before[last]
+        bound = np.where(u["closing"][last], opened[last] > opened[begin], u["digits"][last] & (behind >= begin) & sign[behind])
+        stays = ~u["free"][last] & (~u["glue"][last] | bound)
+        left = left[~stays]
+        high[left] -= 1
+        left = left[high[left] > low[left]]
+    return high
+
+
+def placed(text: str | None, raws: list[str]) -> tuple[str | None, list[bool | None]]:
+    """The normalised text with tokens in the places of the formulas, each sought behind the one before, without white space and with dashes and dots as one each; and which were found."""
+    if text is None:
+        return None, [None] * len(raws)
+    norm = normalized(text)
+    own = plain(norm)
+    flat, places = own.replace(" ", ""), np.flatnonzero(np.frombuffer(own.encode("utf-32-le"), np.uint32) != 32)
+    out, hits, cursor, upto = [], [], 0, 0
+    for k, raw in enumerate(raws, 1):
+        sought = plain(raw).replace(" ", "")
+        at = flat.find(sought, cursor) if sought else -1
+        hits.append(at >= 0)
+        if at >= 0:
+            cursor = at + len(sought)
+            out += [norm[upto : int(places[at])], f"[EQ_{k}]"]
+            upto = int(places[cursor - 1]) + 1
+    return "".join([*out, norm[upto:]]), hits
+
+
+def _strings(kinds: list[str | None], which: np.ndarray) -> pa.Array:
+    return pa.array(kinds, pa.string()).take(pa.array(which))
+
+
+def _listed(values: pa.Array, counts: np.ndarray, missing: pa.Array | None = None) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(_sums(counts).astype(np.int32)), values, mask=missing)
+
+
+def _slice(text: pa.Array, units: pa.ListArray) -> pa.StructArray:
+    n, counts = len(units), pc.list_value_length(units).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    value, page, index, eol, height, baseline, font = units.flatten().flatten()
+    ends, sentence = _sums(counts), np.repeat(np.arange(n), counts)
+    values, fonts = value.dictionary_encode("encode"), font.dictionary_encode("encode")
+    words, code = values.dictionary.to_pylist(), values.indices.to_numpy(zero_copy_only=False)
+    told = np.array([_told(w) for w in words], np.int32).reshape(-1, len(_TOLD))
+    u = {name: told[:, k][code] for k, name in enumerate(_TOLD)}
+    u |= {name: u[name] > 0 for name in _TOLD[5:]}
+    names = [_PREFIX.sub("", f or "", count=1) for f in fonts.dictionary.to_pylist()]
+    of = fonts.indices.to_numpy(zero_copy_only=False)
+    u["math"], italic = (np.array([p.search(f) is not None for f in names], bool)[of] for p in (_MATH_FONT, _ITALIC_FONT))
+    number = lambda a: a.fill_null(0).to_numpy(zero_copy_only=False)
+    u["page"], u["paged"], number_of, numbered = number(page), page.is_valid().to_numpy(zero_copy_only=False), number(index), index.is_valid().to_numpy(zero_copy_only=False)
+    height, u["baseline"] = (a.to_numpy(zero_copy_only=False).astype(float) for a in (height, baseline))
+    u["first"], u["behind"] = ends[:-1][sentence], ends[1:][sentence]
+
+    # set off from the text's baseline in smaller letters; glue is neither that nor set in a font of mathematics
+    u["body"] = body_heights(sentence, height, u["size"], n)[sentence]
+    full = u["size"] > 0
+    u["tall"] = full & (height >= u["body"] * BODY_HEIGHT)
+    small = np.flatnonzero((u["body"] > 0) & full & (height > 0) & (height <= u["body"] * SCRIPT_HEIGHT))
+    base = _nearest(small, -1, u)
+    lost = np.isnan(base)
+    base[lost] = _nearest(small[lost], 1, u)
+    u["script"] = np.zeros(len(full), bool)
+    u["script"][small] = np.abs(u["baseline"][small] - base) >= u["body"][small] * SCRIPT_BASELINE
+    u["glue"] &= ~u["script"] & ~u["math"]
+
+    # whether single letters are most of the sentence, as where every letter is an item
+    glyph, total = (u["size"] == 1) & (u["letters"] > 0), lambda x: np.diff(_sums(x)[ends])
+    single = glyph & ~u["glue"]
+    broken = (total(single) >= 4) & (2 * total(u["letters"] * single) > total(u["letters"] * ~u["glue"]))
+    prose = u["words"] >= 2
+    strong = ~prose & (u["math"] | u["symbol"] | u["script"])
+    weak = ~prose & ~u["glue"] & ~broken[sentence] & (glyph | italic & (u["size"] <= 2) & (u["letters"] > 0))
+    low, high = runs(strong | weak, u["glue"], u["first"], u["behind"])
+    high = without_trailing_glue(low, high, u)
+
+    def within(x: np.ndarray) -> np.ndarray:
+        sums = _sums(x)
+        return sums[high] - sums[low]
+
+    enough = (within(strong) > 0) | (within(weak) >= 2)
+    low, high = low[enough], high[enough]
+    of_font, symbol, script, rest = (within(x).astype(np.int32) for x in (strong & u["math"], strong & u["symbol"], strong & u["script"], ~strong & weak))
+    word = ~u["math"] & np.where(u["lettered"], u["size"] >= 2, u["digits"])
+    ink, letter = within(u["ink"]), within(u["letters"]) > 0
+    worded = (script > 0) & (of_font == 0) & (symbol == 0) & (within(~u["glue"] & ~word) == 0)
+    skip = np.select([worded, (ink == 1) & letter, ink == 1, ~letter], [SKIPS.index(k) for k in ("text_script", "single_variable", "single_symbol", "no_letter")], -1)
+
+    # a space where a line or page ends, or items are left out
+    ended = eol.fill_null(False).to_numpy(zero_copy_only=False)[:-1] | u["paged"][:-1] & u["paged"][1:] & (u["page"][:-1] != u["page"][1:]) | numbered[:-1] & numbered[1:] & (number_of[:-1] + 1 != number_of[1:])
+    parted = np.concatenate([[False], ended])[: len(full)]
+    raws = []
+    for a, b in zip(low.tolist(), high.tolist(), strict=True):
+        raw = words[code[a]]
+        for k in range(a + 1, b):
+            raw += " " + words[code[k]] if parted[k] else words[code[k]]
+        raws.append(raw.strip(T.SPACES))
+
+    taken, owner = skip < 0, sentence[low]
+    equations, skips = np.bincount(owner[taken], minlength=n), np.bincount(owner[~taken], minlength=n)
+    own = [r for r, t in zip(raws, taken.tolist(), strict=True) if t]
+    texts, hits, upto = [], [], _sums(equations).tolist()
+    for k, t in enumerate(text.to_pylist()):
+        en, found = placed(t, own[upto[k] : upto[k + 1]]) if t is None or upto[k] < upto[k + 1] else (normalized(t), [])
+        texts.append(en)
+        hits += found
+    missing = units.is_null()
+    hit = np.array([h is True for h in hits], bool)
+    sure = hit & ((np.sum([x[taken] > 0 for x in (of_font, symbol, script)], axis=0) >= 2) | (of_font[taken] >= 2))
+    nth = np.arange(len(own)) - np.repeat(_sums(equations)[:-1], equations) + 1
+    sizes = (high - low)[taken]
+    items = pa.array(np.arange(sizes.sum()) - np.repeat(_sums(sizes)[:-1], sizes) + np.repeat(low[taken], sizes))
+    fields = {
+        "token": pa.array([f"[EQ_{k}]" for k in nth.tolist()], pa.string()), "raw": pa.array(own, pa.string()), "status": _strings([UNCERTAIN, DETECTED], sure.astype(int)), "warning": _strings([None, NOT_IN_TEXT], np.array([h is False for h in hits], int)),
+        **{name: pa.array(x[taken]) for name, x in (("font", of_font), ("symbol", symbol), ("script", script), ("weak", rest))}, "items": _listed(pa.StructArray.from_arrays([page.take(items), index.take(items)], ["page", "index"]), sizes),
+    }
+    left_out = {"kind": _strings(SKIPS, skip[~taken]), "raw": pa.array([r for r, t in zip(raws, taken.tolist(), strict=True) if not t], pa.string())}
+    out = {
+        "en": pc.if_else(missing, pa.scalar(None, pa.string()), pa.array(texts, pa.string())), "equations": _listed(pa.StructArray.from_arrays(list(fields.values()), list(fields)), equations, missing),
+        "skipped": _listed(pa.StructArray.from_arrays(list(left_out.values()), list(left_out)), skips, missing), "warnings": _listed(pa.array([FRAGMENTED] * int(broken.sum()), pa.string()), broken.astype(int)),
+    }
+    return pa.StructArray.from_arrays(list(out.values()), list(out))
+
+
+def formulas(text: Column, units: Column) -> Column:
+    """FOUND of the text of each sentence and its units."""
+
+    @F.arrow_udf(FOUND)
+    def run(text: pa.Array, units: pa.Array) -> pa.Array:
+        ends = np.cumsum(pc.list_value_length(units).fill_null(0).to_numpy(zero_copy_only=False))
+        parts, at = [], 0
+        while at < len(units):
+            upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE, "right")))
+            parts.append(_slice(text.slice(at, upto - at), units.slice(at, upto - at)))
+            at = upto
+        return pa.concat_arrays(parts) if parts else _slice(text, units)
+
+    return run(text, units)
 
 
 def detected(sentences: DataFrame, text: str = "text", units: str = "units") -> DataFrame:
     """The sentences with en, the normalised text with [EQ_n] for each formula found in it, equations (token, raw, status, warning, signals, items), skipped and warnings. units: of type UNITS, in order."""
-    scripts = _with_scripts(F.col("_signals"))
-    rows = sentences.withColumn("_signals", F.transform(units, _signals)).withColumn("_scripts", scripts).withColumn("_fragmented", _fragmented(F.col("_scripts")))
-    strong = lambda u: ~u["prose"] & (u["math"] | u["symbol"] | u["script"])
-    weak = lambda u, whole: ~u["prose"] & ~u["glue"] & whole & (u["glyph"] | (u["italic"] & (u["size"] <= 2) & (u["letters"] > 0)))
-    # within let, whether it is broken is told once for the sentence, also where Spark moves the column in here
-    marked = let(~F.col("_fragmented"), lambda whole: F.transform("_scripts", lambda u: u.withField("strong", strong(u)).withField("weak", weak(u, whole))))
-    trimmed = let(marked, lambda m: F.transform(runs(m), without_trailing_glue))
-    enough = F.filter(trimmed, lambda r: F.exists(r, lambda u: u["strong"]) | (F.size(F.filter(r, lambda u: u["weak"])) >= 2))
-    rows = rows.withColumn("_found", F.transform(enough, _candidate)).withColumn("_norm", T.normalized(text))
-    rows = rows.withColumn("_placed", _placed(F.filter("_found", lambda x: x["skip"].isNull()), F.col("_norm")))
-    skipped = F.transform(F.filter("_found", lambda x: x["skip"].isNotNull()), lambda x: F.struct(x["skip"].alias("kind"), x["raw"].alias("raw")))
-    equations = F.transform("_placed.equations", lambda x: F.struct(*(x[c].alias(c) for c in ("token", "raw", "status", "warning", "font", "symbol", "script", "weak", "items"))))
-    warnings = F.array_compact(F.array(F.when(F.col("_fragmented"), FRAGMENTED)))
-    return rows.select(*sentences.columns, F.col("_placed.en").alias("en"), equations.alias("equations"), skipped.alias("skipped"), warnings.alias("warnings"))
+    return sentences.withColumn("_found", formulas(F.col(text), F.col(units))).select(*sentences.columns, "_found.*")
 
 
 def statistics(found: DataFrame, keys: list[str]) -> DataFrame:

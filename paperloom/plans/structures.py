@@ -294,7 +294,8 @@ def _unit_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         }
         return F.struct(*(v.alias(k) for k, v in fields.items()))
 
-    return lines.select("doc_id", "pos", "text", F.transform(words, lambda w, i: equations.let(F.crc32(w), lambda h: unit(w, i, h))).cast(equations.UNITS).alias("units"))
+    summed = F.transform(words, lambda w: F.struct(w.alias("w"), F.crc32(w).alias("h")))
+    return lines.select("doc_id", "pos", "text", F.transform(summed, lambda x, i: unit(x["w"], i, x["h"])).alias("units"))
 
 
 @query()

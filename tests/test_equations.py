@@ -6,6 +6,7 @@ import time
 import regex
 from pyspark.sql import functions as F
 
+from paperloom.functions import text as T
 from paperloom.operators import equations as eq
 from paperloom.plans import structures
 
@@ -156,6 +157,30 @@ def test_statistics_of_a_long_sentence(spark):
     assert found["sentences"] == 1 and found["equations"] + sum(found[k] for k in eq.SKIPS) > 1000
 
 
+def test_many_sentences_are_gone_over_at_once(spark):
+    """One task goes over 400,000 units in seconds, and finds in each sentence what it finds in one."""
+    word = "element_at(array('α', 'f(x)', 'word', 'of', 'a–b', '=', 'other words', '2.5', 'x'), cast(1 + (id + i) % 9 AS int))"
+    unit = f"struct({word} AS text, 1L AS page, i AS index, false AS eol, if((id + i) % 7 = 0, 6.5d, 10d) AS height, if(i % 7 = 0, 97d, 100d) AS baseline, if(i % 13 = 0, 'CMMI10', 'Times') AS font)"
+    rows = spark.range(0, 10_000, 1, 1).selectExpr("id", "sequence(0L, 39L) AS n").selectExpr("id", f"array_join(transform(n, i -> {word}), ' ') AS text", f"transform(n, i -> {unit}) AS units")
+    few = {r.id % 63: shaped(r) for r in eq.detected(rows.where("id < 63")).collect()}
+    before = time.monotonic()
+    many = eq.statistics(eq.detected(rows).withColumn("g", F.col("id") % 63), ["g"]).collect()
+    assert time.monotonic() - before < 7
+    for r in many:
+        _, found, skipped, _ = few[r.g]
+        assert (r.equations, sum(r[k] for k in eq.SKIPS)) == (r.sentences * len(found), r.sentences * len(skipped))
+
+
+def test_normalized(spark):
+    """Texts are normalised as by the built-in expressions, by a row and by a batch."""
+    rng = random.Random(5)
+    parts = ["word", "co-", "\u2010", "-\n", "\n", "\r", "\u2028", "  ", "\t", "\x85", "\x1c", "\u00a0", "\u00ad", "\u200b", "\ufeff", "\u3000", "ﬁ", "ﬃ", "é", "B", "b", "–", "−", "·", "•", "中"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(12))) for _ in range(3000)]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").select("text", T.normalized("text").alias("norm")).collect()
+    assert [eq.normalized(r.text) for r in rows] == [r.norm for r in rows]
+    assert eq.plain("co-\nop  ﬁ–ne •") == "coop fi-ne ·"
+
+
 def test_span_units(spark):
     """One shuffle; spans of unknown items are left out, fonts that aren't known or have no name are null."""
     items = spark.createDataFrame([("a", 0, 0, "word", False, 1.0, 2.0, "f0"), ("a", 0, 1, "x", True, 1.0, 2.0, "f1"), ("b", 0, 0, "other", None, 3.0, 2.0, None), ("b", 1, 0, "é😀z", False, 3.0, 2.0, "f0")], "doc string, page long, index long, text string, eol boolean, height double, baseline double, font_name string")
