@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import normalized
 from .assembly import placed
-from .normalize import norm_range, normalized_with_map, raw_range
+from .normalize import norm_range, normalized_with_map, raw_range, segments
 
 #: The edits a character of the passage that are at most certain, and at most uncertain; why a passage has no place, or several.
 MAPPED, UNCERTAIN = 0.1, 0.35
@@ -26,7 +26,8 @@ def _distances(query: np.ndarray, text: np.ndarray, free: bool) -> np.ndarray:
     Myers' bit vectors, along the text: a bit for each of its characters, whose neighbours differ by one at most, and a step for each of the query's.
     """
     n, m = len(text), len(query)
-    at = {c: int.from_bytes(np.packbits(text == c, bitorder="little").tobytes(), "little") for c in set(query.tolist())}
+    chars = np.unique(query)
+    at = {c: int.from_bytes(bits.tobytes(), "little") for c, bits in zip(chars.tolist(), np.packbits(text == chars[:, None], axis=1, bitorder="little"), strict=True)}
     full = (1 << n) - 1
     up, down = 0 if free else full, 0
     for c in query.tolist():
@@ -97,6 +98,12 @@ def aligned(pairs: DataFrame, query: str, text: str, most_cells: int | None = 20
     return both.select(*rows.columns, "fit.distance", "fit.start", "fit.end", done.alias("status"))
 
 
+def _found(query: str, text: str) -> tuple[bool, bool, int, int | None, int]:
+    """Whether the text holds the query as it is, and more than once; distance, start and end of where it fits."""
+    at = text.find(query)
+    return (True, text.find(query, at + 1) >= 0, 0, at, at + len(query)) if at >= 0 else (False, False, *fit_long(query, text, most=UNCERTAIN))
+
+
 def on_items(sentences: DataFrame, candidates: DataFrame, keys: list[str]) -> DataFrame:
     """Sentences fitted into their candidate items put together: status, reason, confidence, distance, length, exact, matched_start and matched_end, and the spans of items.
 
@@ -104,37 +111,37 @@ def on_items(sentences: DataFrame, candidates: DataFrame, keys: list[str]) -> Da
     normalised text, spans have places in each item's own text and in its normalised text. An exact hit is taken as it is, and is uncertain if there is
     another; else the least edit distance decides. There is no limit of size: long texts are fitted piece by piece. Places count code points.
     """
-    items = placed(candidates, keys)
-    listed = F.array_sort(F.collect_list(F.struct("page", "index", "text", "separator", "raw_start", "raw_end"))).alias("items")
-    texts = items.groupBy(*keys).agg(listed).withColumn("raw", F.array_join(F.transform("items", lambda i: F.concat(i["separator"], i["text"])), "")).withColumn("norm", normalized_with_map(F.col("raw")))
-    rows = sentences.select(*keys, F.trim(normalized(F.coalesce("sentence", F.lit("")))).alias("query")).join(texts, keys, "left")
-    rows = rows.withColumn("length", F.length("query"))
-    first = F.instr("norm.text", F.col("query"))
-    rows = rows.withColumn("at", F.when((F.col("length") > 0) & F.col("raw").isNotNull(), first).otherwise(-1))
+    places = F.struct("page", "index", "raw_start", "raw_end", F.concat("separator", "text").alias("part"))
+    texts = placed(candidates, keys).groupBy(*keys).agg(F.array_sort(F.collect_list(places)).alias("items"))
+    # what the items say is in the text; their places alone go on with it
+    texts = texts.select(*keys, F.array_join(F.transform("items", lambda i: i["part"]), "").alias("raw"), F.transform("items", lambda i: F.struct(*(i[c].alias(c) for c in ("page", "index", "raw_start", "raw_end")))).alias("items"))
+    rows = sentences.select(*keys, F.trim(normalized(F.coalesce("sentence", F.lit("")))).alias("query")).join(texts, keys, "left").withColumn("length", F.length("query"))
 
-    @F.pandas_udf("distance int, start int, end int")
+    @F.pandas_udf("exact boolean, twice boolean, distance int, start int, end int")
     def fitted(q: pd.Series, t: pd.Series) -> pd.DataFrame:
-        found = [fit_long(a, b, most=UNCERTAIN) if a is not None else (None, None, None) for a, b in zip(q, t, strict=True)]
-        return pd.DataFrame(found, columns=["distance", "start", "end"], dtype="Int32")
-
-    # a row is fitted once, all in one pass: only where there is no exact hit; what is lost has no start
-    close = F.col("at") == 0
-    rows = rows.withColumn("near", fitted(F.when(close, F.col("query")), F.when(close, F.col("norm.text"))))
-    direct = F.struct(F.lit(0).alias("distance"), (F.col("at") - 1).alias("start"), (F.col("at") - 1 + F.col("length")).alias("end"))
-    rows = rows.withColumn("fit", F.when(F.col("at") > 0, direct).when(close, F.col("near"))).withColumn("twice", (F.col("at") > 0) & (F.position(F.col("query"), F.col("norm.text"), F.col("at") + 1) > 0))
+        found = [_found(a, segments(b)[0]) if a is not None else (None,) * 5 for a, b in zip(q, t, strict=True)]
+        return pd.DataFrame(found, columns=["exact", "twice", "distance", "start", "end"]).astype({"exact": "boolean", "twice": "boolean", "distance": "Int32", "start": "Int32", "end": "Int32"})
+
+    # a row is normalised, searched and fitted once, all in one pass; what is lost has no start, and is not mapped back
+    asked = (F.col("length") > 0) & F.col("raw").isNotNull()
+    rows = rows.withColumn("fit", fitted(F.when(asked, F.col("query")), F.when(asked, F.col("raw"))))
+    exact, twice = (F.coalesce(f"fit.{c}", F.lit(False)) for c in ("exact", "twice"))
     ratio = F.col("fit.distance") / F.col("length")
-    reason = F.when(F.col("length") == 0, EMPTY).when(F.col("raw").isNull(), NO_CANDIDATES).when(ratio > UNCERTAIN, OVER).when(F.col("twice"), AMBIGUOUS)
+    reason = F.when(F.col("length") == 0, EMPTY).when(F.col("raw").isNull(), NO_CANDIDATES).when(ratio > UNCERTAIN, OVER).when(twice, AMBIGUOUS)
     found = rows.withColumn("reason", reason)
     lost = F.coalesce(F.col("reason").isin(EMPTY, NO_CANDIDATES, OVER), F.lit(False))
-    part = raw_range(F.col("norm.segments"), F.col("fit.start"), F.col("fit.end"))
     found = found.select(
-        *keys, "length", "reason", (F.col("at") > 0).alias("exact"), F.coalesce("fit.distance", "length").alias("distance"),
-        F.when(lost, "unmapped").when(F.col("twice") | (ratio > MAPPED), "uncertain").otherwise("mapped").alias("status"),
-        F.when(lost, 0.0).when(F.col("twice"), 0.5).otherwise(1 - ratio).alias("confidence"),
-        F.when(~lost, F.col("fit.start")).alias("matched_start"), F.when(~lost, F.col("fit.end")).alias("matched_end"), "items", F.when(~lost, part).alias("raw"),
+        *keys, "length", "reason", exact.alias("exact"), F.coalesce("fit.distance", "length").alias("distance"),
+        F.when(lost, "unmapped").when(twice | (ratio > MAPPED), "uncertain").otherwise("mapped").alias("status"),
+        F.when(lost, 0.0).when(twice, 0.5).otherwise(1 - ratio).alias("confidence"),
+        F.when(~lost, F.col("fit.start")).alias("matched_start"), F.when(~lost, F.col("fit.end")).alias("matched_end"), F.when(~lost, F.col("items")).alias("items"), F.when(~lost, F.col("raw")).alias("text"),
     )
-    fields = [c for c in found.columns if c not in ("items", "raw", *keys)]
+    fields = [c for c in found.columns if c not in ("items", "text", *keys)]
+    found = found.withColumn("map", normalized_with_map(F.col("text")))
+    found = found.withColumn("raw", F.when(F.col("text").isNotNull(), raw_range(F.col("map.segments"), F.col("matched_start"), F.col("matched_end"))))
+    own = F.struct(*(F.col(f"item.{c}").alias(c) for c in ("page", "index", "raw_start", "raw_end")), F.substring("text", (F.col("item.raw_start") + 1).cast("int"), (F.col("item.raw_end") - F.col("item.raw_start")).cast("int")).alias("text"))
     met = found.withColumn("item", F.explode_outer(F.filter("items", lambda i: F.col("raw").isNotNull() & (F.least("raw.end", i["raw_end"]) > F.greatest("raw.start", i["raw_start"])))))
+    met = met.withColumn("item", F.when(F.col("item").isNotNull(), own))
     low, high = F.greatest("raw.start", "item.raw_start") - F.col("item.raw_start"), F.least("raw.end", "item.raw_end") - F.col("item.raw_start")
     cut = met.select(*keys, *fields, "item", low.alias("start"), high.alias("end")).withColumn("own", norm_range(normalized_with_map(F.col("item.text"))["segments"], F.col("start"), F.col("end")))
     span = F.when(F.col("item").isNotNull(), F.struct(F.col("item.page").alias("page"), F.col("item.index").alias("index"), "start", "end", F.col("own.start").alias("norm_start"), F.col("own.end").alias("norm_end")))

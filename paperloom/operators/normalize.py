@@ -20,8 +20,9 @@ KINDS = ["copy", "ligature", "hyphen", "drop", "space"]
 _DROP = "­​‌‍﻿"
 _SPACE = "\t\n\x0b\x0c\r    -     　"
 _GAP = f"[{_SPACE}{_DROP}]"
+# what a change begins with is told at once; the kinds are only asked behind it
 _CHANGE = re.compile(
-    f"(?P<ligature>[{''.join(LIGATURES)}])|(?P<hyphen>[-‐­](?={_GAP}*[\n\r  ]){_GAP}+)|(?P<drop>[{_DROP}])|(?P<space>(?: (?={_GAP})|[{_SPACE.replace(' ', '', 1)}]){_GAP}*)"
+    f"(?=[{''.join(LIGATURES)}{_SPACE}{_DROP}‐-])(?:(?P<ligature>[{''.join(LIGATURES)}])|(?P<hyphen>[-‐­](?={_GAP}*[\n\r  ]){_GAP}+)|(?P<drop>[{_DROP}])|(?P<space>(?: (?={_GAP})|[{_SPACE.replace(' ', '', 1)}]){_GAP}*))"
 )
 
 

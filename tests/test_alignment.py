@@ -1,9 +1,11 @@
 """Sentences on assembled items, against a plain version, and how many of all fitting pairs the candidates hold."""
 
 import random
+import re
 import time
 
 from pyspark.sql import Row
+from pyspark.sql import functions as F
 
 from paperloom.operators import alignment
 from paperloom.plans import relations, reports
@@ -103,6 +105,27 @@ def test_folded_items(spark):
     assert [tuple(s) for s in got.spans] == [(0, 0, 4, 11, 4, 10), (0, 1, 0, 13, 0, 13), (1, 2, 0, 5, 0, 5)]
 
 
+def test_seeds(spark):
+    """Of each word the characters from its beginning on, whatever white space is between."""
+    rng = random.Random(6)
+    parts = ["Ab", "cde", "fghijklmnopqr", "é", ".", " ", "  ", "\t", "\n ", " \r\n", "\x0b", "\u00a0", "\x1c"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(16))) for _ in range(400)]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").select("text", relations._seeds("text", "keys")).collect()
+    plain = {t: re.sub("[\t\n\x0b\f\r ]+", " ", t).strip(" ").lower() for t in texts}
+    grams = {t: {p[m.start() : m.start() + 12] for m in re.finditer("[^ ]+", p)} for t, p in plain.items()}
+    known = {r.g: r.h for r in spark.createDataFrame([(g,) for g in set().union(*grams.values())], "g string").select("g", F.xxhash64("g").alias("h")).collect()}
+    for r in rows:
+        assert sorted(r["keys"]) == sorted(known[g] for g in grams[r.text]), r.text
+
+
+def test_texts_are_shuffled_once(spark):
+    """Items by their key, sentences, and what was found: no text is dealt out again behind the fit."""
+    sentences = spark.createDataFrame([(1, "a b")], "k int, sentence string")
+    items = spark.createDataFrame([(1, 0, 0, "a b c", True)], "k int, page long, index long, text string, eol boolean")
+    plan = alignment.on_items(sentences, items, ["k"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 3
+
+
 def test_recall(spark, tmp_path):
     """Of all pairs of passage and document that fit with at most 0.35 edits a character, 9 of 10 are found, at the same distance or less."""
     rng = random.Random(2)
