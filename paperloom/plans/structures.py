@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -281,21 +286,36 @@ def term_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.first_by(read(spark, sf_dir, "part").select(F.lower("p_name").alias("name"), "p_partkey"), ["name"], ["p_partkey"])
 
 
+def _word_units(text: pa.Array, pos: pa.Array) -> pa.Array:
+    """The words of each line as units; what a checksum tells is told once for each different word of a batch."""
+    split = pc.split_pattern(text, " ")
+    word, owner = split.flatten(), pc.list_parent_indices(split)
+    full = pc.not_equal(word, "")
+    word, owner = word.filter(full).dictionary_encode(), owner.filter(full).to_numpy()
+    words, code = word.dictionary.to_pylist(), word.indices
+    sums = np.array([zlib.crc32(w.encode()) for w in words], np.int64)
+    small = sums % 7 == 0
+    told = {
+        "text": [f"{w} " if h % 3 == 0 else w for w, h in zip(words, sums.tolist(), strict=True)], "height": np.where(small, 6.5, 10.0), "baseline": np.where(small & (sums % 2 == 0), 97.0, 100.0),
+        "font": ["ABCDEF+CMMI10" if h % 13 == 0 else "Times-Italic" if h % 17 == 0 else "Times" for h in sums.tolist()],
+    }
+    counts = np.bincount(owner, minlength=len(text))
+    ends = np.concatenate([[0], np.cumsum(counts)])
+    nth = np.arange(len(owner)) - ends[owner]
+    of = {k: pa.array(v, pa.string() if isinstance(v, list) else pa.float64()).take(code) for k, v in told.items()}
+    units = {"text": of["text"], "page": pa.array(pos.to_numpy()[owner].astype(np.int64) // 10), "index": pa.array(nth + nth // 9), "eol": pa.array(np.zeros(len(owner), bool)), "height": of["height"], "baseline": of["baseline"], "font": of["font"]}
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.StructArray.from_arrays(list(units.values()), list(units)))
+
+
 def _unit_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of documents with their words as text items: some of them small, set lower, or in a font of mathematics or italics, as a checksum tells."""
     lines = read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "text"))
-    words = F.filter(F.split("text", " "), lambda w: w != "")
-
-    def unit(w: Column, i: Column, h: Column) -> Column:
-        small = h % 7 == 0
-        fields = {
-            "text": F.when(h % 3 == 0, F.concat(w, F.lit(" "))).otherwise(w), "page": F.floor(F.col("pos") / 10), "index": i + F.floor(i / 9), "eol": F.lit(False), "height": F.when(small, 6.5).otherwise(10.0),
-            "baseline": F.when(small & (h % 2 == 0), 97.0).otherwise(100.0), "font": F.when(h % 13 == 0, "ABCDEF+CMMI10").when(h % 17 == 0, "Times-Italic").otherwise("Times"),
-        }
-        return F.struct(*(v.alias(k) for k, v in fields.items()))
-
-    summed = F.transform(words, lambda w: F.struct(w.alias("w"), F.crc32(w).alias("h")))
-    return lines.select("doc_id", "pos", "text", F.transform(summed, lambda x, i: unit(x["w"], i, x["h"])).alias("units"))
+
+    @F.arrow_udf(equations.UNITS)
+    def units(text: pa.Array, pos: pa.Array) -> pa.Array:
+        return _word_units(text, pos)
+
+    return lines.select("doc_id", "pos", "text", units("text", "pos").alias("units"))
 
 
 @query()

@@ -2,7 +2,9 @@
 
 import random
 import time
+import zlib
 
+import pyarrow as pa
 import regex
 from pyspark.sql import functions as F
 
@@ -157,6 +159,19 @@ def test_statistics_of_a_long_sentence(spark):
     assert found["sentences"] == 1 and found["equations"] + sum(found[k] for k in eq.SKIPS) > 1000
 
 
+def test_units_of_lines():
+    """Words as units, by a checksum of each; blanks are none, and every tenth place is left out."""
+    lines = ["", "  a  bé ", " ".join(f"w{k}" for k in range(40)), "中 a"]
+    got = structures._word_units(pa.array(lines), pa.array([0, 9, 10, 123], pa.int32())).to_pylist()
+    for line, pos, units in zip(lines, (0, 9, 10, 123), got, strict=True):
+        words = [w for w in line.split(" ") if w]
+        sums = [zlib.crc32(w.encode()) for w in words]
+        assert [u["text"] for u in units] == [w + " " * (h % 3 == 0) for w, h in zip(words, sums, strict=True)]
+        assert [(u["page"], u["index"], u["eol"]) for u in units] == [(pos // 10, i + i // 9, False) for i in range(len(words))]
+        assert [u["height"] for u in units] == [6.5 if h % 7 == 0 else 10.0 for h in sums] and [u["baseline"] for u in units] == [97.0 if h % 14 == 0 else 100.0 for h in sums]
+        assert [u["font"] for u in units] == ["ABCDEF+CMMI10" if h % 13 == 0 else "Times-Italic" if h % 17 == 0 else "Times" for h in sums]
+
+
 def test_many_sentences_are_gone_over_at_once(spark):
     """One task goes over 400,000 units in seconds, and finds in each sentence what it finds in one."""
     word = "element_at(array('α', 'f(x)', 'word', 'of', 'a–b', '=', 'other words', '2.5', 'x'), cast(1 + (id + i) % 9 AS int))"
