@@ -7,7 +7,6 @@ numpy goes over all of them at once, in slices; signals are told once for each d
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -38,11 +37,6 @@ FOUND = "struct<en: string, equations: array<struct<token: string, raw: string,
 UNITS = "array<struct<text: string, page: bigint, index: bigint, eol: boolean, height: double, baseline: double, font: string>>"
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body(value) with the value computed once. What transform() returns is copied whole, what aggregate() holds is not."""
-    return F.aggregate(F.array(F.lit(0)), value, lambda x, _: x, body)
-
-
 def span_units(spans: DataFrame, items: DataFrame, fonts: DataFrame, document: str) -> DataFrame:
     """spans with text, eol, height, baseline and font: the stretch of the item that each names, and the item's font by its real name, null where it isn't known. Spans of unknown items are left out. Of items with the same place, or fonts of the same name, the greatest counts.
 
